@@ -1,3 +1,146 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from .rules import STOP_WORDS
+from .urlfilter import DAMPING, ITERATIONS, RATIO, RULES
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SUBSTRING = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+),
+marked AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM win) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM marked),
+tokens AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (
+  SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.k) AS kept, count(*) AS n
+  FROM tokens t ANTI JOIN gone g ON t.doc_id = g.doc_id AND t.k = g.k GROUP BY t.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_KINDS = (
+    ("assign", 0, r"((?i:password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+    ("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", 2, r"[0-9a-f]+", 0, 24),
+)
+_FOUND = " UNION ALL ".join(
+    rf"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, len_before + list_sum(list_transform(gaps[1:k], lambda x: length(x))) AS s, length(hits[k]) AS n, length(groups[k]) AS g, {least} AS least
+  FROM (SELECT doc_id, gaps, hits, groups, k, coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0) AS len_before
+        FROM (SELECT doc_id, regexp_split_to_array(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS hits,
+                     regexp_extract_all(t, '{pattern}', {group}) AS groups, unnest(range(1, len(regexp_extract_all(t, '{pattern}')) + 1)) AS k
+              FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)))"""
+    for kind, rank, pattern, group, least in _KINDS
+)
+SECRETS = f"""
+WITH found AS (SELECT doc_id, kind, rank, CAST(s AS BIGINT) AS s, CAST(s + n AS BIGINT) AS e FROM ({_FOUND}) WHERE g >= least),
+by_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+  FROM found GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN by_doc USING (doc_id)
+"""
+
+DECONTAMINATION = rf"""
+WITH items AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, {TERMS} AS w FROM benchmark) WHERE len(w) > 0),
+item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items)
+),
+d AS (SELECT doc_id, {TERMS} AS w FROM documents),
+doc_windows AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)
+),
+hit AS (SELECT doc_id, item_id, i, n FROM doc_windows JOIN item_windows USING (n, s)),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+_STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+QUALITY_RULES = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS k FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,
+         len(list_filter(w, lambda x: x IN ({_STOPS}))) AS stops,
+         len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09]*[-*\x{{2022}}\x{{00B7}}]'))) AS bullets,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|\x{{2026}})[\x20\x09-\x0D]*$'))) AS cut
+  FROM d LEFT JOIN rep USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words AND n_words <= 2000000
+       AND 100 * word_chars BETWEEN 200 * n_words AND 1200 * n_words AND 100 * n_symbols <= 10 * n_words AND 100 * stops >= 5 * n_words
+       AND 100 * n_dup_lines <= 50 * n_lines AND 100 * bullets <= 90 * n_lines AND 100 * cut <= 30 * n_lines AS kept
+FROM m
+"""
+
+_RULES = sorted(RULES, key=lambda r: -len(r.name))
+_FITS = {r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))" for r in _RULES}
+
+
+def _ranks(name: str, source: str, target: str) -> str:
+    """Common tables {name}0 to {name}N: one step of the propagation each."""
+    out = [f"{name}_seed AS (SELECT host, {name}_n * 1.0 / sum({name}_n) OVER () AS w FROM seeds WHERE {name}_n > 0)", f"{name}0 AS (SELECT host, w AS r FROM {name}_seed)"]
+    for k in range(1, ITERATIONS + 1):
+        out.append(
+            f"{name}m{k} AS (SELECT e.{target} AS host, sum(r * {DAMPING} * e.links / e.{source}_total) AS p FROM {name}{k - 1} JOIN edges e ON host = e.{source} GROUP BY 1), "
+            f"{name}{k} AS (SELECT host, sum(p) AS r FROM (SELECT host, p FROM {name}m{k} UNION ALL "
+            f"SELECT host, w * (1 - coalesce((SELECT sum(p) FROM {name}m{k}), 0)) FROM {name}_seed) GROUP BY host)"
+        )
+    return ", ".join(out)
+
+
+URL_FILTER = rf"""
+WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, html FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, html FROM cut
+),
+ruled AS (
+  SELECT page_id, host, path, CASE {' '.join(f"WHEN {_FITS[r]} THEN '{r.name}'" for r in _RULES)} END AS rule,
+         CASE {' '.join(f"WHEN {_FITS[r]} THEN '{r.verdict}'" for r in _RULES)} END AS own FROM p
+),
+links AS (
+  SELECT host AS src, regexp_replace(regexp_replace(translate(unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*[\"'']?((?:https?:)?//[^\"''\s>]+)', 1)),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^(https?:)?//', ''), '[/?#].*$', '') AS dst FROM p
+),
+pairs AS (SELECT src, dst, count(*) AS links FROM links WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2),
+edges AS (SELECT *, sum(links) OVER (PARTITION BY src) AS src_total, sum(links) OVER (PARTITION BY dst) AS dst_total FROM pairs),
+seeds AS (SELECT host, count(*) FILTER (own = 'allow') AS trust_n, count(*) FILTER (own = 'block') AS doubt_n FROM ruled WHERE own IS NOT NULL AND host <> '' GROUP BY host),
+{_ranks("trust", "src", "dst")}, {_ranks("doubt", "dst", "src")},
+totals AS (SELECT sum(trust_n) AS t, sum(doubt_n) AS b FROM seeds)
+SELECT r.page_id, r.host, r.path, r.rule,
+       coalesce(r.own, CASE WHEN coalesce(d.r, 0) * (SELECT b FROM totals) > {RATIO} * coalesce(t.r, 0) * (SELECT t FROM totals) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN trust{ITERATIONS} t USING (host) LEFT JOIN doubt{ITERATIONS} d USING (host)
+"""
+
+SQL = {
+    "op3_substring_dedup": SUBSTRING,
+    "op4_secrets": SECRETS,
+    "op6_decontamination": DECONTAMINATION,
+    "op7_url_filter": URL_FILTER,
+    "op9_quality_rules": QUALITY_RULES,
+}
