@@ -97,7 +97,6 @@ def compile_factors(
     norm_window: int = NORM_WINDOW,
     long_frames: bool = False,
     keep: list[str] | None = None,
-    clean_output: bool = True,
 ) -> DataFrame:
     """``df`` (its series columns and ``keep``) with one double column for each factor (name -> expression).
 
@@ -141,8 +140,7 @@ def compile_factors(
             else:
                 now = now.withColumns({f"{c}_s": F.stddev_samp(c).over(series.last(norm_window)) for c in scaled})
             now = now.withColumns({c: normalised(F.col(c), F.col(f"{c}_s")) for c in scaled}).drop(*[f"{c}_s" for c in scaled])
-    last = clean if clean_output else (lambda x: x)
-    return now.select(*kept, *[last(value(t).cast("double")).alias(name) for name, t in trees.items()])
+    return now.select(*kept, *[value(t).cast("double").alias(name) for name, t in trees.items()])
 
 
 def evaluate_last(df: DataFrame, factors: dict[str, str], series: Series = Series(), **options) -> tuple[DataFrame, dict[str, str]]:
