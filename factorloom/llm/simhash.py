@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_or_empty
@@ -233,7 +233,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, max_tree: int = MAX_T
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group: the one with the group's smallest doc_id (rows without a doc_id stay)."""
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.join(found, "doc_id", "left_semi")
-    return whole.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One row of each group: the one with the group's smallest doc_id. Of several rows with that id the one whose text
+    has the smallest hash stays. Rows without a doc_id stay, as no group has them."""
+    found = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    found = stored(found, "simhash-kept")
+    once, often = found.where("rows = 1").select("doc_id"), found.where("rows > 1").select("doc_id")
+    whole = docs.join(once, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    if not often.isEmpty():
+        first = Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text"), F.hash("row"))
+        rows = docs.join(often, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
+        rows = rows.withColumn("place", F.row_number().over(first)).where("place = 1")
+        whole = whole.unionByName(rows.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+    return whole.select(docs.columns)
