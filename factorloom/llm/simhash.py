@@ -229,6 +229,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, max_tree: int = MAX_T
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     tied = components(links(shards(nodes, max_tree), radius))
     named = nodes.join(tied, nodes["rep"] == tied["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # A table of its own, so that the join below has a plain exchange on both sides and a fingerprint that a third of all
+    # documents share can be split.
+    named = stored(named, "simhash-named")
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
