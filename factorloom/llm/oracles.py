@@ -31,12 +31,13 @@ _KINDS = (
     ("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", 2, r"[0-9a-f]+", 0, 24),
 )
+# Gaps and matches alternate, so a match starts after all gaps up to it and all matches before it.
 _FOUND = " UNION ALL ".join(
-    rf"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, len_before + list_sum(list_transform(gaps[1:k], lambda x: length(x))) AS s, length(hits[k]) AS n, length(groups[k]) AS g, {least} AS least
-  FROM (SELECT doc_id, gaps, hits, groups, k, coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0) AS len_before
-        FROM (SELECT doc_id, regexp_split_to_array(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS hits,
-                     regexp_extract_all(t, '{pattern}', {group}) AS groups, unnest(range(1, len(regexp_extract_all(t, '{pattern}')) + 1)) AS k
-              FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)))"""
+    rf"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, n, g, {least} AS least, sum(gap + n) OVER (PARTITION BY doc_id ORDER BY k) - n AS s
+  FROM (SELECT doc_id, k, length(gap) AS gap, coalesce(length(hit), 0) AS n, length(part) AS g
+        FROM (SELECT doc_id, unnest(range(1, len(gaps) + 1)) AS k, unnest(gaps) AS gap, unnest(hits) AS hit, unnest(parts) AS part
+              FROM (SELECT doc_id, regexp_split_to_array(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS hits, regexp_extract_all(t, '{pattern}', {group}) AS parts
+                    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))))"""
     for kind, rank, pattern, group, least in _KINDS
 )
 SECRETS = f"""
