@@ -1,11 +1,11 @@
 """Substring dedup with Rabin-Karp hashes of every window of ``WINDOW`` words.
 
 Documents are dealt to blocks by a hash of id and text. A first pass over the blocks rolls a 64-bit Rabin-Karp hash over
-every window and sends, for each bucket of hashes, one row with the block's hashes in reading order. The buckets count:
-for every hash, the smallest doc_id that has it; a window is marked if that is smaller than its own document's. Only one
-bit for each window goes back to the blocks, where a second pass rolls the same hashes, merges marked windows into
-maximal removal intervals and cuts the words out. A hash that a third of all documents share reaches its bucket once
-for each window like any other, so buckets stay even up to the count of that one window.
+every window and sends, for each bucket of hashes, one row with the block's distinct hashes and the smallest doc_id that
+each has in the block. The buckets find the smallest doc_id of all blocks. Only one bit for each distinct hash goes back
+to the blocks: whether another block has a smaller doc_id than this one. There a second pass rolls the same hashes, marks
+windows that a smaller document has, merges them into maximal removal intervals and cuts the words out. A passage that a
+third of all documents share reaches its bucket once for each block, not for each document.
 
 Nulls: a null text has no words. A row with a null ``doc_id`` is never smaller than another, and loses no words. Rows
 repeated under one doc_id are one document: they do not remove each other's words. Empty texts give empty texts, an empty
@@ -14,7 +14,7 @@ table an empty table. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 WINDOW = 13
 #: Documents for each block, and bytes of text for each bucket; both set how much one task holds.
 DOCS_PER_BLOCK = 1_024
-BYTES_PER_BUCKET = 4_000_000
+BYTES_PER_BUCKET = 32_000_000
 #: Hash buckets are a power of two, at least 2**8, so that 7 bytes hold the rest of a hash.
 LEAST_BUCKET_BITS = 8
 #: The base of the rolling hash, an odd number, and its inverse modulo 2**64.
@@ -77,41 +77,66 @@ class Block:
         self.hashes = hashes[at] if len(at) else np.empty(0, np.uint64)
         self.doc = np.repeat(np.arange(len(self.words)), self.counts)
         known = np.array([x is not None for x in self.ids], bool)
+        self.id = np.array([-1 if x is None else x for x in self.ids], np.int64)
         use = known[self.doc] if len(self.doc) else np.empty(0, bool)
         self.windows = np.flatnonzero(use)
 
-    def by_bucket(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(positions of windows ordered by bucket, buckets that occur, where each begins)."""
-        bucket = (self.hashes[self.windows] & np.uint64((1 << bits) - 1)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        found, start = np.unique(bucket[order], return_index=True)
-        return self.windows[order], found, start
+    def groups(self, bits: int) -> "Groups":
+        """The windows, grouped by hash; groups in the order of buckets, which are the low bits of the hash."""
+        h = self.hashes[self.windows]
+        key = (h << np.uint64(64 - bits)) | (h >> np.uint64(bits))
+        order = np.argsort(key)
+        key = key[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        owner = self.id[self.doc[self.windows[order]]]
+        least = np.minimum.reduceat(owner, starts) if len(starts) else np.empty(0, np.int64)
+        bucket = (key[starts] >> np.uint64(64 - bits)).astype(np.int64)
+        buckets, begin = np.unique(bucket, return_index=True)
+        return Groups(self.windows[order], starts, key[starts], least, owner, buckets, np.r_[begin, len(starts)])
+
+
+@dataclass
+class Groups:
+    """Windows in the order of their keys; groups of equal keys, with the smallest doc_id of each; and which groups each
+    bucket has."""
+
+    windows: np.ndarray
+    starts: np.ndarray
+    keys: np.ndarray
+    least: np.ndarray
+    owner: np.ndarray
+    buckets: np.ndarray
+    begin: np.ndarray
+
+
+def _by_planes(ids: np.ndarray) -> bytes:
+    """Ids with all first bytes, then all second bytes and so on, as high bytes repeat and compress to nothing."""
+    return ids.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
 def _emit(bits: int, window: int):
     def of_block(rows: pd.DataFrame) -> pd.DataFrame:
-        block, out = Block(rows, window), []
-        order, buckets, starts = block.by_bucket(bits)
-        ids = np.array([-1 if x is None else x for x in block.ids], np.int64)
-        ends = np.r_[starts[1:], len(order)]
-        rest = (block.hashes[order] >> np.uint64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
-        docs = block.doc[order]
-        for b, s, e in zip(buckets.tolist(), starts.tolist(), ends.tolist()):
-            own, counts = np.unique(docs[s:e], return_counts=True)
-            out.append((b, int(rows["block"].iloc[0]), ids[own].tobytes(), counts.astype("<u4").tobytes(), rest[s:e].tobytes()))
-        return pd.DataFrame(out, columns=["bucket", "block", "ids", "counts", "hashes"])
+        g, out, block = Block(rows, window).groups(bits), [], int(rows["block"].iloc[0])
+        rest = g.keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
+        for b, s, e in zip(g.buckets.tolist(), g.begin[:-1].tolist(), g.begin[1:].tolist()):
+            out.append((b, block, _by_planes(g.least[s:e]), rest[s:e].tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "block", "ids", "hashes"])
 
     return of_block
 
 
 def _mark(rows: pd.DataFrame) -> pd.DataFrame:
-    """The bits of one bucket's windows that a smaller document has too, for each block."""
+    """For each block, the bits of one bucket's hashes that another block has under a smaller doc_id."""
     sizes = [len(h) // 7 for h in rows["hashes"]]
     raw = np.frombuffer(b"".join(rows["hashes"]), np.uint8).reshape(-1, 7)
     whole = np.zeros((len(raw), 8), np.uint8)
     whole[:, :7] = raw
     hashes = whole.view("<u8").ravel()
-    doc = np.repeat(np.frombuffer(b"".join(rows["ids"]), np.int64), np.frombuffer(b"".join(rows["counts"]), "<u4"))
+    doc = np.concatenate([_from_planes(x) for x in rows["ids"]])
     order = np.argsort(hashes)
     ordered, owner = hashes[order], doc[order]
     first = np.r_[True, ordered[1:] != ordered[:-1]]
@@ -131,13 +156,14 @@ def _cut(bits: int, window: int):
     def of_block(rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         block, out = Block(rows, window), []
         marked = np.zeros(len(block.hashes), bool)
-        if len(marks):
-            order, buckets, starts = block.by_bucket(bits)
-            ends = np.r_[starts[1:], len(order)]
-            for b, packed in zip(marks["bucket"], marks["bits"]):
-                k = int(np.searchsorted(buckets, b))
-                here = order[starts[k] : ends[k]]
-                marked[here] = np.unpackbits(np.frombuffer(packed, np.uint8), count=len(here)).astype(bool)
+        g = block.groups(bits)
+        elsewhere = np.zeros(len(g.starts), bool)
+        for b, packed in zip(marks["bucket"], marks["bits"]):
+            k = int(np.searchsorted(g.buckets, b))
+            s, e = g.begin[k], g.begin[k + 1]
+            elsewhere[s:e] = np.unpackbits(np.frombuffer(packed, np.uint8), count=int(e - s)).astype(bool)
+        sizes = np.diff(np.r_[g.starts, len(g.windows)])
+        marked[g.windows] = (g.owner > np.repeat(g.least, sizes)) | np.repeat(elsewhere, sizes)
         last = np.cumsum(block.counts)
         for doc_id, words, a, z in zip(block.ids, block.words, (last - block.counts).tolist(), last.tolist()):
             spans: list[dict[str, int]] = []
@@ -166,7 +192,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, docs_per_block: int
     bits = max(LEAST_BUCKET_BITS, ((size["bytes"] or 0) // BYTES_PER_BUCKET).bit_length())
     dealt = rows.withColumn("content", F.xxhash64("text")).withColumn("block", F.pmod(F.xxhash64("doc_id", "content"), F.lit(blocks)))
     dealt = dealt.select("block", "doc_id", "content", "text")
-    sent = dealt.groupBy("block").applyInPandas(_emit(bits, window), "bucket long, block long, ids binary, counts binary, hashes binary")
+    sent = dealt.groupBy("block").applyInPandas(_emit(bits, window), "bucket long, block long, ids binary, hashes binary")
     marks = sent.groupBy("bucket").applyInPandas(_mark, "block long, bucket long, bits binary")
     cut = (
         dealt.groupBy("block")
