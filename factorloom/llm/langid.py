@@ -54,11 +54,15 @@ def trigram_slots(text: str) -> np.ndarray:
 
 def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihoods by slot and language). Only the bounded table of counts reaches the driver."""
-    usable = docs.where("lang is not null and text is not null").select("doc_id", "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # Ranks inside salted groups first, so that no language gathers in one task.
-    salted = F.row_number().over(Window.partitionBy("lang", F.pmod(F.hash("doc_id"), F.lit(64))).orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.withColumn("r", salted).where(F.col("r") <= max_rows).withColumn("r", rank).where(F.col("r") <= max_rows)
+    usable = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("draw"))
+    # Draws are uniform, so a bound from the language's count leaves about twice the wanted rows for the exact rank; no
+    # language gathers in one task before that.
+    # The counts are a table, whose true size decides how it is joined: by broadcast for any real number of languages.
+    counts = stored(usable.groupBy("lang").agg(F.count("*").alias("n")), "langid-counts")
+    share = (F.col("draw").cast("double") / 2.0**64 + 0.5) * F.col("n")
+    few = usable.join(counts, "lang").where(share < 2 * max_rows + 50)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
+    chosen = few.withColumn("r", rank).where(F.col("r") <= max_rows)
     chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang")).distinct()
     # At most max_rows rows for each language.
     sample = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang"))).select("lang", "text")
@@ -139,11 +143,14 @@ def identify(pages: DataFrame, languages: list[str], likelihood: np.ndarray) ->
     with_all = lambda df: df.withColumn("one", F.lit(1)).join(everything, "one").drop("one")
     site = with_all(_sums(rows, ["site"], k)).select("site", _share(F.col("n"), F.col("all_share"), SITE_STRENGTH).alias("site_share"))
     host = _sums(rows, ["host", "site"], k).join(site, "site").select("host", _share(F.col("n"), F.col("site_share"), HOST_STRENGTH).alias("host_share"))
+    # Tables, so that their true sizes decide the joins, and so that a host of a third of all pages can be split.
+    host = stored(host, "langid-hosts")
     # P(value | language) / P(value), as P(language | value) / P(language): what the value adds to the prior.
-    lift = lambda name: with_all(_sums(rows.where(F.col(name) != ""), [name], k)).select(
-        name,
-        F.transform(F.zip_with(_share(F.col("n"), F.col("all_share"), TABLE_STRENGTH), "all_share", lambda a, b: a / b), lambda x: F.log(x)).alias(f"{name}_log"),
-    )
+    def lift(name: str) -> DataFrame:
+        share = F.zip_with(_share(F.col("n"), F.col("all_share"), TABLE_STRENGTH), "all_share", lambda a, b: a / b)
+        table = with_all(_sums(rows.where(F.col(name) != ""), [name], k)).select(name, F.transform(share, lambda x: F.log(x)).alias(f"{name}_log"))
+        return stored(table, f"langid-{name}")
+
     zero = F.array(*[F.lit(0.0)] * k)
     joined = rows.join(host, "host", "left").join(lift("declared"), "declared", "left").join(lift("suffix"), "suffix", "left")
     parts = F.array(
