@@ -107,33 +107,33 @@ def alignments(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> t
 
 
 def _runs(words: Column, item: Column, shift: Column, window: int) -> Column:
-    """Starts, in the item, of the windows that occur in ``words`` at ``shift``."""
+    """Starts, in the item, of the windows that occur in ``words`` at ``shift``: those between two unequal words."""
     width = F.least(F.lit(window), F.size(item))
-    equal = F.transform(
-        item,
-        lambda w, k: F.when((k + shift >= 0) & (k + shift < F.size(words)), F.get(words, k + shift) == w).otherwise(F.lit(False)),
-    )
-    lengths = lambda e: F.aggregate(  # noqa: E731  length of the run of equal words that ends at each place
-        e,
-        F.array().cast("array<int>"),
-        lambda acc, x: F.concat(acc, F.array(F.when(x, F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + 1).otherwise(F.lit(0)))),
-    )
-    return let(
-        equal,
-        lambda e: F.filter(F.transform(lengths(e), lambda n, k: F.when(n >= width, k - width + 1)), lambda k: k.isNotNull()),
+    at = lambda k: k + shift
+    unequal = F.transform(
+        item, lambda w, k: F.when((at(k) >= 0) & (at(k) < F.size(words)) & F.coalesce(F.get(words, at(k)) == w, F.lit(False)), F.lit(None)).otherwise(k)
     )
+    bounds = F.concat(F.array(F.lit(-1)), F.filter(unequal, lambda k: k.isNotNull()), F.array(F.size(item)))
+
+    def between(b: Column) -> Column:
+        free = F.transform(b, lambda x, k: F.struct((x + 1).alias("a"), (F.get(b, k + 1) - width).alias("z")))
+        return F.flatten(F.transform(F.filter(free, lambda r: r["z"] >= r["a"]), lambda r: F.sequence(r["a"], r["z"])))
+
+    return let(bounds, between)
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, content, n_words, matches) for every row of ``docs``.
 
-    ``matches`` has for each item and alignment the document positions at which its windows start, and their width.
+    ``matches`` has for each item the document positions at which its windows start, and their width.
     """
     candidates, items = alignments(docs, benchmark, window)
+    # A document that repeats a passage has many alignments with an item, but the item's words once.
+    aligned = candidates.groupBy("doc_id", "content", "item").agg(F.collect_list("shift").alias("shifts"))
     wanted = (
-        candidates.join(bounded(items, items.count()), "item")
+        aligned.join(bounded(items, items.count()), "item")
         .groupBy("doc_id", "content")
-        .agg(F.collect_list(F.struct("item_id", F.col("words").alias("item"), "shift")).alias("wanted"))
+        .agg(F.collect_list(F.struct("item_id", F.col("words").alias("item"), "shifts")).alias("wanted"))
         .select(F.col("doc_id").alias("wanted_id"), F.col("content").alias("wanted_content"), "wanted")
     )
     rows = keyed(docs).join(
@@ -145,7 +145,9 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
             lambda c: F.struct(
                 c["item_id"].alias("item_id"),
                 F.least(F.lit(window), F.size(c["item"])).alias("width"),
-                F.transform(_runs(F.col("words"), c["item"], c["shift"], window), lambda k: k + c["shift"]).alias("starts"),
+                F.array_distinct(
+                    F.flatten(F.transform(c["shifts"], lambda s: F.transform(_runs(F.col("words"), c["item"], s, window), lambda k: k + s)))
+                ).alias("starts"),
             ),
         ),
         lambda c: F.size(c["starts"]) > 0,
