@@ -101,7 +101,8 @@ def shards(nodes: DataFrame, max_tree: int = MAX_TREE, rounds: int = ROUNDS) ->
             sizes = sizes.withColumn("large", F.col("members") > max_tree)
         else:
             sizes = sizes.withColumn("large", F.lit(False))
-        found = stored(dealt.join(sizes, ["mask", "key"]).select("mask", "key", "rep", "fp", "large"), "simhash-shards")
+        # Sizes are a table, so that a shard of a third of all fingerprints can be split in the join.
+        found = stored(dealt.join(stored(sizes, "simhash-sizes"), ["mask", "key"]).select("mask", "key", "rep", "fp", "large"), "simhash-shards")
         small = found.where("not large").drop("large")
         closed = small if closed is None else closed.unionByName(small)
         if k + 1 == rounds or found.where("large").isEmpty():
@@ -200,10 +201,11 @@ def components(edges: DataFrame) -> DataFrame:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # As tables, so that the joins can split a node with very many neighbours.
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = stored(large, "cc-large")
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small_least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = (
             large.join(small_least, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
