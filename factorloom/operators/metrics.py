@@ -208,10 +208,11 @@ def margin_metrics(long: DataFrame, s: Scoring, lam: float = 1.0, extreme: float
 
 
 def quantile_bin(x: Column, edges: Column) -> Column:
-    """Interior edges below ``x``; all values are in bin 0 if there are fewer than three distinct edges."""
+    """Interior edges below ``x``; all values are in bin 0 if there are fewer than three distinct edges. An edge that
+    differs from ``x`` in its last digits alone is equal to it, as interpolation leaves such digits."""
     distinct = F.array_distinct(edges)
     interior = F.slice(distinct, 2, F.greatest(F.size(distinct) - 2, F.lit(0)))
-    return F.when(F.size(distinct) <= 2, F.lit(0)).otherwise(F.size(F.filter(interior, lambda e: e < x)))
+    return F.when(F.size(distinct) <= 2, F.lit(0)).otherwise(F.size(F.filter(interior, lambda e: e < x - F.abs(x) * 1e-12)))
 
 
 def information_metrics(long: DataFrame, s: Scoring) -> DataFrame:

@@ -19,7 +19,7 @@ def events_from_barriers(barriers: DataFrame) -> DataFrame:
     ends first. Ids are numbered by time in each symbol, from 0."""
     valid = barriers.where("exit is not null and exit >= ts").select("symbol", F.col("ts").alias("t0"), F.col("exit").alias("t1"), "ret", "side")
     one = valid.groupBy("symbol", "t0").agg(F.min("t1").alias("t1"), F.min_by("ret", "t1").alias("ret"), F.min_by("side", "t1").alias("side"))
-    return one.withColumn("event_id", F.row_number().over(Window.partitionBy("symbol").orderBy("t0")) - 1)
+    return one.withColumn("event_id", (F.row_number().over(Window.partitionBy("symbol").orderBy("t0")) - 1).cast("long"))
 
 
 def checked_events(events: DataFrame) -> DataFrame:

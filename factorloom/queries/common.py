@@ -68,4 +68,5 @@ def tidy(x: str) -> str:
 
 
 def sql_round(x: str, digits: int = 6) -> str:
-    return f"round({x}, {digits}) + 0.0"
+    """Rounded as a double; DuckDB's decimal literals would make some results decimals."""
+    return f"round(CAST({x} AS DOUBLE), {digits}) + 0.0"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import backtest, evolve, labels, metrics
+from ..operators import backtest, evolve, labels, metrics, mining
 from ..plans.compile import compile_factors, evaluate_last
 from .common import BASE, bars, epoch, presented, rounded, sql_round
 
@@ -77,7 +79,7 @@ _RANGE_PARTS = f"""c AS ({_chunk('p, bar')}), r AS (SELECT *, {_rank('p', G + ',
 k AS (SELECT {G}, chunk, {_corr('rp', 'ry')} AS ic, max(p) AS up, min(p) AS dn FROM r GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY {G} ORDER BY ic DESC, chunk) AS place FROM k WHERE ic IS NOT NULL)"""
 _RANGES = f"""WITH {FRAME}, {_RANGE_PARTS}
-SELECT a.factor, a.symbol, {sql_round('a.ic')} AS max_ic_value, a.chunk AS max_ic_group, (a.chunk - 1 + b.chunk - 1) BETWEEN 3 AND 5 AS max_ic_symmetric,
+SELECT a.factor, a.symbol, {sql_round('a.ic')} AS max_ic_value, CAST(a.chunk AS INTEGER) AS max_ic_group, (a.chunk - 1 + b.chunk - 1) BETWEEN 3 AND 5 AS max_ic_symmetric,
   {sql_round('a.up')} AS max_ic_up, {sql_round('a.dn')} AS max_ic_dn FROM o a JOIN o b ON a.factor = b.factor AND a.symbol = b.symbol AND a.place = 1 AND b.place = 2"""
 _PATHS = f"""WITH {FRAME}, r AS (SELECT *, {RETURN} AS r, ntile(5) OVER (PARTITION BY {G} ORDER BY bar) AS chunk FROM long), q AS (SELECT *, {_run('sum(r)')} AS pnl FROM r),
 d AS (SELECT *, pnl - {_run('max(pnl)')} AS fall, pnl - {_run('max(pnl)', G + ', chunk')} AS part FROM q),
@@ -96,8 +98,8 @@ e AS (SELECT c.*, p * yc AS margin, abs(yc) >= lim AS extreme, CASE WHEN abs(yc)
 m AS (SELECT {G}, avg(y * sign(p)) - avg(CASE WHEN margin < 0 AND extreme THEN heavy ELSE 0 END) AS extreme_wrong_sign_penalty, avg(y * sign(p)) - avg(heavy * greatest(0, -margin)) AS weighted_margin_score,
   avg(y * sign(p)) - avg(heavy * (3 * greatest(0, -margin) + 0.3 * greatest(0, 0.2 - margin))) AS asym_extreme_direction_score FROM e GROUP BY ALL) SELECT {_out(MARGIN, 5)} FROM m"""
 _EDGES = ", ".join(str(k / 16) for k in range(1, 16))
-_INFORMATION = f"""WITH {FRAME}, e AS (SELECT {G}, quantile_cont(p, [{_EDGES}]) AS ep, quantile_cont(y, [{_EDGES}]) AS ey, count(*) AS n FROM long GROUP BY ALL),
-b AS (SELECT {G}, n, len(list_filter(list_distinct(ep), lambda x: x < p - 1e-13)) AS bp, len(list_filter(list_distinct(ey), lambda x: x < y - 1e-13)) AS b_y FROM long JOIN e USING (factor, symbol)),
+_INFORMATION = f"""WITH {FRAME}, e AS (SELECT {G}, quantile_cont(p, [{_EDGES}]) AS ep, quantile_cont(y, [{_EDGES}]) AS ey, min(p) AS p0, max(p) AS p1, min(y) AS y0, max(y) AS y1, count(*) AS n FROM long GROUP BY ALL),
+b AS (SELECT {G}, n, len(list_filter(list_distinct(ep), lambda x: x > p0 AND x < p1 AND x < p - abs(p) * 1e-12)) AS bp, len(list_filter(list_distinct(ey), lambda x: x > y0 AND x < y1 AND x < y - abs(y) * 1e-12)) AS b_y FROM long JOIN e USING (factor, symbol)),
 c AS (SELECT {G}, bp, b_y, count(*) * 1.0 / any_value(n) AS q FROM b GROUP BY ALL), d AS (SELECT *, sum(q) OVER (PARTITION BY {G}, bp) AS qp, sum(q) OVER (PARTITION BY {G}, b_y) AS qy FROM c),
 m AS (SELECT {G}, sum(q * ln((q + 1e-12) / (qp * qy + 1e-12))) AS mi, -sum(q * ln(qp + 1e-12)) AS hp, -sum(q * ln(qy + 1e-12)) AS hy FROM d GROUP BY ALL),
 z AS (SELECT {G}, mi / sqrt(hp * hy) AS mi_score, mi / hy AS entropy_gain_score FROM m) SELECT {_out(['mi_score', 'entropy_gain_score'], 4)} FROM z"""
@@ -178,7 +180,7 @@ k AS (SELECT {G}, chunk, {_corr('rp', 'ry')} AS ic, max(p) AS up, min(p) AS dn F
 i AS (SELECT l_test.* FROM l_test JOIN o USING (factor, symbol) WHERE p BETWEEN dn AND up), j AS (SELECT {G}, {_rank('p', G)} AS rp, {_rank('y', G)} AS ry FROM i),
 g AS (SELECT {G}, CASE WHEN count(*) > 20 THEN {_corr('rp', 'ry')} END AS given FROM j GROUP BY ALL)
 SELECT a.factor, a.symbol, {sql_round('a.pic', 5)} AS fitness_avg_pic_train, {sql_round('b.pic', 5)} AS fitness_avg_pic_test, {sql_round('s.sharp', 5)} AS fitness_sharp_train, {sql_round('t.sharp', 5)} AS fitness_sharp_test,
-  {sql_round('given', 5)} AS given_ic_test, {sql_round('(rank() OVER (ORDER BY b.pic) + (count(*) OVER (PARTITION BY b.pic) - 1) / 2.0) / count(b.pic) OVER ()', 5)} AS fitness_avg_pic_test_pct_rank
+  {sql_round('given', 5)} AS given_ic_test, {sql_round('CASE WHEN b.pic IS NOT NULL THEN (rank() OVER (ORDER BY b.pic) + (count(*) OVER (PARTITION BY b.pic) - 1) / 2.0) / count(b.pic) OVER () END', 5)} AS fitness_avg_pic_test_pct_rank
 FROM a_train a JOIN a_test b USING (factor, symbol) JOIN s_train s USING (factor, symbol) JOIN s_test t USING (factor, symbol) LEFT JOIN g USING (factor, symbol)"""
 
 
@@ -260,6 +262,17 @@ def evolved_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.table(run.run())
 
 
+MINING = mining.MiningConfig(
+    sampling=labels.SampleConfig(coarse=4 * 3600, step=3600, horizon_steps=4, window=20), train=("2024-01-02 00:00:00", "2024-01-20 00:00:00"), test=("2024-01-20 06:00:00", "2024-01-28 00:00:00"),
+    evolve=replace(EVOLVE, population=8, generations=1, hall_of_fame=6, components=3), metrics=("avg_pic", "sharp"),
+)
+
+
+def mining_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From events to scored factors: samples, a small evolution on the training rows, scores of both parts."""
+    return mining.mine(bars(spark, sf_dir, 3600), MINING)["factors"]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -271,7 +284,7 @@ QUERIES = {
         _metric_query("metric_margins", metrics.margin_metrics, MARGIN, 5),
         _metric_query("metric_information", metrics.information_metrics, ["mi_score", "entropy_gain_score"], 4),
         metric_ranges, metric_constrained, metric_given_range, result_paths, decay_of_ic, factor_scores, elite_factors, table_upsert, table_diagnostics,
-        factor_correlations, linear_model, simulation, simulation_figures, latest_values, evolved_factors,
+        factor_correlations, linear_model, simulation, simulation_figures, latest_values, evolved_factors, mining_run,
     )
 }
 SQL = {
