@@ -135,6 +135,8 @@ def scan(
         .groupBy("blob")
         .agg(F.sort_array(F.flatten(F.collect_set("findings"))).alias("findings"))
     )
+    # A table, so that its true size decides the join, and so that a blob of a third of all paths can be split.
+    found = stored(found, "secret-found")
     kept = [c for c in docs.columns if c not in (text, "blob", "findings")]
     paths = docs.select(*kept, blob_of(body).alias("blob")).join(found, "blob", "left")
     return (
@@ -182,6 +184,7 @@ def redact(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
         .groupBy("blob")
         .agg(F.sort_array(F.flatten(F.collect_set("findings"))).alias("found"))
     )
+    found = stored(found, "secret-found")
     whole = docs.select(F.struct("*").alias("row"), blob_of(body).alias("blob")).join(found, "blob", "left")
     text = F.when(F.size("found") > 0, masked(F.col("row")["text"], F.col("found"))).otherwise(F.col("row")["text"])
     columns = {c: F.col("row")[c] for c in docs.columns} | {"text": text}
