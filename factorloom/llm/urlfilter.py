@@ -123,7 +123,8 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, ratio: float = R
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
     distrust = propagate(back, seeds["blocked"], iterations).select("host", (F.col("rank") * scale["blocked"]).alias("distrust"))
     hosts = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    joined = ruled.join(hosts, "host", "left")
+    # A table, so that its true size decides the join, and so that a host of a third of all pages can be split.
+    joined = ruled.join(stored(hosts, "url-hosts"), "host", "left")
     suspect = F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)) * ratio
     return joined.select(
         "page_id",
