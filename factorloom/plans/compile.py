@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import ROW, Series, clean, ratio
+from ..functions.frames import ROW, Series
 from ..functions.registry import RECURSIVE, lookup
 from .expr import Call, Const, ExpressionError, Feature, Node, depth, features_of, parse, walk
 
@@ -25,8 +25,28 @@ NORM_WINDOW = 2000
 BLOCK, IN_BLOCK = "__block", "__in_block"
 
 
-def normalised(x: Column, deviation: Column) -> Column:
-    return clean(ratio(x, deviation))
+# Expressions that repeat for every factor are SQL text, as a wide plan would otherwise spend seconds on building Columns.
+
+
+def _named(c: str) -> str:
+    return f"`{c}`"
+
+
+def _cleaned(x: str, name: str) -> str:
+    """``frames.clean`` as text."""
+    x = f"CAST({x} AS DOUBLE)"
+    return f"CASE WHEN {x} IS NULL OR isnan({x}) OR abs({x}) = double('Infinity') THEN 0D ELSE {x} + 0D END AS {_named(name)}"
+
+
+def _deviation(c: str, series: Series, t: int) -> str:
+    part = f"PARTITION BY {', '.join(map(_named, series.keys))} " if series.keys else ""
+    order = ", ".join(map(_named, series.order))
+    return f"stddev_samp({_named(c)}) OVER ({part}ORDER BY {order} ROWS BETWEEN {t - 1} PRECEDING AND CURRENT ROW) AS {_named(c + '_s')}"
+
+
+def _replaced(df: DataFrame, new: dict[str, str], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the columns of ``new`` (name -> SQL with alias) in place of those of the same names."""
+    return df.selectExpr(*[new.get(c, _named(c)) for c in df.columns if c not in drop])
 
 
 def _run_recursive(df: DataFrame, series: Series, jobs: dict[str, tuple[Callable, list[str | float]]]) -> DataFrame:
@@ -111,11 +131,8 @@ def compile_factors(
     nodes = sorted({x for t in trees.values() for x in walk(t)}, key=depth)
     column = {x: f"__n{k}" for k, x in enumerate(nodes)}
     features = [x for x in nodes if isinstance(x, Feature)]
-    now = df.select(
-        *kept,
-        *[clean(F.col(x.name).cast("double")).alias(column[x]) for x in features],
-        F.row_number().over(series.plain).alias(ROW),
-    )
+    now = df.selectExpr(*map(_named, kept), *[_cleaned(_named(x.name), column[x]) for x in features])
+    now = now.withColumn(ROW, F.row_number().over(series.plain))
 
     def value(x: Node) -> Column:
         return F.lit(x.value) if isinstance(x, Const) else F.col(column[x])
@@ -129,17 +146,18 @@ def compile_factors(
         }
         if jobs:
             now = _run_recursive(now, series, jobs)
-            now = now.withColumns({name: clean(F.col(name)) for name in jobs})
-        built = {column[x]: clean(lookup(x.name).build(series, *map(value, x.args))) for x in here if column[x] not in jobs}
+        built = {column[x]: lookup(x.name).build(series, *map(value, x.args)) for x in here if column[x] not in jobs}
         if built:
             now = now.withColumns(built)
+        now = _replaced(now, {column[x]: _cleaned(_named(column[x]), column[x]) for x in here})
         scaled = [column[x] for x in here if lookup(x.name).normalised]
         if scaled:
             if long_frames:
                 now = with_long_deviation(now, series, {c: f"{c}_s" for c in scaled}, norm_window)
             else:
-                now = now.withColumns({f"{c}_s": F.stddev_samp(c).over(series.last(norm_window)) for c in scaled})
-            now = now.withColumns({c: normalised(F.col(c), F.col(f"{c}_s")) for c in scaled}).drop(*[f"{c}_s" for c in scaled])
+                now = now.selectExpr("*", *[_deviation(c, series, norm_window) for c in scaled])
+            over = {c: _cleaned(f"try_divide({_named(c)}, {_named(c + '_s')})", c) for c in scaled}
+            now = _replaced(now, over, tuple(f"{c}_s" for c in scaled))
     return now.select(*kept, *[value(t).cast("double").alias(name) for name, t in trees.items()])
 
 
