@@ -242,7 +242,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     has the smallest hash stays. Rows without a doc_id stay, as no group has them."""
     found = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     found = stored(found, "simhash-kept")
-    once, often = found.where("rows = 1").select("doc_id"), found.where("rows > 1").select("doc_id")
+    # The ids that stay grow with the documents, so they are never broadcast, however few there are.
+    once, often = (found.where(c).select("doc_id").hint("merge") for c in ("rows = 1", "rows > 1"))
     whole = docs.join(once, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     if not often.isEmpty():
         first = Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text"), F.hash("row"))
