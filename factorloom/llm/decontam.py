@@ -122,44 +122,55 @@ def _runs(words: Column, item: Column, shift: Column, window: int) -> Column:
     return let(bounds, between)
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, content, n_words, matches) for every row of ``docs``.
+MATCHES = "array<struct<item_id:bigint,width:int,starts:array<int>>>"
 
-    ``matches`` has for each item the document positions at which its windows start, and their width.
+
+def _wanted(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """(wanted_id, wanted_content, wanted): for each document with candidates its items and the alignments with them.
+
+    A document that repeats a passage has many alignments with an item, but the item's words once.
     """
     candidates, items = alignments(docs, benchmark, window)
-    # A document that repeats a passage has many alignments with an item, but the item's words once.
     aligned = candidates.groupBy("doc_id", "content", "item").agg(F.collect_list("shift").alias("shifts"))
-    wanted = (
+    return (
         aligned.join(bounded(items, items.count()), "item")
-        .groupBy("doc_id", "content")
+        .groupBy(F.col("doc_id").alias("wanted_id"), F.col("content").alias("wanted_content"))
         .agg(F.collect_list(F.struct("item_id", F.col("words").alias("item"), "shifts")).alias("wanted"))
-        .select(F.col("doc_id").alias("wanted_id"), F.col("content").alias("wanted_content"), "wanted")
     )
-    rows = keyed(docs).join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("content") == F.col("wanted_content")), "left"
-    )
-    found = F.filter(
-        F.transform(
-            "wanted",
-            lambda c: F.struct(
-                c["item_id"].alias("item_id"),
-                F.least(F.lit(window), F.size(c["item"])).alias("width"),
-                F.array_distinct(
-                    F.flatten(F.transform(c["shifts"], lambda s: F.transform(_runs(F.col("words"), c["item"], s, window), lambda k: k + s)))
-                ).alias("starts"),
-            ),
+
+
+def _is_wanted() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("content") == F.col("wanted_content"))
+
+
+def _found(words: Column, window: int) -> Column:
+    """The items of ``wanted`` that occur in ``words``, with the starts of their windows."""
+    every = F.transform(
+        "wanted",
+        lambda c: F.struct(
+            c["item_id"].alias("item_id"),
+            F.least(F.lit(window), F.size(c["item"])).alias("width"),
+            F.array_distinct(
+                F.flatten(F.transform(c["shifts"], lambda s: F.transform(_runs(words, c["item"], s, window), lambda k: k + s)))
+            ).alias("starts"),
         ),
-        lambda c: F.size(c["starts"]) > 0,
     )
-    return (
-        rows.select("doc_id", "content", F.size("words").cast("long").alias("n_words"), F.when(F.col("wanted").isNotNull(), found).alias("matches"))
-        .select(
-            "doc_id",
-            "content",
-            "n_words",
-            F.coalesce("matches", F.array().cast("array<struct<item_id:bigint,width:int,starts:array<int>>>")).alias("matches"),
-        )
+    return F.filter(every, lambda c: F.size(c["starts"]) > 0)
+
+
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, content, n_words, matches) for every row of ``docs``.
+
+    ``matches`` has for each item the document positions at which its windows start, and their width.
+    """
+    # Texts are shuffled as they are and cut into words after the join; arrays of words are twice as large.
+    body = text_or_empty("text")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(body).alias("content"), body.alias("text"))
+    rows = texts.join(_wanted(docs, benchmark, window), _is_wanted(), "left")
+    rows = rows.select("doc_id", "content", "wanted", terms_of(F.col("text")).alias("words"))
+    found = F.when(F.col("wanted").isNotNull(), _found(F.col("words"), window))
+    return rows.select(
+        "doc_id", "content", F.size("words").cast("long").alias("n_words"), F.coalesce(found, F.array().cast(MATCHES)).alias("matches")
     )
 
 
@@ -193,8 +204,9 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5, wind
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any word inside a benchmark window."""
-    dirty = phrase_matches(docs, benchmark, window).where(F.size("matches") > 0).select("doc_id", "content").distinct()
-    dirty = stored(dirty, "decontam-dirty").select(F.col("doc_id").alias("dirty_id"), F.col("content").alias("dirty_content"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty("text")).alias("content"))
-    clean = rows.join(dirty, F.col("doc_id").eqNullSafe(F.col("dirty_id")) & (F.col("content") == F.col("dirty_content")), "left_anti")
-    return clean.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    rows = rows.join(_wanted(docs, benchmark, window), _is_wanted(), "left")
+    words = terms_of(text_or_empty(F.col("row")["text"]))
+    # Only documents with candidates are cut into words, once each.
+    dirty = F.when(F.col("wanted").isNotNull(), let(words, lambda w: F.size(_found(w, window)) > 0)).otherwise(F.lit(False))
+    return rows.where(~dirty).select(*[F.col("row")[c].alias(c) for c in docs.columns])
