@@ -36,19 +36,27 @@ SEED = 42
 WIDTH = 3
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit SimHash of the word shingles of a text, repeats included."""
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Hashes of the shingles of ``width`` words in order, repeats included; a shorter text is one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1).tolist()
     stops = (ends - 1).tolist()
-    n = max(1, len(words) - WIDTH + 1)
-    last = min(WIDTH, len(words)) - 1
+    n = max(1, len(words) - width + 1)
+    last = min(width, len(words)) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops[last:])), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops[last:])), np.uint64, n)
+
+
+def fingerprint(text: str | None) -> int:
+    """The 64-bit SimHash of the word shingles of a text, repeats included."""
+    hashes = shingle_hashes(text)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for lo in range(0, n, 65_536):
         part = hashes[lo : lo + 65_536]
