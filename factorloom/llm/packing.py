@@ -13,8 +13,10 @@ broken by key. An empty table gives an empty table. Other columns are ignored.
 
 from __future__ import annotations
 
-import base64
+import os
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,48 +30,62 @@ END_ID = 2
 #: Pieces that one packing task should get.
 PIECES_PER_TASK = 50_000
 ROUNDS = 3
-#: Entries of a worker's cache of encoded words; it starts anew beyond that.
+#: Entries of a worker's cache of encoded chunks; it starts anew beyond that.
 CACHE = 200_000
 
 
+#: White space as the vocabulary's pattern has it; texts with a character of ODD are not cut, as libraries differ over those.
+SPACE = " \t\n\v\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]").search
+#: Longer chunks are not kept in the cache.
+LONGEST = 64
+
+
 class Encoder:
-    """Byte-level BPE ids as little-endian unsigned 32-bit bytes.
+    """Byte-level BPE ids of the named tokenizer as little-endian unsigned 32-bit bytes.
 
-    The vocabulary splits text before a space that stands between two other characters, so the text is encoded word
-    by word, and words are looked up. Texts with a run of spaces are encoded whole.
+    The vocabulary's pattern never matches white space after another character, so the tokenizer cuts a text before
+    every run of white space in any case. The text is cut there, and chunks, a run of white space with what follows up
+    to the next, are encoded by the tokenizer and looked up from then on. The added token has no white space in it.
     """
 
-    def __init__(self, ranks_path: str):
-        import public_tokenizers
-        import tiktoken
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.words: dict[str, bytes] = {}
+        # Every core has a task of its own already.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.chunks: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def __call__(self, text: str) -> bytes:
-        if "  " in text:
-            return self._ids(text)
-        head, *rest = text.split(" ")
-        words, out = self.words, [self._ids(head)]
-        for w in rest:
-            ids = words.get(w)
-            if ids is None:
-                if len(words) >= CACHE:
-                    words.clear()
-                ids = words[w] = self._ids(" " + w)
-            out.append(ids)
+        if ODD(text):
+            return self._encode([text])[0]
+        chunks, known = CHUNKS(text), self.chunks
+        out = [known.get(c) for c in chunks]
+        if None in out:
+            new = list({c for c, ids in zip(chunks, out) if ids is None})
+            found = dict(zip(new, self._encode(new)))
+            out = [found[c] if ids is None else ids for c, ids in zip(chunks, out)]
+            if len(known) + len(found) > CACHE:
+                known.clear()
+            known.update((c, ids) for c, ids in found.items() if len(c) <= LONGEST)
         return b"".join(out)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(vocabulary: str) -> Encoder:
+    """A worker's encoder, kept for its next tasks."""
+    return Encoder(vocabulary)
+
+
 def ranks_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None) -> DataFrame:
@@ -80,7 +96,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None)
     """
 
     def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(ranks or ranks_path()), np.array([END_ID], "<u4").tobytes()
+        encoder, end = encoder_of(ranks or ranks_path()), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, content, text in zip(batch["doc_id"], batch["content"], batch["text"]):
