@@ -4,7 +4,8 @@ Documents are tokenised where they are read and cut into pieces of at most ``CAP
 the pieces is dealt to packing partitions. Each partition packs best-fit decreasing and computes lower bounds for its
 bin count from dual feasible functions; a partition whose count meets its bound is certified and is left alone. The
 pieces of the unfilled bins of the other partitions are exchanged, dealt anew to fewer partitions, and packed again,
-for as long as that saves bins. Full bins stay as they are.
+for as long as that saves bins. Full bins stay as they are. Every row carries the bin count and the bound of the
+partition that packed it last, so that a certificate (``certificates``) can be read from the result.
 
 Nulls: a null text counts as empty, that is one piece with the end mark alone. Rows are packed one by one, repeated
 ones and those with a null ``doc_id`` included (a row is known by its id, text and number among its equals). Ties are
@@ -82,21 +83,21 @@ def encoder_of(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def ranks_path() -> str:
+def vocabulary_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, content, piece, start, length, ids): pieces with their ids as little-endian 32-bit bytes.
 
-    Only documents longer than ``capacity`` are cut; the first piece takes the remainder. ``ranks``: the path of the
+    Only documents longer than ``capacity`` are cut; the first piece takes the remainder. ``vocabulary``: the path of the
     vocabulary, by default the installed one of each executor.
     """
 
     def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = encoder_of(ranks or ranks_path()), np.array([END_ID], "<u4").tobytes()
+        encoder, end = encoder_of(vocabulary or vocabulary_path()), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, content, text in zip(batch["doc_id"], batch["content"], batch["text"]):
@@ -165,56 +166,69 @@ def _pack_partition(capacity: int):
         lengths = rows["length"].to_numpy()
         bins = best_fit(lengths, capacity)
         load = np.bincount(bins, weights=lengths).astype(np.int64)
-        gap = len(load) - lower_bound(lengths, capacity)
+        bound = lower_bound(lengths, capacity)
         order = np.argsort(bins, kind="stable")
         rows, bins, lengths = rows.iloc[order], bins[order], lengths[order]
         before = np.cumsum(lengths) - lengths
         first = np.r_[True, bins[1:] != bins[:-1]]
         offset = before - np.repeat(before[first], np.diff(np.r_[np.flatnonzero(first), len(bins)]))
-        return rows.assign(bin=bins, offset=offset, room=capacity - load[bins], gap=gap)
+        return rows.assign(bin=bins, offset=offset, room=capacity - load[bins], bins=len(load), bound=bound)
 
     return of_partition
 
 
-PACKED = "doc_id string, content long, piece int, key long, length long, part long, bin long, offset long, room long, gap long"
+PACKED = "doc_id string, content long, piece int, key long, length long, part long, bin long, offset long, room long, bins long, bound long"
 
 
 def _packed(rows: DataFrame, parts: int, turn: int, capacity: int) -> DataFrame:
-    part = F.pmod(F.xxhash64("doc_id", "content", "piece", F.lit(turn)), F.lit(parts))
+    # By key, as equal rows of one id may be a third of all.
+    part = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(parts))
     dealt = rows.select("doc_id", "content", "piece", "key", "length", part.alias("part"))
     return stored(dealt.groupBy("part").applyInPandas(_pack_partition(capacity), PACKED), "packing-round")
 
 
 def pack(lengths: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, per_task: int = PIECES_PER_TASK) -> DataFrame:
-    """(key, sequence_id, offset) for rows (doc_id, content, piece, key, length) with unique keys.
+    """(key, sequence_id, offset, part_bins, part_bound) for rows (doc_id, content, piece, key, length) with unique keys.
 
     A sequence is named by the round in which it was settled, its partition and its bin; its offsets have no gaps.
+    ``part_bins`` and ``part_bound`` are the bin count of the partition that packed the row last and the least count that
+    its pieces need.
     """
     rows = lengths.select(F.col("doc_id").cast("string").alias("doc_id"), "content", "piece", "key", "length")
     now, settled = _packed(rows, max(1, -(-rows.count() // per_task)), 0, capacity), None
     turn = 0
     while turn < rounds:
-        unsure = now.where("gap > 0 and room > 0")
+        unsure = now.where("bins > bound and room > 0")
         size = unsure.agg(F.count("*").alias("n"), F.count_distinct("part", "bin").alias("bins"), F.count_distinct("part").alias("parts")).first()
         if size["parts"] < 2:
             break
         again = _packed(unsure, max(1, -(-size["n"] // per_task)), turn + 1, capacity)
         if again.select("part", "bin").distinct().count() >= size["bins"]:
             break
-        done = now.where("gap = 0 or room = 0").withColumn("turn", F.lit(turn))
+        done = now.where("bins = bound or room = 0").withColumn("turn", F.lit(turn))
         settled = done if settled is None else settled.unionByName(done)
         now, turn = again, turn + 1
     last = now.withColumn("turn", F.lit(turn))
     everything = last if settled is None else settled.unionByName(last)
     sequence = F.col("turn") * F.lit(1 << 58) + F.col("part") * F.lit(1 << 30) + F.col("bin")
-    return everything.select("key", sequence.alias("sequence_id"), "offset")
+    return everything.select("key", sequence.alias("sequence_id"), "offset", F.col("bins").alias("part_bins"), F.col("bound").alias("part_bound"))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, ranks: str | None = None, with_ids: bool = True) -> DataFrame:
-    """One row for each piece of each document: (doc_id, piece, start, length, [ids,] ids_crc32, sequence_id, offset)."""
+def certificates(packed: DataFrame) -> DataFrame:
+    """(turn, part, sequences, part_bins, part_bound): for each packing of a partition how many of its bins stayed, how
+    many it made and how many its pieces need. Where ``part_bins = part_bound`` the count is certified as the least."""
+    turn = F.floor(F.col("sequence_id") / F.lit(1 << 58)).cast("int")
+    part = F.shiftright(F.col("sequence_id") - turn.cast("long") * F.lit(1 << 58), 30)
+    rows = packed.select(turn.alias("turn"), part.alias("part"), "sequence_id", "part_bins", "part_bound").distinct()
+    return rows.groupBy("turn", "part", "part_bins", "part_bound").agg(F.count("*").alias("sequences")).select("turn", "part", "sequences", "part_bins", "part_bound")
+
+
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = True) -> DataFrame:
+    """One row for each piece of each document: (doc_id, piece, start, length, [ids,] ids_crc32, sequence_id, offset,
+    part_bins, part_bound)."""
     out = ["doc_id", "piece", "start", "length", *(["ids"] if with_ids else []), "ids_crc32"]
-    cut = pieces(docs, capacity, ranks).withColumn("ids_crc32", F.crc32("ids"))
+    cut = pieces(docs, capacity, vocabulary).withColumn("ids_crc32", F.crc32("ids"))
     # The key tells equal rows apart; it is fixed once the table is written.
     cut = stored(cut.select(*out, "content", F.monotonically_increasing_id().alias("key")), "packing-pieces")
     placed = pack(cut.select("doc_id", "content", "piece", "key", "length"), capacity)
-    return cut.join(placed, "key").select(*out, "sequence_id", "offset")
+    return cut.join(placed, "key").select(*out, "sequence_id", "offset", "part_bins", "part_bound")

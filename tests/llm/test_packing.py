@@ -17,7 +17,6 @@ TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids_of(text):
-    TOKENIZER.encode_special_tokens = True
     return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
 
 
@@ -28,7 +27,7 @@ def corpus(seed=0, n=80):
 
 
 def test_tokens_equal_the_tokenizer():
-    encoder = packing.Encoder(packing.ranks_path())
+    encoder = packing.Encoder(packing.vocabulary_path())
     for _, text in corpus(1, 150):
         assert np.frombuffer(encoder(text), "<u4").tolist() == ids_of(text)[:-1], repr(text[:60])
 
@@ -114,6 +113,28 @@ def test_uncertified_partitions_exchange_their_rest(spark):
     assert placed.where("n != end or n > 1024").isEmpty()
 
 
+def test_certificates_hold(spark):
+    rows = [(k, "word " * (k * 37 % 900 + 1)) for k in range(300)] + [(7, "twice the same " * 100)] * 200
+    packed = packing.pack_documents(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    found = packing.certificates(packed).collect()
+    assert sum(r["sequences"] for r in found) == packed.select("sequence_id").distinct().count()
+    assert all(r["part_bound"] <= r["part_bins"] and r["sequences"] <= r["part_bins"] for r in found)
+    lengths = np.array([r["length"] for r in packed.collect()])
+    if len(found) == 1:
+        assert found[0]["part_bound"] == packing.lower_bound(lengths, 1024)
+
+
+def test_equal_rows_are_dealt_to_all_partitions(spark):
+    df = spark.createDataFrame([("5", 1, 0, k, 300) for k in range(2000)], "doc_id string, content long, piece int, key long, length long")
+    sizes = packing._packed(df, 20, 0, 1024).groupBy("part").count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) < 200
+
+
+def test_a_very_long_text(spark):
+    row = packing.pack_documents(spark.createDataFrame([(1, "word and " * 600_000)], SCHEMA)).agg(F.sum("length").alias("n"), F.max("length").alias("most")).first()
+    assert row["n"] == 1_200_002 and row["most"] == 1024
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     odd = spark.createDataFrame([(1, "a b", 5, 7, "k")], "doc_id long, text string, piece int, length long, key string")
