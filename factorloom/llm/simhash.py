@@ -10,8 +10,9 @@ meet the shard's queries in the shard's own task (a shuffle), not through the dr
 documents grow with the corpus. Each shard hands on a spanning forest of its links, never all pairs.
 
 Nulls and empty texts have fingerprint zero and are linked like any other. Exact copies share a fingerprint and cost
-one tree node. A null ``doc_id`` is kept as a row, and takes part in its group without naming it, unless the group has
-no other. Repeated rows stay repeated. Other columns of the input are ignored.
+one tree node; nodes are named by their fingerprint, so a row with a null ``doc_id`` carries links like any other and only
+can't name its component, which is null where no member has an id. One id with several texts is several nodes. Repeated
+rows stay repeated. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_or_empty
@@ -236,26 +237,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, max_tree: int = MAX_T
     if radius > 2:
         raise ValueError("three blocks find radius 2 at most")
     prints = stored(fingerprints(docs), "simhash-prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
-    tied = components(links(shards(nodes, max_tree), radius))
-    named = nodes.join(tied, nodes["rep"] == tied["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    # A table of its own, so that the join below has a plain exchange on both sides and a fingerprint that a third of all
-    # documents share can be split.
-    named = stored(named, "simhash-named")
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    tied = stored(components(links(shards(nodes.select(F.col("fp").alias("rep"), "fp"), max_tree), radius)), "simhash-tied")
+    ids = tied.join(nodes, tied["node"] == nodes["fp"]).groupBy("component").agg(F.min("least").alias("known"))
+    ids = stored(ids, "simhash-least")
+    # The smallest member has its own fingerprint as component, so it is not in ``tied``.
+    roots = ids.join(nodes, ids["component"] == nodes["fp"]).select("component", F.least("known", "least").alias("known"))
+    groups = tied.join(roots, "component").select(F.col("node").alias("fp"), "known").unionByName(roots.select(F.col("component").alias("fp"), "known"))
+    # Tables of their own, so that the joins have plain exchanges on both sides, and a component or a fingerprint that a
+    # third of all documents share can be split.
+    groups = stored(groups, "simhash-groups")
+    named = stored(nodes.join(groups, "fp", "left").select("fp", F.coalesce("known", "least").alias("component_id")), "simhash-named")
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group: the one with the group's smallest doc_id. Of several rows with that id the one whose text
-    has the smallest hash stays. Rows without a doc_id stay, as no group has them."""
-    found = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    found = stored(found, "simhash-kept")
-    # The ids that stay grow with the documents, so they are never broadcast, however few there are.
-    once, often = (found.where(c).select("doc_id").hint("merge") for c in ("rows = 1", "rows > 1"))
-    whole = docs.join(once, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    if not often.isEmpty():
-        first = Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text"), F.hash("row"))
-        rows = docs.join(often, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
-        rows = rows.withColumn("place", F.row_number().over(first)).where("place = 1")
-        whole = whole.unionByName(rows.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
-    return whole.select(docs.columns)
