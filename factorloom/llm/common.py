@@ -15,15 +15,18 @@ WORD_PATTERN = f"[^{SPACE_CLASS}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where the session has none (tests)."""
+    """The folder of ``spark.checkpoint.dir``. A temporary one is made only for a local master, where driver and executors
+    are one process; a cluster without the setting is refused, as its executors could not read each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        found = tempfile.mkdtemp(prefix="factorloom-")
-        spark.sparkContext.setCheckpointDir(found)
+    if found:
         return found
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    found = tempfile.mkdtemp(prefix="factorloom-")
+    spark.sparkContext.setCheckpointDir(found)
     return found
 
 
@@ -40,6 +43,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, start: Column, add: Callable[[Column, Column], Column], block: int = 128) -> Column:
+    """The running fold of an array by an associative ``add`` whose neutral element is ``start``.
+
+    ``aggregate`` would copy its result for every element. Here elements are folded inside blocks, and only one
+    element a block is appended, so that an array of n costs n * block / 2 + (n / block) ** 2 / 2 steps.
+    """
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda k: F.slice(v, k * block + 1, block))
+
+        def of_blocks(parts: Column) -> Column:
+            totals = F.transform(parts, lambda p: F.aggregate(p, start, add))
+            before = F.aggregate(totals, F.array(start), lambda acc, t: F.concat(acc, F.array(add(F.get(acc, F.size(acc) - 1), t))))
+            return let(
+                before,
+                lambda base: F.flatten(
+                    F.transform(parts, lambda p, k: F.transform(p, lambda x, i: F.aggregate(F.slice(p, 1, i + 1), F.get(base, k), add)))
+                ),
+            )
+
+        return F.when(F.size(v) > 0, let(blocks, of_blocks)).otherwise(F.slice(v, 1, 0))
+
+    return let(values, whole)
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

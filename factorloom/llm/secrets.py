@@ -3,10 +3,12 @@
 Every version of every text is addressed by the SHA-256 of its bytes. The ledger holds one row for each blob and rule
 version that has been scanned, with what was found. A scan takes the blobs of its input, leaves out the pairs of blob
 and rule version that the ledger has, scans each remaining blob once, however many paths and versions hold it, and
-joins the findings of the whole ledger back to all paths.
+joins the findings of the whole ledger back to all paths. A blob that no rule's probe fits is entered in the ledger as
+clean by its address alone: its text is not shuffled.
 
 Positions come from Spark's own functions: the pieces between matches (``split``) and the matches
-(``regexp_extract_all``) alternate, so their lengths add up to code point offsets.
+(``regexp_extract_all``) alternate, so their lengths add up to code point offsets. Sums and masks are made block by block,
+so a text costs time in proportion to its length and its findings.
 
 Nulls: a null text is scanned as an empty one. Empty texts have no findings. Repeated rows and equal texts are one blob,
 scanned once; each row gets the findings. Empty tables give empty tables. Other columns are carried along by ``scan``.
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored, text_or_empty
+from .common import let, running, stored, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,7 @@ class SecretRule:
 
 
 # The kinds and patterns, in the order that breaks ties.
-RULES = (
+BASE_RULES = (
     SecretRule(
         "assign",
         1,
@@ -48,6 +50,13 @@ RULES = (
     # Runs of these characters are matched whole, so shorter ones need not be listed to be dropped.
     SecretRule("hex", 1, "[0-9a-f]{24,}", 0, 24, "[0-9a-f]{24}"),
 )
+# Public formats of key blocks, signed web tokens and prefixed access tokens, beside the base kinds.
+MORE_RULES = (
+    SecretRule("pem", 1, "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", 0, 1, "PRIVATE KEY-----"),
+    SecretRule("jwt", 1, "eyJ[A-Za-z0-9_-]{1,500}[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 1, "[.]eyJ"),
+    SecretRule("prefixed", 1, "(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|glpat-[A-Za-z0-9_-]{20})", 0, 1, "gh[pousr]_|xox[abprs]-|glpat-"),
+)
+RULES = BASE_RULES + MORE_RULES
 
 FINDING = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 
@@ -55,38 +64,37 @@ FINDING = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 def find(text: Column, rule: SecretRule, rank: int) -> Column:
     """Array of findings (start, rank, end, kind) of one rule in a text; the end is exclusive."""
     length = lambda x: F.length(x).cast("bigint")
+    none = F.array().cast(f"array<{FINDING}>")
 
     def spans(m: Column) -> Column:
-        start = F.aggregate(
-            F.sequence(F.lit(0), F.size(m["hits"]) - 1),
-            F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{FINDING}>").alias("out")),
-            lambda acc, k: let(
-                acc["at"] + length(F.get(m["gaps"], k)),
-                lambda begin: let(
-                    begin + length(F.get(m["hits"], k)),
-                    lambda end: F.struct(
-                        end.alias("at"),
-                        F.when(
-                            F.length(F.get(m["groups"], k)) >= rule.shortest,
-                            F.concat(
-                                acc["out"],
-                                F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))),
-                            ),
-                        )
-                        .otherwise(acc["out"])
-                        .alias("out"),
-                    ),
+        steps = F.transform(m["hits"], lambda h, k: length(F.get(m["gaps"], k)) + length(h))
+
+        def placed(ends: Column) -> Column:
+            every = F.transform(
+                ends,
+                lambda end, k: F.when(
+                    F.length(F.get(m["groups"], k)) >= rule.shortest,
+                    F.struct((end - length(F.get(m["hits"], k))).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind")),
                 ),
-            ),
-        )
-        return F.when(F.size(m["hits"]) > 0, start["out"]).otherwise(F.array().cast(f"array<{FINDING}>"))
+            )
+            return F.filter(every, lambda x: x.isNotNull())
+
+        return let(running(steps, F.lit(0).cast("bigint"), lambda a, x: a + x), placed)
 
     parts = F.struct(
         F.split(text, rule.pattern, -1).alias("gaps"),
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("hits"),
         F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("groups"),
     )
-    return F.when(text.rlike(rule.probe), let(parts, spans)).otherwise(F.array().cast(f"array<{FINDING}>"))
+    return F.when(text.rlike(rule.probe), let(parts, spans)).otherwise(none)
+
+
+def suspect(text: Column, rules: tuple[SecretRule, ...]) -> Column:
+    """The text where some rule's probe fits it, else null."""
+    any_probe = F.lit(False)
+    for r in rules:
+        any_probe = any_probe | text.rlike(r.probe)
+    return F.when(any_probe, text)
 
 
 def blob_of(text: Column) -> Column:
@@ -94,7 +102,8 @@ def blob_of(text: Column) -> Column:
 
 
 def scan_unseen(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """New ledger rows (blob, kind, version, findings) for distinct ``blobs`` (blob, text) and ``rules``."""
+    """New ledger rows (blob, kind, version, findings) for distinct ``blobs`` (blob, text) and ``rules``. A null text is
+    one that no probe fits."""
     due = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     if ledger is None:
         todo = blobs.withColumn("due", due)
@@ -126,7 +135,7 @@ def scan(
     ``docs`` may hold any number of paths and historical versions. ``findings`` is ordered by start, then by rule.
     """
     body = text_or_empty(text)
-    blobs = docs.select(blob_of(body).alias("blob"), body.alias("text")).dropDuplicates(["blob"])
+    blobs = docs.select(blob_of(body).alias("blob"), suspect(body, rules).alias("text")).dropDuplicates(["blob"])
     additions = stored(scan_unseen(blobs, ledger, rules), "secret-ledger")
     whole = additions if ledger is None else additions.unionByName(ledger)
     current = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
@@ -152,32 +161,44 @@ def span_text(findings: Column) -> Column:
     )
 
 
-def masked(text: Column, findings: Column, mask: str = "[SECRET]") -> Column:
-    """The text with every finding, overlapping ones merged, replaced by ``mask``."""
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def merge(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        piece = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end")))
-        return F.when((F.size(acc) > 0) & (x["start"] <= last["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), piece(last["start"], F.greatest(last["end"], x["end"])))).otherwise(
-            F.concat(acc, piece(x["start"], x["end"]))
-        )
-
-    def cut(merged: Column) -> Column:
-        kept = F.transform(
-            merged,
-            lambda x, k: text.substr((F.when(k > 0, F.get(merged, k - 1)["end"]).otherwise(F.lit(0)) + 1).cast("int"), (x["start"] - F.when(k > 0, F.get(merged, k - 1)["end"]).otherwise(F.lit(0))).cast("int")),
+def masked(text: Column, findings: Column, mask: str = "[SECRET]", block: int = 4_096) -> Column:
+    """The text with every finding, overlapping or touching ones merged, replaced by ``mask``. ``findings`` are ordered by start."""
+    zero = F.lit(0).cast("bigint")
+
+    def kept(m: Column) -> Column:
+        """The text between findings: a mask ends where the largest end so far is left behind by the next start."""
+
+        def piece(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / block).cast("int"), F.floor(b / block).cast("int")
+            at = lambda x: (x % block).cast("int")
+            one = F.get(m["blocks"], first).substr(at(a) + 1, (b - a).cast("int"))
+            ends = F.concat(
+                F.get(m["blocks"], first).substr(at(a) + 1, F.lit(block)),
+                F.array_join(F.slice(m["blocks"], first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+                F.coalesce(F.get(m["blocks"], last).substr(F.lit(1), at(b)), F.lit("")),
+            )
+            return F.when(first == last, one).otherwise(ends)
+
+        before = lambda k: F.when(k > 0, F.get(m["ends"], k - 1)).otherwise(zero)
+        pieces = F.transform(
+            findings,
+            lambda x, k: F.when((k > 0) & (x["start"] <= before(k)), F.lit("")).otherwise(F.concat(F.when(x["start"] > before(k), piece(before(k), x["start"])).otherwise(F.lit("")), F.lit(mask))),
         )
-        rest = text.substr((F.get(merged, F.size(merged) - 1)["end"] + 1).cast("int"), F.length(text))
-        return F.concat(F.array_join(F.transform(kept, lambda p: F.concat(p, F.lit(mask))), ""), rest)
+        size, last = F.length(text).cast("bigint"), F.get(m["ends"], F.size(m["ends"]) - 1)
+        rest = F.when(last < size, piece(last, size)).otherwise(F.lit(""))
+        return F.concat(F.array_join(pieces, ""), rest)
 
-    return F.when(F.size(findings) > 0, let(F.aggregate(findings, empty, merge), cut)).otherwise(text)
+    parts = F.struct(
+        running(F.transform(findings, lambda x: x["end"]), zero, lambda a, x: F.greatest(a, x)).alias("ends"),
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("blocks"),
+    )
+    return F.when(F.size(findings) > 0, let(parts, kept)).otherwise(text)
 
 
 def redact(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """``docs`` with every finding masked in ``text``, by way of the ledger; ``n_chars``, if there, follows."""
     body = text_or_empty("text")
-    blobs = docs.select(blob_of(body).alias("blob"), body.alias("text")).dropDuplicates(["blob"])
+    blobs = docs.select(blob_of(body).alias("blob"), suspect(body, rules).alias("text")).dropDuplicates(["blob"])
     ledger = stored(scan_unseen(blobs, None, rules), "secret-ledger")
     found = (
         ledger.where(F.size("findings") > 0)
