@@ -4,10 +4,12 @@ Four pieces of evidence for each page are multiplied: the likelihood of its visi
 language, the declared ``lang`` of its markup, the suffix of its address, and a prior for its host. The prior comes
 from the pages themselves: the soft language counts of all pages are added up by host, by site (the last two labels of
 the host) and over everything, and each level is smoothed by the next. How far declarations and suffixes can be trusted
-is estimated the same way, by grouped sums over all pages.
+is estimated the same way, by grouped sums over all pages. A page's own counts are taken out of every sum that is used
+for it, so its text is evidence once.
 
 The trigram model is fitted on a bounded sample of labelled texts, at most ``MAX_ROWS`` documents of each language in the
-order of a hash of the id; its counts are added up in Spark. All pages are scored from their whole texts.
+order of a hash of the id; its counts are added up in Spark. More than ``MAX_LANGUAGES`` different labels are refused, as
+the model would be no small table. All pages are scored from their whole texts, in time linear in their length.
 
 Nulls: a null url has an empty host and suffix; a null html is an empty text and declares nothing; missing evidence
 counts for nothing. Without training texts the result is empty but for the keys, with a null language. Repeated rows count
@@ -29,17 +31,55 @@ from .common import stored, text_or_empty
 from .urlfilter import host_of
 
 MAX_ROWS = 1_000
+MAX_LANGUAGES = 500
 SLOTS = 1 << 15
 #: Text evidence counts like at most this many independent trigrams.
 SATURATION = 60.0
 HOST_STRENGTH, SITE_STRENGTH, TABLE_STRENGTH = 5.0, 20.0, 10.0
 
-HIDDEN = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-DECLARED = "(?i)<html\\b[^>]*?\\blang\\s*=\\s*[\"']?([a-z]{2,3})"
+OPENING = re.compile(r"(?i)<(?:(script|style)\b|!--)?")
+CLOSING = {x: re.compile(rf"(?i)</{x}\s*>") for x in ("script", "style")}
+HTML_TAG = re.compile(r"(?i)<html\b")
+LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})")
 
 
 def visible_text(html: str) -> str:
-    return entities.unescape(HIDDEN.sub(" ", html))
+    """The text outside of tags, comments, scripts and styles, entities decoded. What is opened and never closed is a tag
+    if a ``>`` follows, else text. Every search starts where the last one ended or is known to find nothing."""
+    out, at = [], 0
+    closed = {"script": True, "style": True, "!--": True}
+    while True:
+        lt = html.find("<", at)
+        if lt < 0:
+            break
+        m, end = OPENING.match(html, lt), -1
+        name = (m[1] or "").lower() or ("!--" if m.end() - lt == 4 else "")
+        if name and closed[name]:
+            if name == "!--":
+                end = html.find("-->", m.end())
+                end = end + 3 if end >= 0 else -1
+            else:
+                found = CLOSING[name].search(html, m.end())
+                end = found.end() if found else -1
+            closed[name] = end >= 0
+        if end < 0:
+            end = html.find(">", lt + 1) + 1
+            if not end:
+                break
+        out += (html[at:lt], " ")
+        at = end
+    return entities.unescape("".join([*out, html[at:]]))
+
+
+def declared_language(html: str) -> str:
+    """The first ``lang`` of an opening ``html`` tag, in lower case; empty without one."""
+    at = 0
+    while tag := HTML_TAG.search(html, at):
+        at = html.find(">", tag.end())
+        at = at if at >= 0 else len(html)
+        if found := LANG.search(html, tag.end(), at):
+            return found[1].lower()
+    return ""
 
 
 def trigram_slots(text: str) -> np.ndarray:
@@ -59,13 +99,16 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndar
     # language gathers in one task before that.
     # The counts are a table, whose true size decides how it is joined: by broadcast for any real number of languages.
     counts = stored(usable.groupBy("lang").agg(F.count("*").alias("n")), "langid-counts")
+    if counts.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     share = (F.col("draw").cast("double") / 2.0**64 + 0.5) * F.col("n")
     few = usable.join(counts, "lang").where(share < 2 * max_rows + 50)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
     chosen = few.withColumn("r", rank).where(F.col("r") <= max_rows)
     chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang")).distinct()
-    # At most max_rows rows for each language.
-    sample = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang"))).select("lang", "text")
+    # At most max_rows rows for each language; a table, so that its true size decides how it is joined.
+    chosen = stored(chosen, "langid-chosen")
+    sample = docs.join(chosen, (F.col("doc_id") == F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang"))).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -93,9 +136,12 @@ def text_evidence(pages: DataFrame, languages: list[str], likelihood: np.ndarray
             for page in b["html"]:
                 slots = trigram_slots(visible_text(page))
                 n = len(slots)
-                total = small[slots].sum(0, dtype=np.float64) if n else np.zeros(len(languages))
+                # A block of slots at a time, as a long page would give a table of slots by languages.
+                total = np.zeros(len(languages))
+                for lo in range(0, n, 65_536):
+                    total += small[slots[lo : lo + 65_536]].sum(0, dtype=np.float64)
                 logs.append((total - total.max()) * (min(1.0, SATURATION / n) if n else 0.0))
-            yield b.drop(columns="html").assign(text_log=logs)
+            yield b.drop(columns="html").assign(declared=[declared_language(x) for x in b["html"]], text_log=logs)
 
     host = host_of(F.col("url"))
     labels = F.split(F.regexp_replace(host, ":\\d*$", ""), "\\.")
@@ -104,7 +150,6 @@ def text_evidence(pages: DataFrame, languages: list[str], likelihood: np.ndarray
         host.alias("host"),
         F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("site"),
         F.get(labels, F.size(labels) - 1).alias("suffix"),
-        F.lower(F.regexp_extract(text_or_empty("html"), DECLARED, 1)).alias("declared"),
         text_or_empty("html").alias("html"),
     )
     schema = "page_id string, host string, site string, suffix string, declared string, text_log array<double>"
@@ -118,9 +163,14 @@ def _normal(logs: Column) -> Column:
     return F.transform(raw, lambda v: v / F.aggregate(raw, F.lit(0.0), lambda a, x: a + x))
 
 
-def _sums(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Soft counts of each language by ``keys``, as an array ``n``."""
-    return rows.groupBy(*keys).agg(F.array(*[F.sum(F.get("soft", F.lit(i))) for i in range(k)]).alias("n"))
+def _sums(rows: DataFrame, keys: list[str], k: int, name: str) -> DataFrame:
+    """Soft counts of each language by ``keys``, as an array ``name``."""
+    return rows.groupBy(*keys).agg(F.array(*[F.coalesce(F.sum(F.get("soft", F.lit(i))), F.lit(0.0)) for i in range(k)]).alias(name))
+
+
+def _others(counts: str) -> Column:
+    """Counts without the row's own."""
+    return F.zip_with(F.col(counts), F.col("soft"), lambda n, own: F.greatest(n - own, F.lit(0.0)))
 
 
 def _share(counts: Column, prior: Column, strength: float) -> Column:
@@ -138,27 +188,25 @@ def identify(pages: DataFrame, languages: list[str], likelihood: np.ndarray) ->
     names = F.array(*[F.lit(x) for x in languages])
     rows = stored(text_evidence(pages, languages, likelihood), "langid-evidence").withColumn("soft", _normal(F.col("text_log")))
     flat = F.array(*[F.lit(1.0 / k)] * k)
-    # One row for the whole corpus.
-    everything = F.broadcast(stored(_sums(rows, [], k).select(_share(F.coalesce("n", F.array(*[F.lit(0.0)] * k)), flat, 1.0).alias("all_share"), F.lit(1).alias("one")), "langid-all"))
-    with_all = lambda df: df.withColumn("one", F.lit(1)).join(everything, "one").drop("one")
-    site = with_all(_sums(rows, ["site"], k)).select("site", _share(F.col("n"), F.col("all_share"), SITE_STRENGTH).alias("site_share"))
-    host = _sums(rows, ["host", "site"], k).join(site, "site").select("host", _share(F.col("n"), F.col("site_share"), HOST_STRENGTH).alias("host_share"))
     # Tables, so that their true sizes decide the joins, and so that a host of a third of all pages can be split.
-    host = stored(host, "langid-hosts")
-    # P(value | language) / P(value), as P(language | value) / P(language): what the value adds to the prior.
-    def lift(name: str) -> DataFrame:
-        share = F.zip_with(_share(F.col("n"), F.col("all_share"), TABLE_STRENGTH), "all_share", lambda a, b: a / b)
-        table = with_all(_sums(rows.where(F.col(name) != ""), [name], k)).select(name, F.transform(share, lambda x: F.log(x)).alias(f"{name}_log"))
-        return stored(table, f"langid-{name}")
+    joined = rows
+    for key in ("host", "site", "declared", "suffix"):
+        sums = _sums(rows if key in ("host", "site") else rows.where(F.col(key) != ""), [key], k, f"{key}_n")
+        joined = joined.join(stored(sums, f"langid-{key}"), key, "left")
+    # One row for the whole corpus.
+    joined = joined.crossJoin(F.broadcast(stored(_sums(rows, [], k, "all_n"), "langid-all")))
 
+    joined = joined.withColumn("all_share", _share(_others("all_n"), flat, 1.0))
+    joined = joined.withColumn("site_share", _share(_others("site_n"), F.col("all_share"), SITE_STRENGTH))
+    joined = joined.withColumn("host_share", _share(_others("host_n"), F.col("site_share"), HOST_STRENGTH))
     zero = F.array(*[F.lit(0.0)] * k)
-    joined = rows.join(host, "host", "left").join(lift("declared"), "declared", "left").join(lift("suffix"), "suffix", "left")
-    parts = F.array(
-        F.col("text_log"),
-        F.transform(F.coalesce("host_share", flat), lambda x: F.log(x)),
-        F.coalesce("declared_log", zero),
-        F.coalesce("suffix_log", zero),
-    )
+
+    def lift(name: str) -> Column:
+        """log P(value | language) / P(value), as P(language | value) / P(language): what the value adds to the prior."""
+        share = F.zip_with(_share(_others(f"{name}_n"), F.col("all_share"), TABLE_STRENGTH), "all_share", lambda a, b: F.log(a / b))
+        return F.coalesce(share, zero)
+
+    parts = F.array(F.col("text_log"), F.transform("host_share", lambda x: F.log(x)), lift("declared"), lift("suffix"))
     fused = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.aggregate(parts, F.lit(0.0), lambda a, p: a + F.get(p, i)))
     best = lambda p: F.get(names, (F.array_position(p, F.array_max(p)) - 1).cast("int"))
     return (
