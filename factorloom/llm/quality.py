@@ -4,11 +4,12 @@ Shallow trees are boosted in turn on one feature after another, always on what t
 tree is added into its feature's lookup table over bins; then the same is done for the pairs of features that explain
 most of the rest. A score is a sum of table entries, looked up for a whole batch at once.
 
-The model is fitted on a bounded sample: at most ``MAX_ROWS`` labelled rows, taken in the order of a hash of the id.
+The model is fitted on a bounded sample: at most ``MAX_ROWS`` labelled rows, taken in the order of a hash of the id, and
+of equal ids in the order of label and a hash of the text, so that the same tables always give the same model.
 Scores are computed for every document from its whole text.
 
 Nulls: a null text is scored as an empty one, which has a score like any other text. Rows with a null id or label are not
-learned from; an id with several labels or texts is learned from as often as it occurs. With no labelled rows, or only
+learned from; an id with several labels or texts is learned from as often as it occurs, within the bound. With no labelled rows, or only
 one class, every score is the rate of label 1 (0.5 without any). Repeated rows get equal scores. Other columns are ignored.
 """
 
@@ -192,17 +193,20 @@ def is_held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> AdditiveModel:
     """Fits on at most ``max_rows`` rows that are not held out. Their numbers, not their texts, reach the driver."""
     usable = labels.where("doc_id is not null and quality is not null").where(~is_held_out(F.col("doc_id")))
-    chosen = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    first = [F.xxhash64("doc_id"), "doc_id", "quality"]
+    chosen = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(*first).limit(max_rows)
+    # At most max_rows rows of two numbers.
     chosen = chosen.select(F.col("doc_id").alias("labelled_id"), "quality")
 
     def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"quality": b["quality"], "id": b["labelled_id"], "x": [features(t) for t in b["text"]]})
+            yield pd.DataFrame({"quality": b["quality"], "id": b["labelled_id"], "content": b["content"], "x": [features(t) for t in b["text"]]})
 
-    # At most max_rows rows of two numbers.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
-    got = rows.select("labelled_id", "quality", text_or_empty("text").alias("text")).mapInPandas(of_batches, "quality int, id long, x array<double>").limit(2 * max_rows).toPandas()
-    got = got.sort_values(["id", "quality"])
+    body = text_or_empty(F.col("text").cast("string"))
+    rows = docs.select("doc_id", body.alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id"))
+    got = rows.select("labelled_id", "quality", F.xxhash64("text").alias("content"), "text").mapInPandas(of_batches, "quality int, id long, content long, x array<double>")
+    # Where ids repeat there are more rows than labels; the bound holds for what is learned from.
+    got = got.orderBy(F.xxhash64("id"), "id", "quality", "content").limit(max_rows).toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, (got["quality"].to_numpy() == 1).astype(float))
 

@@ -68,6 +68,36 @@ def test_tables_add_up():
     assert len(model.cuts) == x.shape[1]
 
 
+def plain_score(model, x):
+    """One row's score by going through the tables one entry at a time."""
+    total = model.base
+    for k, cuts in enumerate(model.cuts):
+        total += model.tables[k][sum(1 for c in cuts if c <= x[k])]
+    for (i, j), table_ in zip(model.pairs, model.pair_tables):
+        total += table_[sum(1 for c in model.pair_cuts[i] if c <= x[i]), sum(1 for c in model.pair_cuts[j] if c <= x[j])]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_scores_by_brute_force(scored):
+    docs, _, model, out = scored
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id < 200").collect()}
+    for r in out.where("doc_id < 200").collect():
+        assert abs(r["score"] - plain_score(model, quality.features(texts[r["doc_id"]]))) < 1e-12
+
+
+def test_the_bound_holds_with_repeated_ids_and_the_model_is_the_same_again(spark, scored):
+    docs, labels, _, _ = scored
+    often = docs.unionByName(docs.where("doc_id % 3 = 1")).unionByName(docs.where("doc_id = 1").crossJoin(spark.range(500)).drop("id"))
+    a, b = (quality.train(x, labels, max_rows=300) for x in (often, often.repartition(13)))
+    assert a.base == b.base and all((p == q).all() for p, q in zip(a.tables, b.tables))
+
+
+def test_a_very_long_text(spark, scored):
+    rows = [(1, "word and other " * 400_000), (2, "x" * 5_000_000)]
+    got = quality.score(spark.createDataFrame(rows, DOCS), scored[2]).collect()
+    assert len(got) == 2 and all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_odd_inputs(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (None, "c"), (1, "a b")], DOCS)
     for labels in ([], [(1, 1, 0), (2, None, 0), (None, 1, 0)]):
