@@ -46,7 +46,7 @@ class Threshold:
 
 #: The table. Ratios are percentages of the denominator.
 THRESHOLDS = (
-    Threshold("length", "n_words", low=50, high=2_000_000),
+    Threshold("length", "n_words", low=50),
     Threshold("word length", "word_chars", "n_words", low=200, high=1_200),
     Threshold("symbols", "n_symbols", "n_words", high=10),
     Threshold("stop words", "n_stop_words", "n_words", low=5),

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from factorloom.llm import rules
 
@@ -57,3 +58,11 @@ def test_empty_table_clashes_and_repeats(spark):
     assert rules.keep_good(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, "a", "q", "r", 1), (1, "a", "q", "r", 1), (None, None, None, None, None)], "doc_id long, text string, quality string, row string, measures int")
     assert rules.judge(df).count() == 3 and rules.keep_good(df).columns == df.columns
+
+
+def test_a_very_long_text(spark):
+    prose = "the house of the river is green and quiet . " * 3
+    text = "\n".join(f"{prose} name{k} line{k * 7} part{k * 13} and that is all of it number{k}" for k in range(40_000))
+    start = time.perf_counter()
+    got = rules.judge(spark.createDataFrame([(1, text)], SCHEMA)).first()["quality"]
+    assert got["measures"]["n_words"] == len(WORD.findall(text)) and time.perf_counter() - start < 20
