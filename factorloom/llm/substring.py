@@ -7,8 +7,11 @@ to the blocks: whether another block has a smaller doc_id than this one. There a
 windows that a smaller document has, merges them into maximal removal intervals and cuts the words out. A passage that a
 third of all documents share reaches its bucket once for each block, not for each document.
 
-Nulls: a null text has no words. A row with a null ``doc_id`` is never smaller than another, and loses no words. Rows
-repeated under one doc_id are one document: they do not remove each other's words. Empty texts give empty texts, an empty
+Blocks and buckets are dealt to as many tasks as the bytes of the texts ask for, so a task stays as large as it is when the
+table grows.
+
+Nulls: a null text has no words. A row with a null ``doc_id`` is never smaller than another, and loses no words, so it
+takes no part in the shuffles. Rows repeated under one doc_id are one document: they do not remove each other's words. Empty texts give empty texts, an empty
 table an empty table. Other columns are ignored.
 """
 
@@ -22,10 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import words_of
+
 WINDOW = 13
 #: Documents for each block, and bytes of text for each bucket; both set how much one task holds.
 DOCS_PER_BLOCK = 1_024
 BYTES_PER_BUCKET = 32_000_000
+#: Bytes of text whose blocks or hashes one task should get.
+BYTES_PER_TASK = 16_000_000
 #: Hash buckets are a power of two, at least 2**8, so that 7 bytes hold the rest of a hash.
 LEAST_BUCKET_BITS = 8
 #: The base of the rolling hash, an odd number, and its inverse modulo 2**64.
@@ -67,7 +74,7 @@ class Block:
 
     def __init__(self, rows: pd.DataFrame, window: int):
         rows = rows.sort_values(["doc_id", "content"], kind="stable")
-        self.ids = [None if pd.isna(x) else int(x) for x in rows["doc_id"]]
+        self.ids = [int(x) for x in rows["doc_id"]]
         self.words = [t.encode().split() for t in rows["text"]]
         self.lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
         self.counts = np.maximum(self.lengths - window + 1, 0)
@@ -76,23 +83,20 @@ class Block:
         at = np.repeat(first - (np.cumsum(self.counts) - self.counts), self.counts) + np.arange(self.counts.sum())
         self.hashes = hashes[at] if len(at) else np.empty(0, np.uint64)
         self.doc = np.repeat(np.arange(len(self.words)), self.counts)
-        known = np.array([x is not None for x in self.ids], bool)
-        self.id = np.array([-1 if x is None else x for x in self.ids], np.int64)
-        use = known[self.doc] if len(self.doc) else np.empty(0, bool)
-        self.windows = np.flatnonzero(use)
+        self.id = np.array(self.ids, np.int64)
 
     def groups(self, bits: int) -> "Groups":
         """The windows, grouped by hash; groups in the order of buckets, which are the low bits of the hash."""
-        h = self.hashes[self.windows]
+        h = self.hashes
         key = (h << np.uint64(64 - bits)) | (h >> np.uint64(bits))
         order = np.argsort(key)
         key = key[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        owner = self.id[self.doc[self.windows[order]]]
+        owner = self.id[self.doc[order]]
         least = np.minimum.reduceat(owner, starts) if len(starts) else np.empty(0, np.int64)
         bucket = (key[starts] >> np.uint64(64 - bits)).astype(np.int64)
         buckets, begin = np.unique(bucket, return_index=True)
-        return Groups(self.windows[order], starts, key[starts], least, owner, buckets, np.r_[begin, len(starts)])
+        return Groups(order, starts, key[starts], least, owner, buckets, np.r_[begin, len(starts)])
 
 
 @dataclass
@@ -177,7 +181,7 @@ def _cut(bits: int, window: int):
                 kept += words[at : x["start"]]
                 at = x["end"]
             kept += words[at:] if spans else words
-            out.append((None if doc_id is None else str(doc_id), len(words), spans, b" ".join(kept).decode()))
+            out.append((str(doc_id), len(words), spans, b" ".join(kept).decode()))
         return pd.DataFrame(out, columns=["doc_id", "n_words", "removed", "kept_text"])
 
     return of_block
@@ -185,18 +189,25 @@ def _cut(bits: int, window: int):
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
     """(doc_id, n_words, removed, kept_text): removal intervals in words, ends exclusive, and the words left."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     # The ids travel as text, so that pandas does not turn long ids with nulls into floats.
-    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = every.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("string"))
     size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     blocks = max(1, -(-size["n"] // docs_per_block))
     bits = max(LEAST_BUCKET_BITS, ((size["bytes"] or 0) // BYTES_PER_BUCKET).bit_length())
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size["bytes"] or 0) // BYTES_PER_TASK))
     dealt = rows.withColumn("content", F.xxhash64("text")).withColumn("block", F.pmod(F.xxhash64("doc_id", "content"), F.lit(blocks)))
-    dealt = dealt.select("block", "doc_id", "content", "text")
+    dealt = dealt.select("block", "doc_id", "content", "text").repartition(tasks, "block")
     sent = dealt.groupBy("block").applyInPandas(_emit(bits, window), "bucket long, block long, ids binary, hashes binary")
-    marks = sent.groupBy("bucket").applyInPandas(_mark, "block long, bucket long, bits binary")
+    marks = sent.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(_mark, "block long, bucket long, bits binary")
     cut = (
         dealt.groupBy("block")
-        .cogroup(marks.groupBy("block"))
+        .cogroup(marks.repartition(tasks, "block").groupBy("block"))
         .applyInPandas(_cut(bits, window), "doc_id string, n_words long, removed array<struct<start:long,end:long>>, kept_text string")
     )
-    return cut.withColumn("doc_id", F.col("doc_id").cast("long"))
+    words = words_of(F.col("text"))
+    nameless = every.where("doc_id is null").select(
+        "doc_id", F.size(words).cast("long").alias("n_words"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"), F.array_join(words, " ").alias("kept_text")
+    )
+    return cut.withColumn("doc_id", F.col("doc_id").cast("long")).unionByName(nameless)

@@ -70,6 +70,23 @@ def test_planted_passage_is_cut_from_the_later_document(spark, tmp_path):
     assert got[2]["kept_sha256"] == hashlib.sha256(b"other beginning tail").hexdigest()
 
 
+def test_rows_without_an_id_and_a_very_long_text(spark):
+    long = " ".join(f"u{k}" for k in range(400_000))
+    rows = [(None, "the same text without an id " * 9)] * 300 + [(7, "the same text without an id " * 9), (1, long), (2, long + " tail"), (3, None)]
+    got = substring.dedup_substrings(spark.createDataFrame(rows, SCHEMA)).collect()
+    gone = {r["doc_id"]: r["n_words"] - len(r["kept_text"].split()) for r in got}
+    assert len(got) == len(rows) and gone[None] == 0 and gone[7] == 0 and gone[1] == 0 and gone[2] == 400_000 and gone[3] == 0
+
+
+def test_tasks_grow_with_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(substring, "BYTES_PER_TASK", 500)
+    df = spark.createDataFrame(corpus(13), SCHEMA)
+    got = substring.dedup_substrings(df, docs_per_block=2)
+    assert got.rdd.getNumPartitions() > 20
+    mine = sorted(((r["doc_id"], r["n_words"], sum(x["end"] - x["start"] for x in r["removed"]), r["kept_text"]) for r in got.collect()), key=repr)
+    assert mine == plain(corpus(13), 13)
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert substring.dedup_substrings(spark.createDataFrame([], SCHEMA)).count() == 0
     odd = spark.createDataFrame([(1, "a b", 5, "x")], "doc_id long, text string, block long, content string")
