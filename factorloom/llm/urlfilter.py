@@ -3,7 +3,11 @@
 Links in the pages give edges between hosts. Trust is a personalised PageRank that starts from the hosts with pages that
 a rule allows and follows links; distrust starts from the hosts with pages that a rule blocks and follows links backwards,
 because who links to a bad host is suspect. Both are scaled to the pages that started them, so that they compare. A host
-is blocked where its distrust exceeds ``RATIO`` times its trust. A page's own rule decides before its host.
+is blocked where its distrust exceeds ``RATIO`` times its trust by more than ``FLOOR`` of the mean rank of a host. A page's
+own rule decides before its host.
+
+Ranks are iterated until all that is still on its way is under a tenth of that floor, so no verdict depends on a number of
+steps: their count follows from the damping and the logarithm of the number of hosts (130 for a million hosts).
 
 Edges are counted for each pair of hosts before anything else happens, and ranks are summed map-side, so a host that
 holds a third of all pages is one node. Hosts alone, not pages, take part in the iterations; each one is a stored table.
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 DAMPING = 0.85
-ITERATIONS = 8
 RATIO = 2.0
+FLOOR = 1e-3
 
 
 @dataclass(frozen=True)
@@ -79,32 +83,38 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) -> t
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, links): links from one host to another, counted."""
     targets = F.regexp_extract_all("html", F.lit("(?i)\\bhref\\s*=\\s*[\"']?((?:https?:)?//[^\"'\\s>]+)"), F.lit(1))
-    found = pages.where(F.col("html").rlike("(?i)href\\s*=\\s*[\"']?(https?:)?//")).select(host_of(F.col("url")).alias("src"), F.explode(targets).alias("to"))
+    # The host is cut out before the links are spread, so that no link carries its page's url along.
+    linking = pages.where(F.col("html").rlike("(?i)href\\s*=\\s*[\"']?(https?:)?//")).select(host_of(F.col("url")).alias("src"), targets.alias("targets"))
+    found = linking.select("src", F.explode("targets").alias("to"))
     whole = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to"))
     return found.select("src", host_of(whole).alias("dst")).where("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-6, damping: float = DAMPING) -> DataFrame:
     """(host, rank): personalised PageRank from ``seeds`` (host, weight, summing to 1) along ``edges`` (src, dst, links).
 
-    What would leave from a host without links goes back to the seeds.
+    What would leave from a host without links goes back to the seeds; ranks sum to 1. Their total error is at most
+    ``tolerance``.
     """
     out = edges.groupBy("src").agg(F.sum("links").alias("total"))
     share = stored(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("total")).alias("share")), "url-shares")
-    ranks = stored(seeds.select("host", F.col("weight").alias("rank")), "url-ranks")
+    start = seeds.select("host", F.col("weight").alias("rank"))
+    ranks = stored(start, "url-ranks")
     if share.isEmpty():
         return ranks
-    for _ in range(iterations):
-        moved = ranks.join(share, ranks["host"] == share["src"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("part"))
-        moved = stored(moved.groupBy("host").agg(F.sum("part").alias("part")), "url-moved")
-        # The rest, 1 - damping and what hosts without links hold, returns to the seeds: one number for the whole graph.
-        back = 1.0 - (moved.agg(F.sum("part")).first()[0] or 0.0)
-        returned = seeds.select("host", (F.col("weight") * F.lit(back)).alias("part"))
-        ranks = stored(moved.unionByName(returned).groupBy("host").agg(F.sum("part").alias("rank")), "url-ranks")
-    return ranks
-
-
-def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, ratio: float = RATIO, iterations: int = ITERATIONS) -> DataFrame:
+    # Without the returns, the visits x = seeds + damping * x along the edges only grow, by less each time; what is to
+    # come is bounded by the last growth. The returns multiply all of them alike, so they are settled by the division.
+    total = ranks.agg(F.sum("rank")).first()[0] or 0.0
+    growth = total
+    while growth * damping / (1 - damping) > tolerance * total:
+        moved = ranks.join(share, ranks["host"] == share["src"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+        ranks = stored(moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank")), "url-ranks")
+        before, total = total, ranks.agg(F.sum("rank")).first()[0]
+        growth = total - before
+    return ranks.select("host", (F.col("rank") / total).alias("rank"))
+
+
+def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, ratio: float = RATIO, floor: float = FLOOR) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every page."""
     url = F.col("url")
     parsed = stored(pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path")), "url-parsed")
@@ -116,16 +126,18 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, ratio: float = R
     )
     by_host = stored(by_host, "url-seeds")
     total = by_host.agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")).first()
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("host")).unionByName(by_host.select("host")).distinct().count()
+    least = floor / max(1, nodes)
     empty = by_host.where("false").select("host", F.lit(0.0).alias("weight"))
     seeds = {c: by_host.where(F.col(c) > 0).select("host", (F.col(c) / total[c]).alias("weight")) if total[c] else empty for c in ("allowed", "blocked")}
     scale = {c: (total[c] or 0) / max(1, (total["allowed"] or 0) + (total["blocked"] or 0)) for c in ("allowed", "blocked")}
-    trust = propagate(edges, seeds["allowed"], iterations).select("host", (F.col("rank") * scale["allowed"]).alias("trust"))
+    trust = propagate(edges, seeds["allowed"], least / 10).select("host", (F.col("rank") * scale["allowed"]).alias("trust"))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    distrust = propagate(back, seeds["blocked"], iterations).select("host", (F.col("rank") * scale["blocked"]).alias("distrust"))
+    distrust = propagate(back, seeds["blocked"], least / 10).select("host", (F.col("rank") * scale["blocked"]).alias("distrust"))
     hosts = trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     # A table, so that its true size decides the join, and so that a host of a third of all pages can be split.
     joined = ruled.join(stored(hosts, "url-hosts"), "host", "left")
-    suspect = F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)) * ratio
+    suspect = F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)) * ratio + least
     return joined.select(
         "page_id",
         "host",
