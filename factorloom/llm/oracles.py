@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .decontam import SLOP
 from .rules import STOP_WORDS
-from .urlfilter import DAMPING, ITERATIONS, RATIO, RULES
+from .urlfilter import DAMPING, FLOOR, RATIO, RULES
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -30,6 +31,9 @@ _KINDS = (
     ("assign", 0, r"((?i:password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     ("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", 2, r"[0-9a-f]+", 0, 24),
+    ("pem", 3, r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----", 0, 1),
+    ("jwt", 4, r"eyJ[A-Za-z0-9_-]{1,500}[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 1),
+    ("prefixed", 5, r"(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|glpat-[A-Za-z0-9_-]{20})", 0, 1),
 )
 # Gaps and matches alternate, so a match starts after all gaps up to it and all matches before it.
 _FOUND = " UNION ALL ".join(
@@ -44,11 +48,12 @@ SECRETS = f"""
 WITH found AS (SELECT doc_id, kind, rank, CAST(s AS BIGINT) AS s, CAST(s + n AS BIGINT) AS e FROM ({_FOUND}) WHERE g >= least),
 by_doc AS (
   SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base,
          string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
   FROM found GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN by_doc USING (doc_id)
 """
 
@@ -65,10 +70,27 @@ doc_windows AS (
 ),
 hit AS (SELECT doc_id, item_id, i, n FROM doc_windows JOIN item_windows USING (n, s)),
 words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
+tokens AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS k FROM d),
+frequencies AS (SELECT word, count(*) AS f FROM tokens GROUP BY word),
+places AS (SELECT row_number() OVER () AS item, item_id, w FROM items),
+item_tokens AS (SELECT item, item_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS k FROM places),
+ranked AS (
+  SELECT item, item_id, start, k, word, row_number() OVER (PARTITION BY item, start ORDER BY coalesce(f, 0), k) AS r
+  FROM (SELECT *, unnest(range(greatest(k - 9, 0), least(k, greatest(n - 10, 0)) + 1)) AS start FROM item_tokens) LEFT JOIN frequencies USING (word)
+),
+pairs AS (
+  SELECT DISTINCT a.item_id, CASE WHEN a.k < b.k THEN a.word ELSE b.word END AS t1, CASE WHEN a.k < b.k THEN b.word ELSE a.word END AS t2, abs(a.k - b.k) AS gap
+  FROM ranked a JOIN ranked b ON a.item = b.item AND a.start = b.start AND a.r = 1 AND b.r = 2
+),
+near AS (
+  SELECT a.doc_id, count(DISTINCT item_id) AS n_near
+  FROM pairs JOIN tokens a ON a.word = t1 JOIN tokens b ON b.doc_id = a.doc_id AND b.word = t2 AND a.k <> b.k AND abs(a.k - b.k) <= gap + {SLOP}
+  GROUP BY a.doc_id
+),
 ids AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)
+       sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
@@ -92,7 +114,7 @@ m AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words AND n_words <= 2000000
+       n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words
        AND 100 * word_chars BETWEEN 200 * n_words AND 1200 * n_words AND 100 * n_symbols <= 10 * n_words AND 100 * stops >= 5 * n_words
        AND 100 * n_dup_lines <= 50 * n_lines AND 100 * bullets <= 90 * n_lines AND 100 * cut <= 30 * n_lines AS kept
 FROM m
@@ -102,20 +124,23 @@ _RULES = sorted(RULES, key=lambda r: -len(r.name))
 _FITS = {r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))" for r in _RULES}
 
 
+#: Steps of the sums in SQL; what is left after them is under 1e-20.
+STEPS = 300
+
+
 def _ranks(name: str, source: str, target: str) -> str:
-    """Common tables {name}0 to {name}N: one step of the propagation each."""
-    out = [f"{name}_seed AS (SELECT host, {name}_n * 1.0 / sum({name}_n) OVER () AS w FROM seeds WHERE {name}_n > 0)", f"{name}0 AS (SELECT host, w AS r FROM {name}_seed)"]
-    for k in range(1, ITERATIONS + 1):
-        out.append(
-            f"{name}m{k} AS (SELECT e.{target} AS host, sum(r * {DAMPING} * e.links / e.{source}_total) AS p FROM {name}{k - 1} JOIN edges e ON host = e.{source} GROUP BY 1), "
-            f"{name}{k} AS (SELECT host, sum(p) AS r FROM (SELECT host, p FROM {name}m{k} UNION ALL "
-            f"SELECT host, w * (1 - coalesce((SELECT sum(p) FROM {name}m{k}), 0)) FROM {name}_seed) GROUP BY host)"
-        )
-    return ", ".join(out)
+    """The common table {name} (host, r): the sum of all steps of the propagation, scaled to 1."""
+    return f"""{name}_seed AS (SELECT host, {name}_n * 1.0 / sum({name}_n) OVER () AS w FROM seeds WHERE {name}_n > 0),
+{name}_steps(k, host, p) AS (
+  SELECT 0, host, CAST(w AS DOUBLE) FROM {name}_seed
+  UNION ALL
+  SELECT k + 1, e.{target}, sum(p * {DAMPING} * e.links / e.{source}_total) FROM {name}_steps JOIN edges e ON host = e.{source} WHERE k < {STEPS} GROUP BY 1, 2
+),
+{name} AS (SELECT host, sum(p) / (SELECT sum(p) FROM {name}_steps) AS r FROM {name}_steps GROUP BY host)"""
 
 
 URL_FILTER = rf"""
-WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, html FROM pages),
+WITH RECURSIVE cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, html FROM pages),
 p AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, html FROM cut
@@ -132,10 +157,10 @@ pairs AS (SELECT src, dst, count(*) AS links FROM links WHERE src <> dst AND src
 edges AS (SELECT *, sum(links) OVER (PARTITION BY src) AS src_total, sum(links) OVER (PARTITION BY dst) AS dst_total FROM pairs),
 seeds AS (SELECT host, count(*) FILTER (own = 'allow') AS trust_n, count(*) FILTER (own = 'block') AS doubt_n FROM ruled WHERE own IS NOT NULL AND host <> '' GROUP BY host),
 {_ranks("trust", "src", "dst")}, {_ranks("doubt", "dst", "src")},
-totals AS (SELECT sum(trust_n) AS t, sum(doubt_n) AS b FROM seeds)
+totals AS (SELECT sum(trust_n) AS t, sum(doubt_n) AS b, {FLOOR} / greatest(1, (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges UNION SELECT host FROM seeds))) AS least FROM seeds)
 SELECT r.page_id, r.host, r.path, r.rule,
-       coalesce(r.own, CASE WHEN coalesce(d.r, 0) * (SELECT b FROM totals) > {RATIO} * coalesce(t.r, 0) * (SELECT t FROM totals) THEN 'block' ELSE 'allow' END) AS verdict
-FROM ruled r LEFT JOIN trust{ITERATIONS} t USING (host) LEFT JOIN doubt{ITERATIONS} d USING (host)
+       coalesce(r.own, CASE WHEN coalesce(d.r, 0) * (SELECT b / (t + b) FROM totals) > {RATIO} * coalesce(t.r, 0) * (SELECT t / (t + b) FROM totals) + (SELECT least FROM totals) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN trust t USING (host) LEFT JOIN doubt d USING (host)
 """
 
 SQL = {

@@ -35,10 +35,15 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, _ = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Two scans, as they follow each other in use: one by the base rules, and, when rules have been added, one that looks up
+    the first one's ledger and scans only pairs of blob and rule version that are new."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    _, ledger = secrets.scan(docs, rules=secrets.BASE_RULES)
+    paths, _ = secrets.scan(docs, ledger)
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    spans = secrets.span_text(F.col("findings"))
-    return paths.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+    kinds = [r.kind for r in secrets.BASE_RULES]
+    base = secrets.span_text(F.filter("findings", lambda x: x["kind"].isin(kinds)))
+    return paths.select("doc_id", *map(count, kinds), F.sha2(base, 256).alias("base_sha256"), secrets.span_text(F.col("findings")).alias("spans"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +52,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = decontam.phrase_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """``n_near`` counts the items with a proximity match, from the same index."""
+    docs = table(spark, sf_dir, "documents")
+    found = decontam.search(docs, table(spark, sf_dir, "benchmark"))
+    near = decontam.proximity_matches(found).groupBy(F.col("doc_id").alias("near_id"), F.col("content").alias("near_content")).agg(F.count_distinct("item_id").alias("n_near"))
+    judged = decontam.phrase_matches(docs, found).join(near, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("content") == F.col("near_content")), "left")
     hit, items = F.size(decontam.hit_positions(F.col("matches"))).cast("long"), decontam.item_ids(F.col("matches"))
     return judged.select(
         "doc_id",
@@ -56,6 +65,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -30,7 +31,8 @@ def plain(text, items, window):
 
 
 def judged(spark, rows, items, window):
-    found = decontam.phrase_matches(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, ITEMS), window)
+    docs = spark.createDataFrame(rows, DOCS)
+    found = decontam.phrase_matches(docs, decontam.search(docs, spark.createDataFrame(items, ITEMS), window))
     out = found.select("doc_id", "n_words", decontam.hit_positions(found["matches"]).alias("hit"), decontam.item_ids(found["matches"]).alias("ids")).collect()
     return sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], len(r["hit"]), r["ids"]) for r in out))
 
@@ -75,16 +77,57 @@ def test_only_contaminated_rows_go(spark):
     assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == {1, 3, 5}
 
 
+def plain_proximity(rows, items, window, slop):
+    counts = Counter(w for _, t in rows for w in terms(t))
+    near = set()
+    for item_id, text in items:
+        own = terms(text)
+        for start in range(max(len(own) - window, 0) + 1) if len(own) > 1 else ():
+            places = sorted(range(start, min(start + window, len(own))), key=lambda k: (counts[own[k]], k))[:2]
+            p, q = sorted(places)
+            for i, t in rows:
+                words = terms(t)
+                for x, w in enumerate(words):
+                    lo = max(0, x - (q - p) - slop)
+                    if w == own[p] and any(y != x and words[y] == own[q] for y in range(lo, min(len(words), x + (q - p) + slop + 1))):
+                        near.add((i, item_id))
+    return near
+
+
+@pytest.mark.parametrize("seed,window,slop", [(5, 10, 5), (6, 4, 0), (7, 3, 1)])
+def test_proximity_by_brute_force(spark, seed, window, slop):
+    rows, items = corpus(seed, window)
+    found = decontam.search(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, ITEMS), window)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.proximity_matches(found, slop).collect()}
+    assert got == plain_proximity(rows, items, window, slop) and got
+
+
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "alpha common common beta common")], ITEMS)
     rows = [(1, "alpha common x common beta common"), (2, "alpha " + "x " * 40 + "beta"), (3, "common common"), (4, "beta common common alpha")]
-    near = {r["doc_id"] for r in decontam.proximity_matches(spark.createDataFrame(rows, DOCS), items, slop=2).collect()}
+    near = {r["doc_id"] for r in decontam.proximity_matches(decontam.search(spark.createDataFrame(rows, DOCS), items), slop=2).collect()}
     assert near == {1, 4}
 
 
+def test_one_word_is_no_pair_with_itself(spark):
+    items = spark.createDataFrame([(1, "same and same")], ITEMS)
+    rows = [(1, "same"), (2, "same x same"), (3, "and and and and and")]
+    near = {r["doc_id"] for r in decontam.proximity_matches(decontam.search(spark.createDataFrame(rows, DOCS), items), slop=0).collect()}
+    assert near == {2}
+
+
+def test_a_very_long_text(spark):
+    passage = " ".join(f"word{k}" for k in range(14))
+    rows = [(1, "filler text word1 word2 " * 300_000 + passage), (2, "filler text word1 word2 " * 300_000)]
+    docs, items = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, passage)], ITEMS)
+    got = {r["doc_id"]: (r["n_words"], len(r["matches"])) for r in decontam.phrase_matches(docs, decontam.search(docs, items)).collect()}
+    assert got == {1: (1_200_014, 1), 2: (1_200_000, 0)}
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], DOCS), spark.createDataFrame([(1, "a b")], ITEMS)
     nothing = spark.createDataFrame([], DOCS)
-    assert decontam.phrase_matches(nothing, items).count() == 0
-    assert decontam.phrase_matches(docs, spark.createDataFrame([], ITEMS)).first()["matches"] == []
+    assert decontam.phrase_matches(nothing, decontam.search(nothing, items)).count() == 0
+    none = decontam.search(docs, spark.createDataFrame([], ITEMS))
+    assert decontam.phrase_matches(docs, none).first()["matches"] == [] and decontam.proximity_matches(none).count() == 0
     assert decontam.drop_contaminated(docs, spark.createDataFrame([], ITEMS)).count() == 1
