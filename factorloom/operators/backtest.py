@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import Series, ratio
+from .correlation import correlated, stacked
 from .metrics import Scoring, evaluate, given_range_ic, long_form, range_metrics
 from .resample import percent_rank
 
@@ -151,14 +152,8 @@ def single_factor_path(df: DataFrame, factor: str, ret: str, scoring: Scoring =
     return paths(long_form(df.where(F.col(split).isNotNull()), [factor], ret, s), s)
 
 
-def correlations(df: DataFrame, factors: list[str]) -> DataFrame:
-    """(a, b, r) for all pairs a < b of factors: one row of moments for the whole frame.
-
-    The number of pairs is that of columns, not rows; the frame is read once and only the moments leave the tasks.
-    """
-    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
-    cov = {(a, b): F.covar_samp(a, b) for a, b in pairs}
-    row = df.agg(F.array(*[F.stddev_samp(a) for a in factors]).alias("s"), F.array(*[cov[p] for p in pairs]).alias("c"))
-    flat = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(factors.index(a)).alias("i"), F.lit(factors.index(b)).alias("j"), F.lit(k).alias("k")) for k, (a, b) in enumerate(pairs)])
-    x = row.select("s", "c", F.explode(flat).alias("p"))
-    return x.select("p.a", "p.b", ratio(F.get("c", F.col("p.k")), F.get("s", F.col("p.i")) * F.get("s", F.col("p.j"))).alias("r"))
+def correlations(df: DataFrame, factors: list[str], series: Series = Series()) -> DataFrame:
+    """(a, b, r) for all pairs of factors, in the order in which they are named; null where one doesn't vary."""
+    names = F.array(*[F.lit(x) for x in factors])
+    found = correlated(stacked(df, factors, series=series), len(factors))
+    return found.select(F.get(names, F.col("a")).alias("a"), F.get(names, F.col("b")).alias("b"), "r")

@@ -2,8 +2,8 @@
 
 Programs are small trees and are bred on the driver. Scoring is the work: all new programs of a generation are compiled
 into batches of factor columns, so that equal subtrees are computed once for the whole generation, and each batch is one
-Spark job that returns one row for each program. Redundant programs are found from a correlation matrix that Spark
-computes, over the whole generation at once, so results depend on the seed and not on the number of cores.
+Spark job that returns one row for each program. Redundant programs are found from the correlated pairs that Spark
+computes block by block, over the whole generation at once, so results depend on the seed and not on the number of cores.
 """
 
 from __future__ import annotations
@@ -20,10 +20,14 @@ from ..functions.frames import Series
 from ..functions.registry import Operator, active_operators
 from ..plans.compile import NORM_WINDOW, compile_factors
 from ..plans.expr import Call, Const, Feature, Node, depth, length, to_text, walk
-from .backtest import correlations
+from .correlation import correlated, stacked
 from .metrics import METRICS, Scoring, evaluate
 
 
+#: Pairs of programs that reach the driver at once when the hall of fame is thinned.
+PAIRS_AT_ONCE = 1_000_000
+
+
 @dataclass(frozen=True)
 class EvolveConfig:
     population: int = 200
@@ -47,7 +51,8 @@ class EvolveConfig:
     max_samples: float = 1.0
     seed: int = 42
     batch: int = 50
-    max_depth: int = 6
+    #: Children deeper than this give way to their parents; None: no limit. Plans grow with depth.
+    max_depth: int | None = None
     norm_window: int = NORM_WINDOW
 
     def __post_init__(self) -> None:
@@ -164,8 +169,8 @@ class Breeder:
             new, method, parents = self.point_mutation(tree), "point mutation", (k,)
         else:
             new, method, parents = tree, "reproduction", (k,)
-        if depth(new) > c.max_depth or not isinstance(new, Call):
-            # Plans grow with depth, and roots are operators; such a child gives way to its parent.
+        if (c.max_depth and depth(new) > c.max_depth) or not isinstance(new, Call):
+            # Roots are operators, and there may be a limit; such a child gives way to its parent.
             new, method = tree, "reproduction"
         return Program(new, born=generation, method=method, parents=parents)
 
@@ -201,26 +206,31 @@ def parsimony_rate(config: EvolveConfig, programs: list[Program]) -> float:
     return float(np.cov(sizes, worth)[1, 0] / variance) if variance else 0.0
 
 
-def diff_filter(corr: dict[tuple[int, int], float], fitness: list[float], limit: float) -> list[bool]:
-    """Which programs stay: of two that correlate beyond the limit the less fit goes. A single program doesn't stay.
+def independent(pairs: dict[int, np.ndarray], fitness: np.ndarray) -> np.ndarray:
+    """Which programs stay, given for each the later ones that it resembles too much.
 
-    A program goes on throwing out others in the round in which it is thrown out itself. Undefined correlations are none.
+    Programs take their turn in order, unless an earlier one has thrown them out: all that are no fitter go, and the program
+    itself goes if any is fitter.
     """
-    n = len(fitness)
-    if n <= 1:
-        return [False] * n
-    keep = [True] * n
-    for i in range(n):
-        if not keep[i]:
-            continue
-        for j in range(i + 1, n):
-            r = corr.get((i, j))
-            if r is not None and math.isfinite(r) and abs(r) > limit:
-                if fitness[i] < fitness[j]:
-                    keep[i] = False
-                else:
-                    keep[j] = False
-    return keep
+    stays = np.ones(len(fitness), bool)
+    for turn in sorted(pairs):
+        if stays[turn]:
+            rivals = pairs[turn]
+            fitter = fitness[rivals] > fitness[turn]
+            stays[rivals[~fitter]] = False
+            stays[turn] = not fitter.any()
+    return stays
+
+
+def thinned(pairs: list[tuple[int, int]], left: set[int], wanted: int) -> set[int]:
+    """``left`` without the later member of each pair whose members are both still there, until ``wanted`` are left."""
+    left = set(left)
+    for a, b in pairs:
+        if len(left) <= wanted:
+            break
+        if a in left and b in left:
+            left.remove(b)
+    return left
 
 
 class Evolution:
@@ -268,18 +278,26 @@ class Evolution:
             p.raw, p.oob = self.scores[p.text]
 
     def filtered(self, programs: list[Program]) -> list[Program]:
-        """The programs that the correlation filter leaves; equal texts are one."""
+        """The programs that the correlation filter leaves; equal texts are one, and a single one doesn't stay."""
         unique = list({p.text: p for p in programs if math.isfinite(p.raw)}.values())
         if len(unique) < 2:
             return []
-        corr = self.correlation(unique)
-        keep = diff_filter(corr, [self.better * p.raw for p in unique], self.config.max_correlation)
-        return [p for p, k in zip(unique, keep) if k]
-
-    def correlation(self, programs: list[Program]) -> dict[tuple[int, int], float]:
-        names = {f"f{k}": p.tree for k, p in enumerate(programs)}
-        rows = correlations(self._factor_frame(names), list(names)).collect()
-        return {(int(r["a"][1:]), int(r["b"][1:])): math.nan if r["r"] is None else r["r"] for r in rows}
+        close = self.correlated(unique, self.config.max_correlation).groupBy("a").agg(F.collect_list("b").alias("b"))
+        # The numbers of correlated programs: as many as there are pairs beyond the limit.
+        pairs = {r["a"]: np.array(r["b"]) for r in close.collect()}
+        stays = independent(pairs, np.array([self.better * p.raw for p in unique]))
+        return [p for p, k in zip(unique, stays) if k]
+
+    def correlated(self, programs: list[Program], least: float = -1.0) -> DataFrame:
+        """(a, b, r) of the numbers of correlated programs, a batch of them in a plan."""
+        rows, first = None, 0
+        for batch in self._batches([p.tree for p in programs]):
+            names = {f"f{k}": tree for k, tree in enumerate(batch)}
+            part = stacked(self._factor_frame(names), list(names), first, self.series)
+            if len(programs) > len(batch):
+                part = part.checkpoint()
+            rows, first = part if rows is None else rows.unionByName(part), first + len(batch)
+        return correlated(rows, len(programs), least)
 
     def run(self, warm: list[Program] | None = None) -> list[Program]:
         """The best programs, at most ``components``. ``warm``: programs of an earlier run to go on from."""
@@ -321,12 +339,17 @@ class Evolution:
         fame = sorted({p.text: p for p in pool}.values(), key=lambda p: (-self.better * p.raw, p.text))[: self.config.hall_of_fame]
         if len(fame) <= self.config.components:
             return fame
-        corr = {k: abs(r) if math.isfinite(r) else 0.0 for k, r in self.correlation(fame).items()}
+        everything = self.correlated(fame).select("a", "b", F.coalesce(F.abs("r"), F.lit(0.0)).alias("r"))
+        if len(fame) > PAIRS_AT_ONCE**0.5:
+            everything = everything.checkpoint()
         left = set(range(len(fame)))
         while len(left) > self.config.components:
-            _, worse = max((corr[k], k[1]) for k in corr if k[0] in left and k[1] in left)
-            # Fame is sorted, so the later of a pair is the less fit.
-            left.remove(worse)
+            # Fame is sorted, so the later of a pair is the less fit. The largest pairs are settled first, so those among
+            # programs that are left go on where the last ones ended.
+            there = F.broadcast(self.df.sparkSession.createDataFrame([(k,) for k in sorted(left)], "k int"))
+            rest = everything.join(there.withColumnRenamed("k", "a"), "a").join(there.withColumnRenamed("k", "b"), "b")
+            top = rest.orderBy(F.desc("r"), F.desc("b"), F.desc("a")).limit(PAIRS_AT_ONCE).select("a", "b").collect()
+            left = thinned([(r["a"], r["b"]) for r in top], left, self.config.components)
         return [p for k, p in enumerate(fame) if k in left]
 
     def table(self, programs: list[Program]) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from factorloom.operators import backtest, evolve, features, labels, metrics, normalise, resample
+from factorloom.operators import backtest, correlation, evolve, features, labels, metrics, normalise, resample
 from factorloom.plans import parse, to_text
 from factorloom.plans.expr import Const, Feature, depth
 from factorloom.queries import streams
@@ -148,11 +148,73 @@ def test_trees_change_but_stay_whole():
     assert to_text(evolve.graft(t, 3, Const(1.0))) == "add(abs(c), 1.0)"
 
 
+def plain_filter(r, fitness, limit):
+    """The rule in words: in order, each program that is still in meets all later ones; of two alike the less fit goes."""
+    out = set()
+    for i in range(len(fitness)):
+        if i in out:
+            continue
+        for j in range(i + 1, len(fitness)):
+            if abs(r[i][j]) > limit:
+                out.add(i if fitness[i] < fitness[j] else j)
+    return [k not in out for k in range(len(fitness))]
+
+
 def test_filter_drops_the_less_fit_of_like_programs():
-    assert evolve.diff_filter({(0, 1): 0.99, (0, 2): 0.1, (1, 2): float("nan")}, [1.0, 2.0, 0.5], 0.9) == [False, True, True]
-    assert evolve.diff_filter({}, [1.0], 0.9) == [False]
-    # The first goes on throwing out after it is out itself.
-    assert evolve.diff_filter({(0, 1): 0.95, (0, 2): 0.95}, [1.0, 2.0, 0.5], 0.9) == [False, True, False]
+    near = {0: np.array([1, 2])}
+    # The first goes on throwing out in the turn in which it is thrown out itself.
+    assert evolve.independent(near, np.array([1.0, 2.0, 0.5])).tolist() == [False, True, False]
+    assert evolve.independent({}, np.array([1.0, 2.0])).tolist() == [True, True]
+    rng = np.random.RandomState(1)
+    for _ in range(200):
+        n = rng.randint(2, 12)
+        r = np.triu(rng.uniform(-1, 1, (n, n)), 1)
+        fitness = rng.randint(0, 4, n).astype(float)
+        pairs = {i: np.flatnonzero(np.abs(r[i]) > 0.6) for i in range(n) if (np.abs(r[i]) > 0.6).any()}
+        assert evolve.independent(pairs, fitness).tolist() == plain_filter(r.tolist(), fitness.tolist(), 0.6)
+
+
+def test_thinning_settles_the_largest_pairs_first():
+    assert evolve.thinned([(0, 1), (1, 2), (0, 3)], {0, 1, 2, 3}, 2) == {0, 2}
+    assert evolve.thinned([], {0, 1}, 1) == {0, 1}
+
+
+@pytest.mark.parametrize("factors,tile,chunk", [(7, 3, 2), (40, 16, 16), (5, 500, 50)])
+def test_blocked_correlations_equal_numpy(spark, monkeypatch, factors, tile, chunk):
+    monkeypatch.setattr(correlation, "TILE", tile)
+    monkeypatch.setattr(correlation, "CHUNK", chunk)
+    monkeypatch.setattr(correlation, "ROWS_PER_TASK", 60)
+    rng = np.random.RandomState(2)
+    x = rng.randn(300, factors) @ rng.randn(factors, factors) + 1e6
+    x[:, 2] = 0.1
+    frames, first = None, 0
+    for batch in np.array_split(np.arange(factors), 3):
+        rows = [("s", k, *map(float, x[k, batch])) for k in range(300)]
+        names = [f"f{i}" for i in range(len(batch))]
+        part = spark.createDataFrame(rows, "symbol string, ts int, " + ", ".join(f"{n} double" for n in names))
+        part = correlation.stacked(part.repartition(3), names, first)
+        frames, first = part if frames is None else frames.unionByName(part), first + len(batch)
+    with np.errstate(all="ignore"):
+        want = np.corrcoef(x.T)
+    got = {(r["a"], r["b"]): r["r"] for r in correlation.correlated(frames, factors).collect()}
+    assert len(got) == factors * (factors - 1) // 2
+    for (a, b), r in got.items():
+        assert a < b and (r is None if 2 in (a, b) else abs(r - want[a, b]) < 1e-7)
+    beyond = {(r["a"], r["b"]) for r in correlation.correlated(frames, factors, 0.3).collect()}
+    assert beyond == {k for k, r in got.items() if r is not None and abs(r) > 0.3}
+
+
+def test_correlations_of_two_thousand_factors(spark):
+    """As many factors as a large population has; as columns of one frame their pairs could not be planned."""
+    n, rows = 2000, 400
+    rng = np.random.RandomState(3)
+    x = rng.randn(rows, n)
+    x[:, 1000:1100] = x[:, :100] + 0.1 * rng.randn(rows, 100)
+    parts = [pd.DataFrame({"symbol": "s", "ts": np.arange(rows), "first": k, "x": x[:, k : k + 50].tolist()}) for k in range(0, n, 50)]
+    df = spark.createDataFrame(pd.concat(parts)).select(F.struct("symbol", "ts").alias("row"), F.col("first").cast("int").alias("first"), "x")
+    got = {(r["a"], r["b"]) for r in correlation.correlated(df, n, 0.9).collect()}
+    want = np.triu(np.abs(np.corrcoef(x.T)) > 0.9, 1)
+    assert got == set(zip(*(v.tolist() for v in np.nonzero(want)))) and len(got) >= 100
 
 
 @pytest.fixture(scope="module")
