@@ -14,7 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import clean, ratio
+from ..functions.frames import ROW, Series, clean, ratio
+from ..functions.ordered import FrameQuantile
+from ..plans.compile import _run_recursive, with_long_deviation
 from .resample import average_rank
 
 Y_CLIP, X_CLIP = 0.2, 20.0
@@ -37,6 +39,10 @@ class Scoring:
     def group(self) -> tuple[str, ...]:
         return ("factor", *self.keys)
 
+    @property
+    def series(self) -> Series:
+        return Series(self.group, (self.order,))
+
     @property
     def upto(self):
         return Window.partitionBy(*self.group).orderBy(self.order).rowsBetween(Window.unboundedPreceding, 0)
@@ -169,17 +175,14 @@ def path_metrics(long: DataFrame, s: Scoring) -> DataFrame:
 
 def position_metrics(long: DataFrame, s: Scoring, up: float = 0.9, down: float = 0.1, n_std: float = 2.0) -> DataFrame:
     """Sharpe ratios of holding by rolling quantiles and by rolling mean and deviation, over full windows."""
-    p, w = F.col("y_pred"), s.last(s.window)
-    bounds = long.select(
-        *s.group, s.order, "y", "w", "y_pred",
-        F.count("*").over(w).alias("n"),
-        F.percentile("y_pred", F.array(F.lit(down), F.lit(up))).over(w).alias("q"),
-        F.avg("y_pred").over(w).alias("m"),
-        F.stddev_samp("y_pred").over(w).alias("d"),
-    )
-    full = F.col("n") == s.window
+    p = F.col("y_pred")
+    quantile = lambda q: (lambda: FrameQuantile(s.window, q), ["y_pred"])
+    bounds = _run_recursive(long.select(*s.group, s.order, "y", "w", "y_pred"), s.series, {"low": quantile(down), "high": quantile(up)})
+    bounds = bounds.withColumn(ROW, F.row_number().over(s.series.plain))
+    bounds = with_long_deviation(bounds, s.series, {"y_pred": "d"}, s.window, {"y_pred": "m"})
+    full = F.col(ROW) >= s.window
     side = lambda high, low: F.when(full & (p > high), 1.0).when(full & (p < low), -1.0).otherwise(0.0)
-    fixed = side(F.get("q", F.lit(1)), F.get("q", F.lit(0)))
+    fixed = side(F.col("high"), F.col("low"))
     wide = side(F.col("m") + n_std * F.col("d"), F.col("m") - n_std * F.col("d"))
     held = bounds.select(*s.group, result(fixed).alias("a"), result(wide).alias("b"))
     sharp = lambda x: ratio(F.avg(x), F.stddev_pop(x)) * math.sqrt(s.periods)
@@ -359,10 +362,10 @@ def given_range_ic(long: DataFrame, bounds: DataFrame, s: Scoring, method: str =
 
 def paths(long: DataFrame, s: Scoring) -> DataFrame:
     """Row by row: result, running sum, and the rolling Sharpe ratio of a full window (0 before)."""
-    w = s.last(s.window)
-    rows = long.withColumn("rts", result())
-    sharp = ratio(F.avg("rts").over(w), F.stddev_samp("rts").over(w)) * math.sqrt(s.periods)
+    rows = long.withColumn("rts", result()).withColumn(ROW, F.row_number().over(s.series.plain))
+    rows = with_long_deviation(rows, s.series, {"rts": "__d"}, s.window, {"rts": "__m"})
+    sharp = ratio(F.col("__m"), F.col("__d")) * math.sqrt(s.periods)
     return rows.select(
         *s.group, s.order, "rts", F.sum("rts").over(s.upto).alias("pnl"),
-        F.when(F.count("*").over(w) == s.window, F.coalesce(sharp, F.lit(0.0))).otherwise(F.lit(0.0)).alias("rolling_sharp"),
+        F.when(F.col(ROW) >= s.window, F.coalesce(sharp, F.lit(0.0))).otherwise(F.lit(0.0)).alias("rolling_sharp"),
     )

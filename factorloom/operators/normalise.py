@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import ROW, Series, clean, ratio
-from ..plans.compile import with_long_deviation
+from ..functions.ordered import RankBefore, Uniform, ValueAt
+from ..plans.compile import _run_recursive, with_long_deviation
 
 
 def _numbered(df: DataFrame, series: Series) -> DataFrame:
@@ -96,39 +96,33 @@ def gauss_rank(df: DataFrame, column: str, out: str, window: int = 500, clip: fl
     Ties and the place between neighbours are settled by the middle, so equal inputs give equal outputs; with ``seed``
     a uniform number takes the middle's place: NumPy's legacy stream of that seed, by row number, drawn in the tasks.
     """
-    now = _numbered(df, series)
-    x = F.col(column)
-    values = F.collect_list(x).over(series.before(window))
-    now = now.withColumn("__v", values)
-    below = F.size(F.filter("__v", lambda v: v < x))
-    ties = F.size(F.filter("__v", lambda v: v == x))
-    if seed is None:
-        place = F.lit(0.5)
-    else:
-        now = _with_uniform(now, seed)
-        place = F.col("__u")
-    q = (below + place * F.when(ties > 0, ties + 1).otherwise(F.lit(1))) / (window + 1)
-    score = F.greatest(F.lit(-clip), F.least(F.lit(clip), inverse_normal(q)))
-    return now.withColumn(out, F.when(F.size("__v") == window, score).otherwise(F.lit(0.0))).drop("__v", "__u", ROW)
-
-
-def _with_uniform(df: DataFrame, seed: int) -> DataFrame:
-    """Adds ``__u``, the number with the row's number in the stream of ``seed``."""
-
-    @F.pandas_udf("double")
-    def drawn(row):
-        n = row.to_numpy()
-        return __import__("pandas").Series(np.random.RandomState(seed).random_sample(int(n.max()))[n - 1])
-
-    return df.withColumn("__u", drawn(F.col(ROW)))
+    return gauss_ranks(df, {out: (column, window)}, clip, seed, series)
+
+
+def gauss_ranks(df: DataFrame, scores: dict[str, tuple[str, int]], clip: float = 6.0, seed: int | None = None, series: Series = Series()) -> DataFrame:
+    """``gauss_rank`` for several results (name -> (column, window)) in one pass."""
+    # States take numbers, so that a null is what stands for nothing.
+    jobs = {f"__q_{name}": ((lambda w=w: RankBefore(w)), [column]) for name, (column, w) in scores.items()}
+    if seed is not None:
+        jobs["__u"] = (lambda: Uniform(seed), [next(iter(scores.values()))[0]])
+    now = _run_recursive(df, series, jobs)
+    place = F.lit(0.5) if seed is None else F.col("__u")
+    out = {}
+    for name, (_, window) in scores.items():
+        code = F.col(f"__q_{name}")
+        below, ties = F.floor(code / (window + 1)), code % (window + 1)
+        q = (below + place * F.when(ties > 0, ties + 1).otherwise(F.lit(1))) / (window + 1)
+        score = F.greatest(F.lit(-clip), F.least(F.lit(clip), inverse_normal(q)))
+        out[name] = F.when(code >= 0, score).otherwise(F.lit(0.0))
+    return now.withColumns(out).drop(*jobs)
 
 
 def inverse_gauss_rank(df: DataFrame, scored: str, column: str, out: str, window: int = 500, series: Series = Series()) -> DataFrame:
     """The value that stands at the score's quantile among the ``window`` values before the row; 0 for the first rows."""
-    now = df.withColumn("__v", F.sort_array(F.collect_list(column).over(series.before(window))))
-    place = F.floor(normal_cdf(F.col(scored)) * window).cast("int")
-    at = F.greatest(F.lit(0), F.least(place, F.lit(window - 1)))
-    return now.withColumn(out, F.when(F.size("__v") == window, F.get("__v", at)).otherwise(F.lit(0.0))).drop("__v")
+    place = F.floor(normal_cdf(F.col(scored)) * window)
+    now = df.withColumn("__p", F.greatest(F.lit(0), F.least(place, F.lit(window - 1))).cast("double"))
+    now = _run_recursive(now, series, {"__v": (lambda: ValueAt(window), ["__p", column])})
+    return now.withColumn(out, clean(F.col("__v"))).drop("__v", "__p")
 
 
 QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
@@ -166,13 +160,14 @@ def inverse_check(df: DataFrame, column: str, restored: str, series: Series = Se
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), error.alias("mean_relative_error"), _pearson("x", "y").alias("pearson"), _pearson("rx", "ry").alias("spearman"))
 
 
-def position_performance(df: DataFrame, label: str, ret: str, skip: int = 0, fee: float = 0.0004, periods: int = 24 * 365, series: Series = Series()) -> DataFrame:
-    """Twelve figures of holding +1 where ``label`` is positive and -1 elsewhere, fees on changes, from row ``skip`` on."""
+def position_performance(df: DataFrame, label: str, ret: str, skip: int | str = 0, fee: float = 0.0004, periods: int = 24 * 365, series: Series = Series()) -> DataFrame:
+    """Twelve figures of holding +1 where ``label`` is positive and -1 elsewhere, fees on changes, from row ``skip`` (a number
+    or a column) on."""
     w = series.plain
     keys = list(series.keys)
     now = df.withColumn("__pos", F.when(F.coalesce(F.col(label), F.lit(0.0)) > 0, 1.0).otherwise(-1.0)).withColumn(ROW, F.row_number().over(w))
     now = now.withColumn("__turn", F.abs(F.col("__pos") - F.lag("__pos").over(w)))
-    now = now.withColumn("__net", F.col("__pos") * F.col(ret) - F.col("__turn") * fee).where(F.col(ROW) > skip)
+    now = now.withColumn("__net", F.col("__pos") * F.col(ret) - F.col("__turn") * fee).where(F.col(ROW) > (F.col(skip) if isinstance(skip, str) else skip))
     # The first row of all has no change and no net result, as there is nothing to compare with.
     now = now.withColumn("__value", 1.0 + F.sum("__net").over(series.upto))
     now = now.withColumn("__drop", ratio(F.col("__value"), F.max("__value").over(series.upto)) - 1.0)
@@ -196,15 +191,17 @@ def position_performance(df: DataFrame, label: str, ret: str, skip: int = 0, fee
 
 
 def label_sweep(df: DataFrame, price: str, windows: tuple[int, ...], horizons: tuple[int, ...], series: Series = Series()) -> DataFrame:
-    """Position figures for Gauss-rank labels of every window and forward horizon, as one plan: (window, horizon, ...)."""
-    out = None
-    for h in horizons:
-        forward = ratio(F.lead(price, h).over(series.plain), F.col(price)) - 1.0
-        one = ratio(F.lead(price, 1).over(series.plain), F.col(price)) - 1.0
-        base = df.select(*series.keys, *series.order, forward.alias("fwd"), one.alias("ret")).dropna(subset=["fwd", "ret"])
-        for w in windows:
-            scored = gauss_rank(base, "fwd", "label", w, series=series)
-            row = position_performance(scored, "label", "ret", skip=w, series=series)
-            row = row.select(F.lit(w).alias("window"), F.lit(h).alias("horizon"), "*")
-            out = row if out is None else out.unionByName(row)
-    return out
+    """Position figures for Gauss-rank labels of every window and forward horizon: (window, horizon, ...).
+
+    A horizon is a series of its own; all windows of all horizons are ranked in one pass and held in one.
+    """
+    change = lambda n: ratio(F.lead(price, n).over(series.plain), F.col(price)) - 1.0
+    wide = df.select(*series.keys, *series.order, change(1).alias("ret"), *[change(h).alias(f"__{h}") for h in horizons])
+    ahead = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"__{h}").alias("fwd")) for h in horizons])).alias("a")
+    rows = wide.select(*series.keys, *series.order, "ret", ahead).select(*series.keys, *series.order, "ret", "a.horizon", "a.fwd")
+    by_horizon = Series((*series.keys, "horizon"), series.order)
+    scored = gauss_ranks(rows.dropna(subset=["fwd", "ret"]), {f"__{w}": ("fwd", w) for w in windows}, series=by_horizon)
+    labels = F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.col(f"__{w}").alias("label")) for w in windows])).alias("x")
+    long = scored.select(*by_horizon.keys, *series.order, "ret", labels).select(*by_horizon.keys, *series.order, "ret", "x.window", "x.label")
+    found = position_performance(long, "label", "ret", skip="window", series=Series((*by_horizon.keys, "window"), series.order))
+    return found.select("window", "horizon", *[c for c in found.columns if c not in ("window", "horizon")])

@@ -78,8 +78,8 @@ def _run_recursive(df: DataFrame, series: Series, jobs: dict[str, tuple[Callable
     return dealt.sortWithinPartitions(*keys, *series.order).mapInArrow(of_partition, schema)
 
 
-def with_long_deviation(df: DataFrame, series: Series, columns: dict[str, str], t: int) -> DataFrame:
-    """Rolling sample deviations (column -> name of the result) over long frames, linear in the rows.
+def with_long_deviation(df: DataFrame, series: Series, columns: dict[str, str], t: int, means: dict[str, str] | None = None) -> DataFrame:
+    """Rolling sample deviations, and means where wanted (column -> name of the result), over long frames, linear in the rows.
 
     Rows are cut into blocks of ``t``. A frame is the end of one block and the beginning of the next, so its moments are
     merged from running moments inside blocks, forwards and backwards. No running totals are subtracted, so no digits
@@ -107,6 +107,8 @@ def with_long_deviation(df: DataFrame, series: Series, columns: dict[str, str],
         n = F.when(both, a["n"] + p["n"]).otherwise(a["n"])
         q = F.when(both, a["q"] + p["q"] + (a["m"] - p["m"]) * (a["m"] - p["m"]) * a["n"] * p["n"] / (a["n"] + p["n"])).otherwise(a["q"])
         out[name] = F.when(n > 1, F.sqrt(q / (n - 1)))
+        if means and x in means:
+            out[means[x]] = F.when(both, a["m"] + (p["m"] - a["m"]) * p["n"] / n).otherwise(a["m"])
     return cut.withColumns(out).drop(BLOCK, IN_BLOCK, *[f"__{k}_{x}" for k in "abfp" for x in columns])
 
 
@@ -115,12 +117,13 @@ def compile_factors(
     factors: dict[str, str | Node],
     series: Series = Series(),
     norm_window: int = NORM_WINDOW,
-    long_frames: bool = False,
+    long_frames: bool = True,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """``df`` (its series columns and ``keep``) with one double column for each factor (name -> expression).
 
-    ``long_frames`` takes the linear form of the normalising deviation, which pays from some 10,000 rows in a series.
+    ``long_frames`` takes the linear form of the normalising deviation; the other reads the whole frame for every row, which
+    costs less only where a series has fewer rows than a frame.
     Nulls, NaN and infinities in features count as 0, and no factor holds any.
     """
     trees = {name: parse(x) if isinstance(x, str) else x for name, x in factors.items()}
