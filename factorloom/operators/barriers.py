@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.frames import Series, ratio
@@ -60,24 +60,37 @@ def ewm_volatility(series_rows: DataFrame, span: int, factor: float = 1.0, colum
             return math.nan if x is None else super().step(x)
 
     now = _run_recursive(now, series, {"__s": (lambda: Skipping(span), ["__d"])})
-    following = series.plain.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     known = F.when(~F.isnan("__s"), F.col("__s") * factor)
-    return now.withColumn(out, F.first(known, ignorenulls=True).over(following)).drop("__d", "__s")
+    return now.withColumn(out, F.last(known, ignorenulls=True).over(_backwards(series))).drop("__d", "__s")
+
+
+def _backwards(series: Series) -> WindowSpec:
+    """From the last row down to the current one: a running frame, where one up to the last row is read anew for each row."""
+    return Window.partitionBy(*series.keys).orderBy(*[F.desc(x) for x in series.order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def vertical_barriers(events: DataFrame, prices: DataFrame, holding_seconds: int, series: Series = Series()) -> DataFrame:
-    """``events`` with ``vertical``: the first bar at or after each event's ``ts`` plus the holding time, null beyond the end.
+    """``events`` with ``vertical``: the first bar at or after each event's ``ts`` plus the holding time, null beyond the end."""
+    key, at = series.keys[0], series.order[0]
+    found = _next_bars(events.select(key, at).distinct(), prices.select(key, at, F.lit(None).cast("double").alias("c")), (holding_seconds,), series)
+    return events.join(found.select(key, at, F.col("bar").alias("vertical")), [key, at], "left")
+
 
-    A forward as-of join by one sort: targets and bars are put in one order, and each target takes the next bar's time.
+def _next_bars(entries: DataFrame, prices: DataFrame, holdings: tuple[int, ...], series: Series) -> DataFrame:
+    """(key, order, holding, bar, price): the first bar at or after each entry's time plus each holding time.
+
+    A forward as-of join by one sort: targets and bars are put in one order, the latest first, and each target takes the
+    last bar before it. Targets without a bar are there with nulls.
     """
     key, at = series.keys[0], series.order[0]
-    goal = F.col(at) + F.make_dt_interval(secs=F.lit(holding_seconds))
-    targets = events.select(key, goal.alias("when"), F.col(at).alias("event"), F.lit(None).cast("timestamp").alias("bar"))
-    bars = prices.select(key, F.col(at).alias("when"), F.lit(None).cast("timestamp").alias("event"), F.col(at).alias("bar"))
-    # At equal times a target comes before the bar, so that it finds it.
-    onward = Window.partitionBy(key).orderBy("when", F.col("bar").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = targets.unionByName(bars).withColumn("vertical", F.first("bar", ignorenulls=True).over(onward)).where("event is not null")
-    return events.join(found.select(key, F.col("event").alias(at), "vertical").dropDuplicates([key, at]), [key, at], "left")
+    ahead = entries.select(key, F.col(at).alias("event"), F.explode(F.array(*[F.lit(h) for h in holdings])).alias("holding"))
+    none = F.lit(None).cast("struct<bar:timestamp,price:double>")
+    targets = ahead.select(key, (F.col("event") + F.make_dt_interval(secs=F.col("holding"))).alias("when"), "event", "holding", none.alias("found"))
+    bars = prices.select(key, F.col(at).alias("when"), F.lit(None).cast("timestamp").alias("event"), F.lit(None).cast("int").alias("holding"), F.struct(F.col(at).alias("bar"), F.col("c").alias("price")).alias("found"))
+    # At equal times the bar comes before the target, so that it is found.
+    down = Window.partitionBy(key).orderBy(F.desc("when"), F.col("event").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = targets.unionByName(bars).withColumn("last", F.last("found", ignorenulls=True).over(down)).where("event is not null")
+    return met.select(key, F.col("event").alias(at), "holding", "last.bar", "last.price")
 
 
 def _hour(ts: Column | str, seconds: int) -> Column:
@@ -142,8 +155,9 @@ def barrier_grid(
 ) -> DataFrame:
     """Outcome counts for every span, threshold factor, pair of multiples and holding time, as one plan.
 
-    Volatilities of all spans are one pass. The paths of an event are joined once for the longest holding time and read
-    for all multiples and holding times together.
+    Volatilities of all spans are one pass, and so are the CUSUM filters. The paths of all entries are joined once, for the
+    longest holding time: when a path first passes a pair of multiples does not depend on how long it is held, so each
+    path gives one first touch for each pair, and the holding times are compared with that.
     """
     close = prepared_close(prices)
     now = close.withColumn("__d", F.col("base") - F.lag("base").over(Series().plain))
@@ -153,35 +167,40 @@ def barrier_grid(
             return math.nan if x is None else super().step(x)
 
     now = _run_recursive(now, Series(), {f"v{s}": ((lambda s=s: Skipping(s)), ["__d"]) for s in spans})
-    onward = Series().plain.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    now = now.withColumns({f"v{s}": F.first(F.when(~F.isnan(f"v{s}"), F.col(f"v{s}")), ignorenulls=True).over(onward) for s in spans})
+    now = now.withColumns({f"v{s}": F.last(F.when(~F.isnan(f"v{s}"), F.col(f"v{s}")), ignorenulls=True).over(_backwards(Series())) for s in spans})
     tags = {f"e{i}_{j}": (s, k) for i, s in enumerate(spans) for j, k in enumerate(ks)}
     now = now.withColumns({f"t_{t}": F.col(f"v{s}") * k for t, (s, k) in tags.items()})
     now = _run_recursive(now, Series(), {t: (Cusum, ["base", f"t_{t}"]) for t in tags})
     long = F.array(*[F.struct(F.lit(s).alias("span"), F.lit(float(k)).alias("k"), F.col(t).alias("fired"), F.col(f"t_{t}").alias("trgt")) for t, (s, k) in tags.items()])
-    events = now.select("symbol", "ts", F.explode(long).alias("e")).where("e.fired != 0").select("symbol", "ts", "e.span", "e.k", "e.trgt")
-    out = None
-    for hold in holdings:
-        entries = events.select("symbol", "ts").distinct()
-        ends = events.join(vertical_barriers(entries, close, hold), ["symbol", "ts"])
-        for pt, sl in multiples:
-            one = _labelled_grid(ends, close, pt, sl)
-            row = outcome_counts(one, ["span", "k"]).select("span", "k", F.lit(float(pt)).alias("pt"), F.lit(float(sl)).alias("sl"), F.lit(hold).alias("holding"), "events", "profits", "losses", "neutral", "verticals", "profit_ratio", "loss_ratio")
-            out = row if out is None else out.unionByName(row)
-    return out
-
-
-def _labelled_grid(ends: DataFrame, close: DataFrame, pt: float, sl: float, bucket: int = 86_400) -> DataFrame:
+    events = now.select("symbol", "ts", F.col("c").alias("entry"), F.filter(long, lambda e: e["fired"] != 0).alias("fired")).where(F.size("fired") > 0)
+    return _grid_counts(_grid_touches(events, close, multiples, holdings), multiples)
+
+
+def _grid_touches(events: DataFrame, close: DataFrame, multiples: tuple[tuple[float, float], ...], holdings: tuple[int, ...], bucket: int = 86_400) -> DataFrame:
+    """(symbol, ts, span, k, entry, ends, touches): for each event of ``events`` (symbol, ts, entry, fired) what each holding
+    time ends with, and the first bar of the path, as long as the longest of them, that passes each pair of multiples."""
     final = close.groupBy("symbol").agg(F.max("ts").alias("final_ts"))
-    entry = close.select("symbol", "ts", F.col("c").alias("entry"))
-    e = ends.join(entry, ["symbol", "ts"]).join(final, "symbol").withColumn("until", F.coalesce("vertical", "final_ts"))
-    spread = e.withColumn("bucket", F.explode(F.sequence(_hour("ts", bucket), _hour("until", bucket))))
+    ends = _next_bars(events.select("symbol", "ts"), close, holdings, Series()).join(final, "symbol")
+    each = F.struct("holding", F.col("bar").alias("vertical"), "price", F.coalesce("bar", "final_ts").alias("until"))
+    ends = ends.groupBy("symbol", "ts").agg(F.sort_array(F.collect_list(each)).alias("ends"))
+    entries = events.join(ends, ["symbol", "ts"]).withColumn("until", F.array_max(F.transform("ends", lambda e: e["until"])))
+    spread = entries.withColumn("bucket", F.explode(F.sequence(_hour("ts", bucket), _hour("until", bucket))))
     bars = close.select("symbol", F.col("ts").alias("bar"), "c", _hour("ts", bucket).alias("bucket"))
     path = spread.join(bars, ["symbol", "bucket"]).where((F.col("bar") >= F.col("ts")) & (F.col("bar") <= F.col("until")))
-    gain = F.col("c") / F.col("entry") - 1.0
-    hit = (gain > pt * F.col("trgt")) | (gain < -sl * F.col("trgt")) | (F.col("bar") == F.col("vertical"))
-    first = F.min(F.when(hit, F.struct("bar", "c")))
-    back = path.groupBy("symbol", "ts", "span", "k", "entry", "trgt", "vertical").agg(first.alias("x"))
-    touched = (F.col("x.c") / F.col("entry") - 1.0 > pt * F.col("trgt")) | (F.col("x.c") / F.col("entry") - 1.0 < -sl * F.col("trgt"))
-    which = F.when(F.col("x").isNull(), "none").when(touched, "touch").otherwise("vertical")
-    return back.select("symbol", "ts", "span", "k", which.alias("barrier"), F.coalesce(F.log("x.c") - F.log("entry"), F.lit(0.0)).alias("ret"))
+    path = path.select("symbol", "ts", "entry", "ends", "bar", "c", (F.col("c") / F.col("entry") - 1.0).alias("gain"), F.explode("fired").alias("e"))
+    beyond = lambda pt, sl: (F.col("gain") > pt * F.col("e.trgt")) | (F.col("gain") < -sl * F.col("e.trgt"))
+    first = [F.min(F.when(beyond(pt, sl), F.struct("bar", "c"))) for pt, sl in multiples]
+    by = path.groupBy("symbol", "ts", F.col("e.span").alias("span"), F.col("e.k").alias("k"))
+    return by.agg(F.first("entry").alias("entry"), F.first("ends").alias("ends"), F.array(*first).alias("touches"))
+
+
+def _grid_counts(touched: DataFrame, multiples: tuple[tuple[float, float], ...]) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(float(pt)).alias("pt"), F.lit(float(sl)).alias("sl")) for pt, sl in multiples])
+    rows = touched.select("span", "k", "entry", "ends", F.posexplode(F.arrays_zip(pairs.alias("m"), F.col("touches").alias("x"))))
+    rows = rows.select("span", "k", "entry", "col.m.pt", "col.m.sl", F.col("col.x").alias("x"), F.explode("ends").alias("end"))
+    in_time = F.coalesce(F.col("x.bar") <= F.col("end.until"), F.lit(False))
+    left = F.when(in_time, F.col("x.c")).otherwise(F.col("end.price"))
+    which = F.when(in_time, "touch").when(F.col("end.vertical").isNotNull(), "vertical").otherwise("none")
+    labelled = rows.select("span", "k", "pt", "sl", F.col("end.holding").alias("holding"), which.alias("barrier"), F.coalesce(F.log(left) - F.log("entry"), F.lit(0.0)).alias("ret"))
+    out = outcome_counts(labelled, ["span", "k", "pt", "sl", "holding"])
+    return out.select("span", "k", "pt", "sl", "holding", "events", "profits", "losses", "neutral", "verticals", "profit_ratio", "loss_ratio")
