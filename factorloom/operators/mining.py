@@ -47,6 +47,16 @@ class MiningConfig:
             parts["evolve"] = build(EvolveConfig, parts["evolve"])
         return build(cls, parts)
 
+    @classmethod
+    def from_yaml(cls, path: str) -> "MiningConfig":
+        """From a YAML file; needs PyYAML. A driver-side file: it holds settings, not data."""
+        try:
+            import yaml
+        except ImportError as missing:
+            raise RuntimeError("reading YAML needs PyYAML; pass the settings to from_dict instead") from missing
+        with open(path, encoding="utf-8") as file:
+            return cls.from_dict(yaml.safe_load(file) or {})
+
     @property
     def horizon(self) -> int:
         return self.sampling.step * self.sampling.horizon_steps

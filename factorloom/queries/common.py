@@ -39,7 +39,11 @@ def bars_cte(seconds: int = SIX_HOURS, name: str = "bars") -> str:
     )
 
 
-BASE = f"{bars_cte()}, base AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS rn FROM bars)"
+def base_cte(seconds: int = SIX_HOURS) -> str:
+    return f"{bars_cte(seconds)}, base AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS rn FROM bars)"
+
+
+BASE = base_cte()
 DAYS = (
     "days AS (SELECT 'all' AS symbol, CAST(epoch(date_trunc('day', l_shipdate)) AS BIGINT) AS bar, max(l_extendedprice / l_quantity) AS h, "
     "min(l_extendedprice / l_quantity) AS l, avg(l_extendedprice / l_quantity) AS c, sum(l_quantity) AS vol FROM lineitem GROUP BY 2)"

@@ -10,6 +10,7 @@ from .common import BASE, DAYS, bars, days, epoch, lagged, presented, rounded, s
 
 HOLD, PT, SL, WIDTH = 10 * 86_400, 1.2, 1.0, 0.05
 THRESHOLD = 0.25
+SPANS, KS, MULTIPLES, HOLDINGS = (60, 120), (1.5, 2.5), ((1.0, 1.0), (1.5, 1.0)), (5 * 86_400, 10 * 86_400)
 
 
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def barrier_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def barrier_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans, threshold factors, multiples and holding times of one symbol's bars."""
-    found = barriers.barrier_grid(_prices(spark, sf_dir), (60, 120), (1.5, 2.5), ((1.0, 1.0), (1.5, 1.0)), (5 * 86_400, 10 * 86_400))
+    found = barriers.barrier_grid(_prices(spark, sf_dir), SPANS, KS, MULTIPLES, HOLDINGS)
     return found.select(*[c for c in found.columns if not c.endswith("ratio")], rounded("profit_ratio").alias("profit_ratio"), rounded("loss_ratio").alias("loss_ratio"))
 
 
@@ -64,12 +65,19 @@ def cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presented(barriers.cusum_events(close, THRESHOLD), ["side"])
 
 
-_CUSUM = f"""WITH RECURSIVE {BASE}, d AS (SELECT symbol, bar, rn, ln(c) - ln({lagged('c')}) AS d FROM base),
-s AS (SELECT symbol, bar, rn, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0.0::DOUBLE AS side FROM d WHERE rn = 1 UNION ALL
-  SELECT d.symbol, d.bar, d.rn, CASE WHEN greatest(0, s.up + d.d) > {THRESHOLD} THEN 0 ELSE greatest(0, s.up + d.d) END,
-    CASE WHEN greatest(0, s.up + d.d) <= {THRESHOLD} AND least(0, s.down + d.d) < -{THRESHOLD} THEN 0 ELSE least(0, s.down + d.d) END,
-    CASE WHEN greatest(0, s.up + d.d) > {THRESHOLD} THEN 1 WHEN least(0, s.down + d.d) < -{THRESHOLD} THEN -1 ELSE 0 END
-  FROM s JOIN d ON d.symbol = s.symbol AND d.rn = s.rn + 1)
+def cusum_tables(source: str, keys: tuple[str, ...] = ("symbol",)) -> str:
+    """The recursive table ``s`` (keys, bar, rn, side) over ``source`` (keys, bar, rn, d: the change, t: the threshold)."""
+    named = ", ".join(f"d.{k}" for k in keys)
+    up, down, able = "greatest(0, s.up + d.d)", "least(0, s.down + d.d)", "coalesce(d.t > 0, false)"
+    return f"""s AS (SELECT {', '.join(keys)}, bar, rn, CAST(0 AS DOUBLE) AS up, CAST(0 AS DOUBLE) AS down, CAST(0 AS DOUBLE) AS side FROM {source} WHERE rn = 1 UNION ALL
+  SELECT {named}, d.bar, d.rn, CASE WHEN NOT {able} THEN s.up WHEN {up} > d.t THEN 0 ELSE {up} END,
+    CASE WHEN NOT {able} THEN s.down WHEN {up} <= d.t AND {down} < -d.t THEN 0 ELSE {down} END,
+    CASE WHEN NOT {able} THEN 0 WHEN {up} > d.t THEN 1 WHEN {down} < -d.t THEN -1 ELSE 0 END
+  FROM s JOIN {source} d ON {' AND '.join(f'd.{k} = s.{k}' for k in keys)} AND d.rn = s.rn + 1)"""
+
+
+_CHANGES = f"SELECT symbol, bar, rn, ln(c) - ln({lagged('c')}) AS d FROM base"
+_CUSUM = f"""WITH RECURSIVE {BASE}, d AS (SELECT *, {THRESHOLD} AS t FROM ({_CHANGES})), {cusum_tables('d')}
 SELECT symbol, bar, side FROM s WHERE side <> 0"""
 
 
@@ -83,12 +91,36 @@ def volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presented(barriers.ewm_volatility(barriers.prepared_close(bars(spark, sf_dir)), 20), ["volatility"], digits=8)
 
 
-_VOLATILITY = f"""WITH {BASE}, d AS (SELECT symbol, bar, rn, ln(c) - ln({lagged('c')}) AS d FROM base),
-p AS (SELECT a.symbol, a.bar, a.rn, power(1 - 2.0 / 21, a.rn - b.rn) AS w, b.d FROM d a JOIN d b ON a.symbol = b.symbol AND b.rn <= a.rn AND b.d IS NOT NULL),
-m AS (SELECT symbol, bar, rn, sum(w) AS w, sum(w * w) AS w2, sum(w * d) / sum(w) AS m FROM p GROUP BY ALL),
-v AS (SELECT m.symbol, m.bar, m.rn, sqrt(sum(p.w * (p.d - m) * (p.d - m)) / any_value(m.w) / nullif(1 - any_value(w2) / (any_value(m.w) * any_value(m.w)), 0)) AS v FROM p JOIN m USING (symbol, bar, rn) GROUP BY ALL),
-k AS (SELECT d.symbol, d.bar, CASE WHEN d.rn >= 3 THEN v END AS v FROM d LEFT JOIN v USING (symbol, bar))
-SELECT symbol, bar, {sql_round('first_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)', 8)} AS volatility FROM k"""
+def volatility_tables(span: int, name: str = "") -> str:
+    """Tables ending in ``vol{name}`` (symbol, bar, volatility) over ``d`` (symbol, bar, rn, d)."""
+    p, m, v, k = (f"{x}{name}" for x in "pmvk")
+    return f"""{p} AS (SELECT a.symbol, a.bar, a.rn, power(1 - 2.0 / {span + 1}, a.rn - b.rn) AS w, b.d FROM d a JOIN d b ON a.symbol = b.symbol AND b.rn <= a.rn AND b.d IS NOT NULL),
+{m} AS (SELECT symbol, bar, rn, sum(w) AS w, sum(w * w) AS w2, sum(w * d) / sum(w) AS m FROM {p} GROUP BY ALL),
+{v} AS (SELECT m.symbol, m.bar, m.rn, sqrt(sum(p.w * (p.d - m) * (p.d - m)) / any_value(m.w) / nullif(1 - any_value(w2) / (any_value(m.w) * any_value(m.w)), 0)) AS v FROM {p} p JOIN {m} m USING (symbol, bar, rn) GROUP BY ALL),
+{k} AS (SELECT d.symbol, d.bar, CASE WHEN d.rn >= 3 THEN v END AS v FROM d LEFT JOIN {v} USING (symbol, bar)),
+vol{name} AS (SELECT symbol, bar, first_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS volatility FROM {k})"""
+
+
+_VOLATILITY = f"WITH {BASE}, d AS ({_CHANGES}), {volatility_tables(20)} SELECT symbol, bar, {sql_round('volatility', 8)} AS volatility FROM vol"
+_DYNAMIC = f"""WITH RECURSIVE {BASE}, d AS ({_CHANGES}), {volatility_tables(60)}, x AS (SELECT d.*, 1.5 * volatility AS t FROM d JOIN vol USING (symbol, bar)), {cusum_tables('x')}
+SELECT symbol, bar, side FROM s WHERE side <> 0"""
+_VALUES = lambda name, values: f"(VALUES {', '.join('(' + ', '.join(map(str, v)) + ')' for v in values)}) AS {name}"
+_SWEEP = f"""WITH RECURSIVE {DAYS}, base AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS rn FROM days), d AS ({_CHANGES}),
+{', '.join(volatility_tables(span, str(span)) for span in SPANS)},
+vols AS ({' UNION ALL '.join(f"SELECT symbol, bar, {span} AS span, volatility FROM vol{span}" for span in SPANS)}),
+x AS (SELECT symbol, bar, rn, d, span, CAST(k AS DOUBLE) AS k, k * volatility AS t FROM d JOIN vols USING (symbol, bar), {_VALUES('f(k)', [(k,) for k in KS])}),
+{cusum_tables('x', ('symbol', 'span', 'k'))},
+ev AS (SELECT s.symbol, s.bar, s.span, s.k, x.t AS trgt, days.c AS entry FROM s JOIN x USING (symbol, span, k, bar) JOIN days USING (symbol, bar) WHERE side <> 0),
+held AS (SELECT ev.*, holding, pt, sl, (SELECT min(y.bar) FROM days y WHERE y.bar >= ev.bar + holding) AS vertical FROM ev, {_VALUES('h(holding)', [(h,) for h in HOLDINGS])}, {_VALUES('m(pt, sl)', MULTIPLES)}),
+last_bar AS (SELECT max(bar) AS final FROM days),
+touched AS (SELECT h.symbol, h.bar, span, k, holding, pt, sl, min(y.bar) FILTER (y.c / entry - 1 > pt * trgt OR y.c / entry - 1 < -sl * trgt) AS touch
+  FROM held h JOIN last_bar ON true JOIN days y ON y.bar BETWEEN h.bar AND coalesce(vertical, final) GROUP BY ALL),
+done AS (SELECT h.span, h.k, h.pt, h.sl, h.holding, CASE WHEN touch IS NOT NULL THEN 'touch' WHEN vertical IS NOT NULL THEN 'vertical' ELSE 'none' END AS barrier, coalesce(ln(y.c) - ln(entry), 0) AS ret
+  FROM held h JOIN touched t USING (symbol, bar, span, k, holding, pt, sl) LEFT JOIN days y ON y.bar = coalesce(touch, vertical))
+SELECT CAST(span AS INTEGER) AS span, k, CAST(pt AS DOUBLE) AS pt, CAST(sl AS DOUBLE) AS sl, CAST(holding AS INTEGER) AS holding, count(*) AS events, count(*) FILTER (ret > 0) AS profits,
+  count(*) FILTER (ret < 0) AS losses, count(*) FILTER (ret = 0) AS neutral, count(*) FILTER (barrier = 'vertical') AS verticals,
+  {sql_round('coalesce(count(*) FILTER (ret > 0) * 1.0 / nullif(count(*) FILTER (ret <> 0), 0), 0)')} AS profit_ratio, {sql_round('coalesce(count(*) FILTER (ret < 0) * 1.0 / nullif(count(*) FILTER (ret <> 0), 0), 0)')} AS loss_ratio
+FROM done GROUP BY 1, 2, 3, 4, 5"""
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,10 +181,16 @@ def bootstrap_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", *[rounded(c).alias(c) for c in found.columns if c != "symbol"])
 
 
+def sampling_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of one sequential draw over all daily entries, with their weights."""
+    found = sampling.sampling_pipeline(_prices(spark, sf_dir), _entries(spark, sf_dir), PT, SL, HOLD, 0.5, "trgt")["rows"]
+    return found.select("symbol", "place", "event_id", *[rounded(c).alias(n) for c, n in (("tW", "tw"), ("w_ret", "w_ret"), ("w_td", "w_td"), ("w", "w"))])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        barrier_vertical, barrier_labels, barrier_outcomes, barrier_sweep, cusum, cusum_dynamic, volatility, event_table, event_concurrency, event_weights,
+        sampling_pipeline, barrier_vertical, barrier_labels, barrier_outcomes, barrier_sweep, cusum, cusum_dynamic, volatility, event_table, event_concurrency, event_weights,
         event_pairs, event_uniqueness, event_top_mass, bootstrap_draws, bootstrap_quality,
     )
 }
@@ -163,6 +201,8 @@ SQL = {
     "barrier_outcomes": f"""WITH {BARRIERS} SELECT symbol, count(*) AS events, count(*) FILTER (ret > 0) AS profits, count(*) FILTER (ret < 0) AS losses, count(*) FILTER (ret = 0) AS neutral,
 count(*) FILTER (barrier = 'vertical') AS verticals, {sql_round('count(*) FILTER (ret > 0) * 1.0 / count(*) FILTER (ret <> 0)')} AS profit_ratio, {sql_round('count(*) FILTER (ret < 0) * 1.0 / count(*) FILTER (ret <> 0)')} AS loss_ratio FROM barriers GROUP BY symbol""",
     "cusum": _CUSUM,
+    "cusum_dynamic": _DYNAMIC,
+    "barrier_sweep": _SWEEP,
     "volatility": _VOLATILITY,
     "event_table": f"WITH {EVENTS} SELECT symbol, event_id, t0, t1, {sql_round('ret', 5)} AS ret, {sql_round('side')} AS side FROM events",
     "event_concurrency": f"WITH {COUNTED} SELECT symbol, bar, concurrent FROM counted",

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.compile import NORM_WINDOW, compile_factors
-from .common import BASE, bars, frame, lagged, over, presented, running, sql_round, tidy
+from .common import BASE, SIX_HOURS, bars, base_cte, frame, lagged, over, presented, running, sql_round, tidy
 
 
 @dataclass
@@ -22,16 +22,17 @@ class Family:
     tables: list[str] = field(default_factory=list)
     joined: list[str] = field(default_factory=list)
     normalised: bool = True
-    long_frames: bool = False
+    long_frames: bool = True
+    seconds: int = SIX_HOURS
 
     def query(self) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return presented(compile_factors(bars(spark, sf_dir), self.calls, long_frames=self.long_frames), list(self.calls))
+            return presented(compile_factors(bars(spark, sf_dir, self.seconds), self.calls, long_frames=self.long_frames), list(self.calls))
 
         return run
 
     def text(self) -> str:
-        parts, last = [BASE, *self.tables], "base"
+        parts, last = [base_cte(self.seconds), *self.tables], "base"
         for k, stage in enumerate(self.stages):
             parts.append(f"stage{k} AS (SELECT *, {', '.join(f'{v} AS {n}' for n, v in stage.items())} FROM {last})")
             last = f"stage{k}"
@@ -96,6 +97,22 @@ def wilder_sum_tables(name: str, source: str, x: str, t: int) -> list[str]:
     ]
 
 
+def stop_tables(name: str, start: float = 0.02, more: float = 0.02, most: float = 0.2) -> list[str]:
+    """``name`` (symbol, rn, rising, e): parabolic stops. The row before the second bar holds the state to begin with."""
+    outside = lambda x: f"CASE WHEN rising THEN least({x}, l0, l) ELSE greatest({x}, h0, h) END"
+    return [
+        f"{name}_d AS (SELECT symbol, rn, h, l, CASE WHEN rn = 2 THEN h ELSE {lagged('h')} END AS h0, CASE WHEN rn = 2 THEN l ELSE {lagged('l')} END AS l0, {lagged('h')} AS hp, {lagged('l')} AS lp FROM base)",
+        f"{name}_1 AS (SELECT symbol, h, l, hp, lp, NOT (lp - l > 0 AND h - hp < lp - l) AS rising FROM {name}_d WHERE rn = 2)",
+        f"{name} AS (SELECT symbol, CAST(1 AS BIGINT) AS rn, rising, CASE WHEN rising THEN lp ELSE hp END AS stop, CASE WHEN rising THEN h ELSE l END AS extreme, CAST({start} AS DOUBLE) AS speed, CAST(NULL AS DOUBLE) AS e FROM {name}_1 UNION ALL "
+        f"SELECT symbol, rn, rising, {outside('held + speed * (extreme - held)')}, extreme, speed, held FROM ("
+        f"SELECT symbol, rn, rising, h, l, h0, l0, CASE WHEN crossed THEN {outside('extreme')} ELSE stop END AS held, "
+        f"CASE WHEN crossed THEN {start} WHEN (rising AND h > extreme) OR (NOT rising AND l < extreme) THEN least(speed + {more}, {most}) ELSE speed END AS speed, "
+        f"CASE WHEN crossed OR (rising AND h > extreme) OR (NOT rising AND l < extreme) THEN CASE WHEN rising THEN h ELSE l END ELSE extreme END AS extreme FROM ("
+        f"SELECT d.symbol, d.rn, d.h, d.l, d.h0, d.l0, s.stop, s.extreme, s.speed, CASE WHEN s.rising THEN d.l <= s.stop ELSE d.h >= s.stop END AS crossed, "
+        f"s.rising <> CASE WHEN s.rising THEN d.l <= s.stop ELSE d.h >= s.stop END AS rising FROM {name} s JOIN {name}_d d ON d.symbol = s.symbol AND d.rn = s.rn + 1)))",
+    ]
+
+
 def _picked(tables: list[str], values: dict[str, str]) -> tuple[list[str], list[str]]:
     """A last table for each value (a query with columns symbol, rn, e), renamed for the join."""
     return [*tables, *[f"j_{n} AS (SELECT symbol, rn, e AS e_{n} FROM ({q}))" for n, q in values.items()]], [f"j_{n}" for n in values]
@@ -181,6 +198,18 @@ def _kama() -> Family:
     return _recursive({n: f"{n}(c)" for n in values}, tables, values)
 
 
+def _long_averages() -> Family:
+    """Triple means of 55 bars begin at bar 163, so they take hourly bars."""
+    a, b, d = (ema_tables(n, source, x, 55, "(2.0 / 56)", first) for n, source, x, first in (("a55", "base", "c", 1), ("b55", "a55", "e", 55), ("d55", "b55", "e", 109)))
+    values = {
+        "ta_tema_55": f"SELECT x0.symbol, x0.rn, 3 * x0.e - 3 * x1.e + x2.e AS e FROM {_join(55, 'a', 'b', 'd')}",
+        "ta_trix_55": "SELECT symbol, rn, 100 * (e / lag(e) OVER (PARTITION BY symbol ORDER BY rn) - 1) AS e FROM d55",
+    }
+    family = _recursive({n: f"{n}(c)" for n in values}, [*a, *b, *d], values)
+    family.seconds = 3600
+    return family
+
+
 def _slope(t: int) -> str:
     return f"{over('covar_pop(c, CAST(rn AS DOUBLE))', t)} * (12.0 / {t * t - 1})"
 
@@ -286,9 +315,9 @@ FAMILIES: dict[str, Family] = {
     "fn_ta_dx": _direction_family("ta_dx", lambda t: f"SELECT symbol, rn, e FROM dx{t}"),
     "fn_ta_adx": _direction_family("ta_adx", lambda t: f"SELECT symbol, rn, e FROM adx{t}"),
     "fn_ta_adxr": _direction_family("ta_adxr", lambda t: f"SELECT symbol, rn, (e + lag(e, {t - 1}) OVER (PARTITION BY symbol ORDER BY rn)) / 2 AS e FROM adx{t}"),
-    # Held against plain folds in the tests instead of SQL.
-    "fn_long_averages": Family({n: f"{n}(c)" for n in ("ta_tema_55", "ta_trix_55")}),
-    "fn_ta_sar": Family({"ta_sar": "TA_SAR(h, l)"}),
+    "fn_long_averages": _long_averages(),
+    "fn_ta_sar": _recursive({"ta_sar": "TA_SAR(h, l)"}, stop_tables("sar"), {"ta_sar": "SELECT symbol, rn, e FROM sar"}),
+    # Held against a plain restatement in the tests instead of SQL.
     "fn_ta_ht": Family({n.lower(): f"{n}(c)" for n in ("TA_HT_DCPERIOD", "TA_HT_DCPHASE", "TA_HT_TRENDLINE")}),
 }
 
@@ -328,8 +357,7 @@ def all_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presented(compile_factors(bars(spark, sf_dir), calls), list(calls))
 
 
-_LONG = Family({"ts_sma_8": "ts_sma_8(c)"}, {"ts_sma_8": gate(over("avg(c)", 8), 4)}, long_frames=True)
-FAMILIES["norm_long_frames"] = _LONG
+FAMILIES["norm_sliding_frames"] = Family({"ts_sma_8": "ts_sma_8(c)"}, {"ts_sma_8": gate(over("avg(c)", 8), 4)}, long_frames=False)
 
 QUERIES = {name: family.query() for name, family in FAMILIES.items()} | {"expression_dag": nested_expressions, "fn_all_active": all_active}
 SQL = {name: family.text() for name, family in FAMILIES.items() if family.sql} | {"expression_dag": NESTED_SQL}

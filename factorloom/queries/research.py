@@ -9,6 +9,7 @@ from ..functions.frames import Series
 from ..operators import features, labels, normalise, resample
 from ..sources.tables import daily_orders, load
 from .common import BASE, DAYS, bars, bars_cte, days, frame, lagged, over, presented, rounded, running, sql_round
+from .feature_sql import SQL as FEATURE_SQL
 
 DAY, HOUR = 86_400, 3_600
 BAR = ["o", "h", "l", "c", "vol", "vol_ccy"]
@@ -118,18 +119,26 @@ def gauss_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presented(now, ["score", "restored"])
 
 
-_SCORED = f"""r AS (SELECT symbol, bar, ln(lead(c) OVER (PARTITION BY symbol ORDER BY bar)) - ln(c) AS ret FROM base),
-v AS (SELECT *, list(ret) OVER {frame(GAUSS, '1 PRECEDING')} AS v FROM r WHERE ret IS NOT NULL),
-q AS (SELECT *, len(list_filter(v, lambda z: z < ret)) AS less, len(list_filter(v, lambda z: z = ret)) AS ties FROM v),
-p AS (SELECT *, (less + 0.5 * CASE WHEN ties > 0 THEN ties + 1 ELSE 1 END) / {GAUSS + 1} AS p FROM q),
+def _scored_sql(ret: str, window: int, x: str = "ret") -> str:
+    """Tables ending in ``scored``: the Gauss ranks of ``x`` among the ``window`` rows before, over the rows of ``ret``."""
+    return f"""r AS ({ret}),
+v AS (SELECT *, list({x}) OVER {frame(window, '1 PRECEDING')} AS v FROM r WHERE {x} IS NOT NULL AND ret IS NOT NULL),
+q AS (SELECT *, len(list_filter(v, lambda z: z < {x})) AS less, len(list_filter(v, lambda z: z = {x})) AS ties FROM v),
+p AS (SELECT *, (less + 0.5 * CASE WHEN ties > 0 THEN ties + 1 ELSE 1 END) / {window + 1} AS p FROM q),
 z AS (SELECT *, sqrt(-2 * ln(least(p, 1 - p))) AS z FROM p),
-scored AS (SELECT *, CASE WHEN len(v) = {GAUSS} THEN greatest(-6, least(6, CASE WHEN p < 0.5 THEN -1 ELSE 1 END * (z - (2.515517 + 0.802853 * z + 0.010328 * z * z)
+scored AS (SELECT *, CASE WHEN len(v) = {window} THEN greatest(-6, least(6, CASE WHEN p < 0.5 THEN -1 ELSE 1 END * (z - (2.515517 + 0.802853 * z + 0.010328 * z * z)
   / (1 + 1.432788 * z + 0.189269 * z * z + 0.001308 * z * z * z)))) ELSE 0 END AS score FROM z)"""
-_GAUSS = f"""WITH {BASE}, {_SCORED},
+
+
+_SCORED = _scored_sql("SELECT symbol, bar, ln(lead(c) OVER (PARTITION BY symbol ORDER BY bar)) - ln(c) AS ret FROM base", GAUSS)
+_RESTORED = f"""WITH {BASE}, {_SCORED},
 t AS (SELECT *, 1 / (1 + 0.3275911 * abs(score) / sqrt(2.0)) AS t FROM scored),
-e AS (SELECT *, 0.5 * (1 + sign(score) * (1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-score * score / 2))) AS cdf FROM t)
-SELECT symbol, bar, {sql_round('score')} AS score,
-  {sql_round(f"CASE WHEN len(v) = {GAUSS} THEN list_sort(v)[1 + CAST(greatest(0, least(floor(cdf * {GAUSS}), {GAUSS - 1})) AS BIGINT)] ELSE 0 END")} AS restored FROM e"""
+e AS (SELECT *, 0.5 * (1 + sign(score) * (1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-score * score / 2))) AS cdf FROM t),
+restored AS (SELECT symbol, bar, ret, score, CASE WHEN len(v) = {GAUSS} THEN list_sort(v)[1 + CAST(greatest(0, least(floor(cdf * {GAUSS}), {GAUSS - 1})) AS BIGINT)] ELSE 0 END AS restored FROM e)"""
+_GAUSS = f"{_RESTORED} SELECT symbol, bar, {sql_round('score')} AS score, {sql_round('restored')} AS restored FROM restored"
+_mean_rank = lambda x: f"rank() OVER (PARTITION BY symbol ORDER BY {x}) + (count(*) OVER (PARTITION BY symbol, {x}) - 1) / 2.0"
+_INVERSE = f"""{_RESTORED}, ranked AS (SELECT *, {_mean_rank('ret')} AS rx, {_mean_rank('restored')} AS ry FROM restored)
+SELECT symbol, count(*) AS n, {sql_round('avg(abs((restored - ret) / ret)) FILTER (abs(ret) > 1e-12)', 5)} AS mean_relative_error, {sql_round('corr(ret, restored)', 5)} AS pearson, {sql_round('corr(rx, ry)', 5)} AS spearman FROM ranked GROUP BY symbol"""
 
 
 def held_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,17 +146,34 @@ def held_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", *[rounded(c, 5).alias(c) for c in found.columns if c != "symbol"])
 
 
-_POSITIONS = f"""WITH {BASE}, {_SCORED},
-a AS (SELECT *, CASE WHEN score > 0 THEN 1.0 ELSE -1.0 END AS pos, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS k FROM scored),
+_FIGURES = ("gross_return", "total_return", "annual_return", "sharpe", "max_drawdown", "win_rate", "fees", "direction_accuracy", "position_volatility", "flip_rate")
+
+
+def _positions_sql(skip: int, periods: float) -> str:
+    """Tables ending in ``g``: the figures of positions by the sign of ``scored``."""
+    return f"""a AS (SELECT *, CASE WHEN score > 0 THEN 1.0 ELSE -1.0 END AS pos, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS k FROM scored),
 b AS (SELECT *, abs(pos - {lagged('pos')}) AS turn FROM a),
-d AS (SELECT *, pos * ret - turn * 0.0004 AS net FROM b WHERE k > {GAUSS}),
+d AS (SELECT *, pos * ret - turn * 0.0004 AS net FROM b WHERE k > {skip}),
 e AS (SELECT *, 1 + {running('sum(net)')} AS value, abs(pos - {lagged('pos')}) > 1 AS flip FROM d),
 f AS (SELECT *, value / {running('max(value)')} - 1 AS fall FROM e),
-g AS (SELECT symbol, sum(abs(ret)) AS gross_return, sum(net) AS total_return, sum(net) / (count(*) / 1460.0) AS annual_return, avg(net) / stddev_samp(net) * sqrt(1460.0) AS sharpe,
+g AS (SELECT symbol, sum(abs(ret)) AS gross_return, sum(net) AS total_return, sum(net) / (count(*) / {periods}) AS annual_return, avg(net) / stddev_samp(net) * sqrt({periods}) AS sharpe,
   min(fall) AS max_drawdown, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0 END) AS win_rate, sum(turn * 0.0004) AS fees, avg(CASE WHEN sign(pos) = sign(ret) THEN 1.0 ELSE 0 END) AS direction_accuracy,
-  stddev_samp(pos) AS position_volatility, avg(CASE WHEN flip THEN 1.0 ELSE 0 END) AS flip_rate FROM f GROUP BY symbol)
-SELECT symbol, {', '.join(f'{sql_round(c, 5)} AS {c}' for c in ('gross_return', 'total_return', 'annual_return', 'sharpe', 'max_drawdown', 'win_rate', 'fees', 'direction_accuracy', 'position_volatility', 'flip_rate'))},
-  {sql_round('annual_return / nullif(abs(max_drawdown), 0)', 5)} AS return_over_drawdown, {sql_round('total_return / nullif(fees, 0)', 5)} AS return_over_fees FROM g"""
+  stddev_samp(pos) AS position_volatility, avg(CASE WHEN flip THEN 1.0 ELSE 0 END) AS flip_rate FROM f GROUP BY symbol)"""
+
+
+_FIGURES_OUT = f"""{', '.join(f'{sql_round(c, 5)} AS {c}' for c in _FIGURES)},
+  {sql_round('annual_return / nullif(abs(max_drawdown), 0)', 5)} AS return_over_drawdown, {sql_round('total_return / nullif(fees, 0)', 5)} AS return_over_fees"""
+_POSITIONS = f"WITH {BASE}, {_SCORED}, {_positions_sql(GAUSS, 1460.0)} SELECT symbol, {_FIGURES_OUT} FROM g"
+SWEEP_WINDOWS, SWEEP_HORIZONS = (10, 20), (1, 3)
+
+
+def _sweep_sql(window: int, horizon: int) -> str:
+    ahead = lambda n: f"lead(c, {n}) OVER (PARTITION BY symbol ORDER BY bar) / c - 1"
+    scored = _scored_sql(f"SELECT symbol, bar, {ahead(1)} AS ret, {ahead(horizon)} AS fwd FROM base", window, "fwd")
+    return f"SELECT * FROM (WITH {BASE}, {scored}, {_positions_sql(window, 8760.0)} SELECT CAST({window} AS INTEGER) AS \"window\", CAST({horizon} AS INTEGER) AS horizon, symbol, {_FIGURES_OUT} FROM g)"
+
+
+_SWEEP = " UNION ALL ".join(_sweep_sql(w, h) for w in SWEEP_WINDOWS for h in SWEEP_HORIZONS)
 
 
 def quantiles_of_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +203,7 @@ def score_inverse_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gauss_rank_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = normalise.label_sweep(bars(spark, sf_dir), "c", (10, 20), (1, 3))
+    found = normalise.label_sweep(bars(spark, sf_dir), "c", SWEEP_WINDOWS, SWEEP_HORIZONS)
     return found.select("window", "horizon", "symbol", *[rounded(c, 5).alias(c) for c in found.columns[3:]])
 
 
@@ -218,7 +244,7 @@ SELECT symbol, start AS bar, feature_offset,
 def label_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = bars(spark, sf_dir).withColumn("ret", labels.forward_return("c", 1)).dropna(subset=["ret"])
     found = labels.label_shapes(now, "ret", (10, 20))
-    return found.select("symbol", "form", "n", *[rounded(c, 5).alias(c) for c in ("mean", "std")])
+    return found.select("symbol", "form", "n", *[rounded(c, 5).alias(c) for c in ("mean", "std", "skew", "kurtosis")])
 
 
 _MOMENTS = f"""WITH {BASE}, r AS (SELECT symbol, bar, ln(lead(c) OVER (PARTITION BY symbol ORDER BY bar)) - ln(c) AS ret FROM base),
@@ -228,7 +254,7 @@ long AS (SELECT symbol, 'raw' AS form, ret AS v FROM k UNION ALL SELECT symbol,
   UNION ALL SELECT symbol, 'winsorised', greatest(lo, least(hi, ret)) FROM k JOIN b USING (symbol)
   UNION ALL SELECT symbol, 'zscore_10', CASE WHEN k >= 10 THEN (ret - {over('avg(ret)', 10)}) / nullif({over('stddev_pop(ret)', 10)}, 0) END FROM k
   UNION ALL SELECT symbol, 'zscore_20', CASE WHEN k >= 20 THEN (ret - {over('avg(ret)', 20)}) / nullif({over('stddev_pop(ret)', 20)}, 0) END FROM k)
-SELECT symbol, form, count(*) AS n, {sql_round('avg(v)', 5)} AS mean, {sql_round('stddev_samp(v)', 5)} AS std FROM long WHERE v IS NOT NULL GROUP BY 1, 2"""
+SELECT symbol, form, count(*) AS n, {sql_round('avg(v)', 5)} AS mean, {sql_round('stddev_samp(v)', 5)} AS std, {sql_round('skewness(v) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0))', 5)} AS skew, {sql_round('kurtosis_pop(v)', 5)} AS kurtosis FROM long WHERE v IS NOT NULL GROUP BY 1, 2"""
 
 QUERIES = {
     f.__name__: f
@@ -259,4 +285,7 @@ SQL = {
     "forward_labels": _FORWARD,
     "training_samples": _SAMPLES,
     "label_moments": _MOMENTS,
+    "score_inverse_check": _INVERSE,
+    "gauss_rank_sweep": _SWEEP,
+    **FEATURE_SQL,
 }

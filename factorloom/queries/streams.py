@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import load
 from ..streaming import stream_bars, stream_cusum, stream_recursive
-from .common import SIX_HOURS, bars_cte, presented, sql_round
+from ..streaming.factors import stream_last_values
+from .common import SIX_HOURS, bars_cte, over, presented, sql_round
+from .events import cusum_tables
+from .factors import ema_tables, gate
+from .feature_sql import moves_tables
 
 LATE = 60
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where the session has none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factorloom-stream-")
+    """A new folder under ``spark.checkpoint.dir``; a temporary one only for a local master, where all is one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="factorloom-stream-")
     return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
 
 
@@ -51,8 +58,27 @@ def streamed_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(stream_cusum(base, 2.0), spark).select("symbol", F.unix_micros("ts").alias("at"), "side")
 
 
-QUERIES = {f.__name__: f for f in (streamed_bars, streamed_factors, streamed_cusum)}
+def streamed_last_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Framed factors of new events, from a bounded buffer of the last ones that is kept between micro-batches."""
+    folder = work_dir(spark)
+    schema = "symbol string, ts timestamp, sma double, std double"
+    sink = lambda rows, k: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={k}")
+    writer = stream_last_values(ticks(spark, sf_dir), {"sma": "ts_sma_8(value)", "std": "ts_std_10(value)"}, 2100, f"{folder}/buffer", sink)
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(schema).parquet(f"{folder}/out")
+    return found.select("symbol", F.unix_micros("ts").alias("at"), F.round("sma", 5).alias("sma"), F.round("std", 5).alias("std"))
+
+
+_EVENTS = 'base AS (SELECT event_type AS symbol, epoch_us(ts) AS "at", value, value AS c, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM events)'
+_TABLES = [_EVENTS, *ema_tables("ema8", "base", "c", 8, "(2.0 / 9)", 1), *(x.replace("ORDER BY bar", "ORDER BY rn") for x in moves_tables("move6", "c", 6))]
+QUERIES = {f.__name__: f for f in (streamed_bars, streamed_factors, streamed_cusum, streamed_last_values)}
 SQL = {
     "streamed_bars": f"WITH {bars_cte()} SELECT symbol, bar, {', '.join(f'{sql_round(c, 4)} AS {c}' for c in ('o', 'h', 'l', 'c', 'vol'))} FROM bars "
     f"WHERE (bar + {SIX_HOURS}) * 1000000 <= (SELECT max(epoch_us(ts)) FROM events) - {LATE}000000",
+    "streamed_factors": f"""WITH RECURSIVE {', '.join(_TABLES)} SELECT symbol, "at", round(coalesce(e, 0), 5) AS ema, round(CASE WHEN up + down > 0 THEN 100 * up / (up + down) ELSE 0 END, 5) AS rsi
+FROM base LEFT JOIN ema8 USING (symbol, rn) LEFT JOIN move6 USING (symbol, rn)""",
+    "streamed_last_values": f"""WITH {_EVENTS}, raw AS (SELECT *, {gate(over('avg(value)', 8, order='rn'), 4)} AS a, {gate(over('stddev_samp(value)', 10, order='rn'), 5)} AS b FROM base)
+SELECT symbol, "at", round(coalesce(a / nullif({over('stddev_samp(a)', 2000, order='rn')}, 0), 0), 5) AS sma, round(coalesce(b / nullif({over('stddev_samp(b)', 2000, order='rn')}, 0), 0), 5) AS std FROM raw""",
+    "streamed_cusum": f"""WITH RECURSIVE {_EVENTS}, x AS (SELECT symbol, "at" AS bar, rn, ln(value) - ln(lag(value) OVER (PARTITION BY symbol ORDER BY rn)) AS d, 2.0 AS t FROM base),
+{cusum_tables('x')} SELECT symbol, bar AS "at", side FROM s WHERE side <> 0""",
 }

@@ -32,15 +32,18 @@ def _stateful(bars: DataFrame, make: Callable[[], dict], inputs: dict[str, list[
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         newest, steps = (state.get[0], pickle.loads(state.get[1])) if state.exists else (None, make())
-        rows = pd.concat(list(batches)).sort_values("ts")
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        fresh = []
+        for ts in rows["ts"]:
+            fresh.append(newest is None or ts > newest)
+            newest = ts if fresh[-1] else newest
+        rows = rows[fresh]
+        given = {x: rows[x].tolist() for x in columns}
+        results = {n: list(map(steps[n].step, *[given[x] if isinstance(x, str) else [x] * len(rows) for x in inputs[n]])) for n in names}
         out = []
-        for row in rows.to_dict("records"):
-            if newest is not None and row["ts"] <= newest:
-                continue
-            newest = row["ts"]
-            values = {n: float(steps[n].step(*[row[x] if isinstance(x, str) else x for x in inputs[n]])) for n in names}
-            if keep(values):
-                out.append((key[0], newest, *[v if v == v else 0.0 for v in values.values()]))
+        for ts, *values in zip(rows["ts"], *results.values()):
+            if keep(dict(zip(names, values))):
+                out.append((key[0], ts, *[float(v) if v == v else 0.0 for v in values]))
         state.update((newest, pickle.dumps(steps)))
         yield pd.DataFrame(out, columns=["symbol", "ts", *names])
 
