@@ -138,6 +138,49 @@ def test_wilder_indicators():
         assert sum(v != v for v in out) == lead, type(state)
 
 
+def cycle_arrays(x, first):
+    """The dominant cycle over whole arrays, index by index, as it is published: (smoothed prices, smoothed period)."""
+    n, pad = len(x), 8
+    at = lambda: np.zeros(n + pad)
+    smooth, detrended, i1, q1, i2, q2, re, im, period, smoothed = (at() for _ in range(10))
+    for k in range(first, n):
+        i = k + pad
+        pace = 0.075 * period[i - 1] + 0.54
+        turn = lambda a, i=i, pace=pace: (0.0962 * (a[i] - a[i - 6]) + 0.5769 * (a[i - 2] - a[i - 4])) * pace
+        smooth[i] = (4 * x[k] + 3 * x[k - 1] + 2 * x[k - 2] + x[k - 3]) / 10
+        detrended[i] = turn(smooth)
+        q1[i], i1[i] = turn(detrended), detrended[i - 3]
+        i2[i] = 0.2 * (i1[i] - turn(q1)) + 0.8 * i2[i - 1]
+        q2[i] = 0.2 * (q1[i] + turn(i1)) + 0.8 * q2[i - 1]
+        re[i] = 0.2 * (i2[i] * i2[i - 1] + q2[i] * q2[i - 1]) + 0.8 * re[i - 1]
+        im[i] = 0.2 * (i2[i] * q2[i - 1] - q2[i] * i2[i - 1]) + 0.8 * im[i - 1]
+        raw = 2 * math.pi / math.atan(im[i] / re[i]) if re[i] and im[i] else period[i - 1]
+        raw = float(np.clip(np.clip(raw, 0.67 * period[i - 1], 1.5 * period[i - 1]), 6, 50))
+        period[i] = 0.2 * raw + 0.8 * period[i - 1]
+        smoothed[i] = 0.33 * period[i] + 0.67 * smoothed[i - 1]
+    return smooth[pad:], smoothed[pad:]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_cycles_equal_whole_arrays(seed):
+    rng = np.random.RandomState(seed)
+    x = 100 + 5 * np.sin(np.arange(220) * 2 * math.pi / (18 + 6 * seed)) + np.cumsum(0.3 * rng.randn(220))
+    np.testing.assert_allclose(folded(R.CyclePeriod(), x)[32:], cycle_arrays(x, 12)[1][32:], rtol=1e-9)
+    smooth, period = cycle_arrays(x, 37)
+    width = (period + 0.5).astype(int)
+    means = np.array([x[k - width[k] + 1 : k + 1].mean() if k >= 37 and width[k] else 0.0 for k in range(len(x))])
+    line = [(4 * means[k] + 3 * means[k - 1] + 2 * means[k - 2] + means[k - 3]) / 10 for k in range(63, len(x))]
+    np.testing.assert_allclose(folded(R.Trendline(), x)[63:], line, rtol=1e-9)
+    phases = folded(R.CyclePhase(), x)
+    for k in range(100, len(x)):
+        # The angle of the price's component at the period of the cycle; the lag of the smoothing is one bar.
+        angles = 2 * math.pi * np.arange(width[k]) / width[k]
+        past = np.array([smooth[k - i] for i in range(width[k])])
+        real, imag = (np.sin(angles) * past).sum(), (np.cos(angles) * past).sum()
+        want = math.degrees(math.atan(real / imag)) + 90 + 360 / period[k] + (180 if imag < 0 else 0)
+        assert phases[k] == pytest.approx(want - 360 if want > 315 else want, rel=1e-7), k
+
+
 def test_sar_turns_and_stays_outside():
     h = [10, 11, 12, 13, 14, 13, 11, 9, 8, 7.5, 8, 9, 10, 11]
     low = [9, 10, 11, 12, 13, 11, 9, 7, 6, 6.5, 7, 8, 9, 10]
