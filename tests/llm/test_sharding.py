@@ -1,5 +1,6 @@
 """Virtual slots: balance, gapless places, versions, and how little a rebalancing moves."""
 
+import random
 import zlib
 
 from pyspark.sql import functions as F
@@ -72,3 +73,40 @@ def test_hot_texts_and_odd_rows(spark):
     assert max(counts.values()) - min(counts.values()) <= 3
     digest, slot_map = sharding.plan(spark.createDataFrame([], SCHEMA))
     assert sharding.places(digest, slot_map).count() == 0 and slot_map.count() == 2 * 8192
+
+
+def plain_rebalanced(owner, load, shards):
+    """The next owner of every slot with plain loops."""
+    mean, kept, moved = sum(load.values()) / shards, {}, []
+    for s in set(owner.values()):
+        total = 0
+        for slot in sorted((k for k in owner if owner[k] == s), key=lambda k: (-load[k], k)):
+            total += load[slot]
+            if total <= mean and s < shards:
+                kept[slot] = s
+            else:
+                moved.append(slot)
+    held = [sum(load[k] for k, s in kept.items() if s == i) for i in range(shards)]
+    for slot in sorted(moved, key=lambda k: (load[k], k), reverse=True):
+        s = held.index(min(held))
+        kept[slot], held[s] = s, held[s] + load[slot]
+    return kept
+
+
+def test_versions_by_brute_force(spark):
+    r = random.Random(4)
+    owner = {k: k % 5 for k in range(60)}
+    load = {k: r.choice([0, 1, 5, 5, 40, 200]) for k in owner}
+    slots = spark.createDataFrame([(1, k, s) for k, s in owner.items()], "version int, slot int, shard int")
+    loads = spark.createDataFrame(list(load.items()), "slot int, bytes long")
+    for shards in (5, 6, 4):
+        got = sharding.rebalanced(slots, loads, shards).collect()
+        assert {x["version"] for x in got} == {2}
+        assert {x["slot"]: x["shard"] for x in got} == plain_rebalanced(owner, load, shards)
+
+
+def test_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "x" * 5_000_000), (2, "y")], "doc_id long, text string")
+    digest, slot_map = sharding.plan(df)
+    got = {x["doc_id"]: x for x in sharding.places(digest, slot_map).collect()}
+    assert got[1]["size"] == 5_000_008 and got[1]["shard"] != got[2]["shard"]
