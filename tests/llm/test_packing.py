@@ -27,7 +27,7 @@ def corpus(seed=0, n=80):
 
 
 def test_tokens_equal_the_tokenizer():
-    encoder = packing.Encoder(packing.vocabulary_path())
+    encoder = packing.Encoder(*packing.vocabulary_paths())
     for _, text in corpus(1, 150):
         assert np.frombuffer(encoder(text), "<u4").tolist() == ids_of(text)[:-1], repr(text[:60])
 
