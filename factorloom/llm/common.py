@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +32,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths of the tables stored inside ``released``, while it runs.
+_held: ContextVar[list[str] | None] = ContextVar("held", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back, which cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (held := _held.get()) is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that are stored in its body when that ends. What is to last must have been written by then."""
+    paths: list[str] = []
+    before = _held.set(paths)
+    try:
+        yield
+    finally:
+        _held.reset(before)
+        for path in paths:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once for each row, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -1,5 +1,6 @@
 """The stages of the pipeline, each on its own input, against brute force."""
 
+import os
 import random
 import tempfile
 
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from factorloom.llm import packing, rules  # noqa: E402
+from factorloom.llm.common import shared_dir  # noqa: E402
 
 from .test_decontam import plain as plain_hits  # noqa: E402
 from .test_nearcopies import plain_groups  # noqa: E402
@@ -107,5 +109,8 @@ def test_sequences_hold_the_ids_of_the_texts(steps):
 
 def test_run_is_the_stages_in_order(spark, sf, steps):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    tables = f"{shared_dir(spark)}/tables"
+    before = set(os.listdir(tables))
     a, b = corpus_pipeline.run(spark, sf).select(columns), steps[5].select(columns)
+    assert set(os.listdir(tables)) == before
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
