@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import SLOP
+from .mixing import MOST, SEEDS, SHARE, WEIGHTS
 from .rules import STOP_WORDS
 from .urlfilter import DAMPING, FLOOR, RATIO, RULES
 
@@ -163,10 +164,62 @@ SELECT r.page_id, r.host, r.path, r.rule,
 FROM ruled r LEFT JOIN trust t USING (host) LEFT JOIN doubt d USING (host)
 """
 
+FILL_IN_MIDDLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+),
+drawn AS (
+  SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS h FROM d
+),
+cut AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+),
+part AS (SELECT doc_id, n, form, t, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(p || m || s) AS restored_sha256
+FROM part
+"""
+
+_PART = "CAST('0x' || substr(digest, {}, 8) AS BIGINT)"
+MIXING = rf"""
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS content, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+named AS (SELECT *, CAST([{", ".join(map(str, WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS DOUBLE) AS weight FROM sizes),
+levels AS (
+  SELECT *, {MOST} * source_size / weight AS full_at,
+         ({SHARE} * sum(source_size) OVER () - coalesce(sum({MOST} * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM named WINDOW o AS (ORDER BY {MOST} * source_size / weight, source)
+),
+targets AS (
+  SELECT source, source_size, CAST(least({MOST} * source_size, weight * (SELECT min_by(level, full_at) FROM levels WHERE level <= full_at)) AS DOUBLE) AS target FROM levels
+),
+rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, content) AS number FROM d),
+hashed AS (
+  SELECT n.doc_id, n.source, n.size, source_size, target, rate, md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), number, content)) AS digest
+  FROM numbered n JOIN rated r ON n.source IS NOT DISTINCT FROM r.source
+),
+tried AS (
+  SELECT doc_id, source, size, source_size, target, digest, seed,
+         CAST(floor(rate) AS BIGINT) + CASE WHEN (({_PART.format(1)} + {_PART.format(9)} * seed) % 4294967296) / 4294967296.0 < rate - floor(rate) THEN 1 ELSE 0 END AS copies
+  FROM hashed, (SELECT unnest(range({SEEDS})) AS seed)
+),
+gaps AS (SELECT source, seed, abs(sum(size * copies) - any_value(target)) AS gap FROM tried GROUP BY source, seed),
+best AS (SELECT source, min(seed) AS seed FROM (SELECT *, min(gap) OVER (PARTITION BY source) AS least FROM gaps) WHERE gap = least GROUP BY source)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies
+FROM tried t JOIN best b ON t.source IS NOT DISTINCT FROM b.source AND t.seed = b.seed
+"""
+
 SQL = {
     "op3_substring_dedup": SUBSTRING,
     "op4_secrets": SECRETS,
     "op6_decontamination": DECONTAMINATION,
     "op7_url_filter": URL_FILTER,
     "op9_quality_rules": QUALITY_RULES,
+    "op11_fill_in_middle": FILL_IN_MIDDLE,
+    "op13_mixing": MIXING,
 }

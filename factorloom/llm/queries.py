@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, quality, rules, secrets, sharding, simhash, substring, urlfilter
-from .common import table
+from . import decontam, fillmiddle, langid, mixing, packing, quality, rules, secrets, sharding, simhash, substring, urlfilter, whitening
+from .common import stored, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,36 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "pages"), languages, likelihood)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fillmiddle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    again = fillmiddle.restored(F.col("fim.output"), F.col("fim.form"))
+    return cut.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whole_rows(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    model = whitening.fit(rows)
+    found = stored(whitening.whiten(rows, model).select("vec_id", "deviation", "whitened"), "whitened")
+    error = whitening.identity_error(found, len(model.explained))
+    each = found.select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    explained = F.get(F.array(*map(F.lit, model.explained)) if model.explained else F.array(F.lit(0.0)), F.col("k"))
+    return each.select(
+        "vec_id",
+        (F.col("k") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        explained.alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``copies`` is how often the mix takes the document."""
+    taken = mixing.plan(table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -101,5 +131,8 @@ QUERIES = {
         op8_packing,
         op9_quality_rules,
         op10_language,
+        op11_fill_in_middle,
+        op12_whitening,
+        op13_mixing,
     )
 }
