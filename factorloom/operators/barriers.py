@@ -1,4 +1,9 @@
-"""Events of a price series: CUSUM filters and the triple barrier."""
+"""Events of a price series: CUSUM filters and the triple barrier.
+
+One rule for missing prices holds in batches, grids and streams: a price that is null, NaN, infinite or, where logarithms are
+taken, not positive adds nothing, and the next change is taken from the last price that was known. Such a bar is no event and
+touches no barrier; a return to or from such a price counts as 0.
+"""
 
 from __future__ import annotations
 
@@ -15,13 +20,16 @@ from ..plans.compile import _run_recursive
 class Cusum:
     """Symmetric CUSUM filter: 1 or -1 where a sum of changes passes the threshold, which resets that sum alone.
 
-    Rows whose threshold isn't a positive number add nothing, though their change is taken from the row before all the same.
+    Rows whose threshold isn't a positive number add nothing, though the next change is taken from them all the same. A null
+    or non-finite value is passed over: it adds nothing, and the last known value stays.
     """
 
     def __init__(self) -> None:
         self.last, self.up, self.down = math.nan, 0.0, 0.0
 
-    def step(self, x: float, threshold: float | None) -> float:
+    def step(self, x: float | None, threshold: float | None) -> float:
+        if x is None or not math.isfinite(x):
+            return 0.0
         change, self.last = x - self.last, x
         if change != change or threshold is None or not math.isfinite(threshold) or threshold <= 0:
             return 0.0
@@ -42,6 +50,7 @@ def prepared_close(prices: DataFrame, price: str = "c", log: bool = True, arriva
         newest = Window.partitionBy("symbol", "ts").orderBy(F.desc(arrival))
         rows = rows.withColumn("__k", F.row_number().over(newest)).where("__k = 1")
     x = F.col(price).cast("double")
+    x = F.when(F.abs(x) < float("inf"), x)
     return rows.select("symbol", "ts", x.alias("c"), (F.log(x) if log else x).alias("base"))
 
 
@@ -51,15 +60,24 @@ def cusum_events(series_rows: DataFrame, threshold: float | str, column: str = "
     return _run_recursive(series_rows, series, job).where("side != 0").select(*series.keys, *series.order, "side")
 
 
-def ewm_volatility(series_rows: DataFrame, span: int, factor: float = 1.0, column: str = "base", out: str = "volatility", series: Series = Series()) -> DataFrame:
-    """Exponentially weighted deviation of one-bar changes times ``factor``; the first rows take the first value after them."""
-    now = series_rows.withColumn("__d", F.col(column) - F.lag(column).over(series.plain))
+class _Skipping(EwmStd):
+    """Rows without a change keep the state as it is."""
+
+    def step(self, x: float | None) -> float:
+        return math.nan if x is None or not math.isfinite(x) else super().step(x)
+
 
-    class Skipping(EwmStd):
-        def step(self, x: float | None) -> float:
-            return math.nan if x is None else super().step(x)
+def changes(column: str, series: Series = Series()) -> Column:
+    """The change from the last known value to this one; null where either is missing."""
+    x = F.col(column)
+    known = F.when(F.abs(x) < float("inf"), x)
+    return known - F.last(known, ignorenulls=True).over(series.plain.rowsBetween(Window.unboundedPreceding, -1))
 
-    now = _run_recursive(now, series, {"__s": (lambda: Skipping(span), ["__d"])})
+
+def ewm_volatility(series_rows: DataFrame, span: int, factor: float = 1.0, column: str = "base", out: str = "volatility", series: Series = Series()) -> DataFrame:
+    """Exponentially weighted deviation of one-bar changes times ``factor``; the first rows take the first value after them."""
+    now = series_rows.withColumn("__d", changes(column, series))
+    now = _run_recursive(now, series, {"__s": (lambda: _Skipping(span), ["__d"])})
     known = F.when(~F.isnan("__s"), F.col("__s") * factor)
     return now.withColumn(out, F.last(known, ignorenulls=True).over(_backwards(series))).drop("__d", "__s")
 
@@ -113,7 +131,7 @@ def barrier_touches(events: DataFrame, prices: DataFrame, pt: float, sl: float,
     )
     bars = prices.select("symbol", F.col("ts").alias("bar"), "c", _hour("ts", bucket_seconds).alias("bucket"))
     path = spread.join(bars, ["symbol", "bucket"]).where((F.col("bar") >= F.col("t0")) & (F.col("bar") <= F.col("until")))
-    gain = (F.col("c") / F.col("entry") - 1.0) * F.col("side")
+    gain = (ratio(F.col("c"), F.col("entry")) - 1.0) * F.col("side")
     never = F.lit(None).cast("timestamp")
     up = F.min(F.when(gain > pt * F.col("trgt"), F.col("bar"))) if pt > 0 else F.min(never)
     down = F.min(F.when(gain < -sl * F.col("trgt"), F.col("bar"))) if sl > 0 else F.min(never)
@@ -160,13 +178,8 @@ def barrier_grid(
     path gives one first touch for each pair, and the holding times are compared with that.
     """
     close = prepared_close(prices)
-    now = close.withColumn("__d", F.col("base") - F.lag("base").over(Series().plain))
-
-    class Skipping(EwmStd):
-        def step(self, x: float | None) -> float:
-            return math.nan if x is None else super().step(x)
-
-    now = _run_recursive(now, Series(), {f"v{s}": ((lambda s=s: Skipping(s)), ["__d"]) for s in spans})
+    now = close.withColumn("__d", changes("base"))
+    now = _run_recursive(now, Series(), {f"v{s}": ((lambda s=s: _Skipping(s)), ["__d"]) for s in spans})
     now = now.withColumns({f"v{s}": F.last(F.when(~F.isnan(f"v{s}"), F.col(f"v{s}")), ignorenulls=True).over(_backwards(Series())) for s in spans})
     tags = {f"e{i}_{j}": (s, k) for i, s in enumerate(spans) for j, k in enumerate(ks)}
     now = now.withColumns({f"t_{t}": F.col(f"v{s}") * k for t, (s, k) in tags.items()})
@@ -187,7 +200,7 @@ def _grid_touches(events: DataFrame, close: DataFrame, multiples: tuple[tuple[fl
     spread = entries.withColumn("bucket", F.explode(F.sequence(_hour("ts", bucket), _hour("until", bucket))))
     bars = close.select("symbol", F.col("ts").alias("bar"), "c", _hour("ts", bucket).alias("bucket"))
     path = spread.join(bars, ["symbol", "bucket"]).where((F.col("bar") >= F.col("ts")) & (F.col("bar") <= F.col("until")))
-    path = path.select("symbol", "ts", "entry", "ends", "bar", "c", (F.col("c") / F.col("entry") - 1.0).alias("gain"), F.explode("fired").alias("e"))
+    path = path.select("symbol", "ts", "entry", "ends", "bar", "c", (ratio(F.col("c"), F.col("entry")) - 1.0).alias("gain"), F.explode("fired").alias("e"))
     beyond = lambda pt, sl: (F.col("gain") > pt * F.col("e.trgt")) | (F.col("gain") < -sl * F.col("e.trgt"))
     first = [F.min(F.when(beyond(pt, sl), F.struct("bar", "c"))) for pt, sl in multiples]
     by = path.groupBy("symbol", "ts", F.col("e.span").alias("span"), F.col("e.k").alias("k"))

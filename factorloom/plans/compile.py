@@ -119,13 +119,16 @@ def compile_factors(
     norm_window: int = NORM_WINDOW,
     long_frames: bool = True,
     keep: list[str] | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
     """``df`` (its series columns and ``keep``) with one double column for each factor (name -> expression).
 
-    ``long_frames`` takes the linear form of the normalising deviation; the other reads the whole frame for every row, which
-    costs less only where a series has fewer rows than a frame.
+    ``long_frames`` takes the linear form of the normalising deviation; the other reads the whole frame for every row. A caller
+    who knows that no series has more rows than ``longest`` gets the other form wherever frames reach no further than that, as
+    it needs fewer sorts; both give equal results.
     Nulls, NaN and infinities in features count as 0, and no factor holds any.
     """
+    long_frames = long_frames and (longest is None or longest > norm_window)
     trees = {name: parse(x) if isinstance(x, str) else x for name, x in factors.items()}
     missing = sorted({f for t in trees.values() for f in features_of(t)} - set(df.columns))
     if missing:

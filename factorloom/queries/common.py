@@ -14,6 +14,12 @@ def bars(spark: SparkSession, sf_dir: str, seconds: int = SIX_HOURS) -> DataFram
     return event_bars(load(spark, sf_dir, "events"), seconds)
 
 
+def most_bars(spark: SparkSession, sf_dir: str, seconds: int = SIX_HOURS) -> int:
+    """A bound on the bars of a symbol: the spans between the first and the last event. Two numbers of one column are read."""
+    span = load(spark, sf_dir, "events").agg((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("s")).first()["s"]
+    return (span or 0) // seconds + 2
+
+
 def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_bars(load(spark, sf_dir, "lineitem"))
 

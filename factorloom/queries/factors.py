@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.compile import NORM_WINDOW, compile_factors
-from .common import BASE, SIX_HOURS, bars, base_cte, frame, lagged, over, presented, running, sql_round, tidy
+from .common import BASE, SIX_HOURS, bars, base_cte, frame, lagged, most_bars, over, presented, running, sql_round, tidy
 
 
 @dataclass
@@ -27,7 +27,7 @@ class Family:
 
     def query(self) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return presented(compile_factors(bars(spark, sf_dir, self.seconds), self.calls, long_frames=self.long_frames), list(self.calls))
+            return presented(compile_factors(bars(spark, sf_dir, self.seconds), self.calls, long_frames=self.long_frames, longest=most_bars(spark, sf_dir, self.seconds)), list(self.calls))
 
         return run
 
@@ -331,7 +331,7 @@ NESTED = {
 
 def nested_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expressions that share subtrees, three levels deep."""
-    return presented(compile_factors(bars(spark, sf_dir), NESTED), list(NESTED), digits=5)
+    return presented(compile_factors(bars(spark, sf_dir), NESTED, longest=most_bars(spark, sf_dir)), list(NESTED), digits=5)
 
 
 def _scaled(x: str) -> str:
@@ -354,7 +354,7 @@ def all_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     args = {1: "c", 2: "h, l", 3: "h, l, c", 4: "h, l, c, vol"}
     calls = {op.name.lower(): f"{op.name}({args[op.arity]})" for op in active_operators()}
-    return presented(compile_factors(bars(spark, sf_dir), calls), list(calls))
+    return presented(compile_factors(bars(spark, sf_dir), calls, longest=most_bars(spark, sf_dir)), list(calls))
 
 
 FAMILIES["norm_sliding_frames"] = Family({"ts_sma_8": "ts_sma_8(c)"}, {"ts_sma_8": gate(over("avg(c)", 8), 4)}, long_frames=False)

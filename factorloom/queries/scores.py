@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, evolve, labels, metrics, mining
 from ..plans.compile import compile_factors, evaluate_last
-from .common import BASE, bars, epoch, presented, rounded, sql_round
+from .common import BASE, bars, epoch, most_bars, presented, rounded, sql_round
 
 #: Plain factors, so that their SQL is short.
 FACTORS = {"f1": "sub(c, o)", "f2": "sub(h, l)"}
@@ -150,7 +150,7 @@ SELECT symbol, bar, factor, {sql_round('r')} AS rts, {sql_round(_run('sum(r)'))}
 
 
 def decay_of_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = compile_factors(bars(spark, sf_dir), FACTORS, keep=["c"])
+    rows = compile_factors(bars(spark, sf_dir), FACTORS, keep=["c"], longest=most_bars(spark, sf_dir))
     found = backtest.ic_decay(rows, list(FACTORS), lags=(1, 3, 5, 7))
     return found.select("factor", "symbol", "lag", rounded("ic").alias("ic"))
 
@@ -209,7 +209,7 @@ def table_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def factor_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = compile_factors(bars(spark, sf_dir), FACTORS | {"f3": "sub(c, l)"})
+    rows = compile_factors(bars(spark, sf_dir), FACTORS | {"f3": "sub(c, l)"}, longest=most_bars(spark, sf_dir))
     return backtest.correlations(rows, ["f1", "f2", "f3"]).select("a", "b", rounded("r").alias("r"))
 
 

@@ -136,3 +136,75 @@ def test_events_are_checked(spark):
     bad = spark.sql("SELECT 's' AS symbol, 0L AS event_id, timestamp'2025-01-02' AS t0, timestamp'2025-01-01' AS t1")
     with pytest.raises(ValueError, match="lack an end"):
         sampling.checked_events(bad)
+
+
+ODD = [5.0, None, 5.6, 0.0, float("nan"), 4.0, float("inf"), 4.1, -1.0, 6.5, 6.4, None, None, 3.0, 0.0, 9.0, 9.1, 2.0]
+
+
+def odd_prices(spark):
+    rows = [("s", (pd.Timestamp("2025-01-01") + k * HOUR).to_pydatetime(), x) for k, x in enumerate(ODD * 6)]
+    return spark.createDataFrame(rows, "symbol string, ts timestamp, c double")
+
+
+def plain_cusum(values, threshold):
+    last, up, down, out = None, 0.0, 0.0, []
+    for k, x in enumerate(values):
+        if x is None or not math.isfinite(x) or x <= 0:
+            continue
+        change, last = (0.0 if last is None else math.log(x) - last), math.log(x)
+        up, down = max(0.0, up + change), min(0.0, down + change)
+        if up > threshold:
+            out.append((k, 1.0))
+            up = 0.0
+        elif down < -threshold:
+            out.append((k, -1.0))
+            down = 0.0
+    return out
+
+
+def test_missing_prices_add_nothing(spark):
+    close = barriers.prepared_close(odd_prices(spark))
+    start = pd.Timestamp("2025-01-01")
+    want = plain_cusum(ODD * 6, 0.3)
+    for threshold in (0.3, "t"):
+        got = barriers.cusum_events(close.withColumn("t", F.lit(0.3)), threshold).orderBy("ts").collect()
+        assert [((r["ts"] - start) / HOUR, r["side"]) for r in got] == want
+    # What comes unprepared, NaN and infinities included, is passed over as well.
+    raw = close.withColumn("base", F.when(F.col("base").isNull(), F.lit(float("nan"))).otherwise(F.col("base")))
+    assert len(barriers.cusum_events(raw, 0.3).collect()) == len(want)
+
+
+def test_volatility_over_missing_prices(spark):
+    close = barriers.prepared_close(odd_prices(spark))
+    known = [math.log(x) for x in ODD * 6 if x is not None and math.isfinite(x) and x > 0]
+    want = pd.Series(np.diff(known)).ewm(span=10).std().dropna().tolist()
+    got = barriers.ewm_volatility(close, 10).where("base is not null").orderBy("ts").toPandas().volatility.tolist()
+    assert got[2:] == pytest.approx(want, rel=1e-9) and got[0] == got[1] == got[2]
+
+
+def test_barriers_and_grid_over_missing_prices(spark):
+    close = barriers.prepared_close(odd_prices(spark))
+    events = barriers.cusum_events(close, 0.3)
+    got = barriers.triple_barrier(events, close, 0.2, 0.2, 4 * 3600).collect()
+    assert len(got) == events.count() and all(math.isfinite(r["ret"]) for r in got)
+    start, prices = pd.Timestamp("2025-01-01"), ODD * 6
+    for r in got:
+        if r["barrier"] in ("profit", "stop"):
+            x = prices[int((r["exit"] - start) / HOUR)]
+            assert x is not None and x == x
+    everything = close.select("symbol", "ts")
+    assert barriers.triple_barrier(everything, close, 0.2, 0.2, 4 * 3600).count() == len(prices)
+    grid = barriers.barrier_grid(odd_prices(spark), (5,), (0.5, 1.0), ((1.0, 1.0),), (4 * 3600,)).collect()
+    assert grid and all(g["events"] >= g["profits"] + g["losses"] for g in grid)
+
+
+def test_streamed_cusum_equals_batch_over_missing_prices(spark, tmp_path):
+    from factorloom.streaming.factors import stream_cusum
+
+    close = barriers.prepared_close(odd_prices(spark)).withColumn("base", F.coalesce("base", F.when(F.col("c").isNotNull(), F.lit(float("nan")))))
+    close.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(close.schema).parquet(str(tmp_path / "in"))
+    writer = stream_cusum(stream, 0.3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, barriers.cusum_events(close, 0.3).collect())) and got.count()
