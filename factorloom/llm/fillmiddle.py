@@ -45,8 +45,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def requests(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """(id_key, content, n, form, first, second, runs): the cuts asked for, after so many units, and runs of units as arrays of
-    (ordinal of the first unit, code points). One row for each different document. Plain ones have no runs."""
+    """(id_key, content, n, form, first, second, runs): the cuts asked for, after so many units, and the lengths of the units, in
+    order; that of a run that stays whole is negative. One row for each different document. Plain ones have no runs."""
     n = F.when(F.size("parts") > 0, (F.size("parts") - 1) * F.lit(RUN_UNITS).cast("long") + F.regexp_count(F.element_at("parts", -1), F.lit(UNIT))).otherwise(F.lit(0)).cast("long")
     marked = F.col("body").contains(PREFIX) | F.col("body").contains(SUFFIX) | F.col("body").contains(MIDDLE)
     form = F.when((F.col("body") == "") | marked | (_draw(2, seed) % 100 >= PLAIN_FROM), "plain").when(_draw(3, seed) % 100 < SPM_BELOW, "spm").otherwise("psm")
@@ -57,9 +57,8 @@ def requests(docs: DataFrame, seed: int = SEED) -> DataFrame:
     at_first, at_second = (F.expr(f"cast({c} div {RUN_UNITS} as int)") for c in ("first", "second"))
 
     def of_run(part: Column, i: Column) -> Column:
-        begin = i.cast("long") * RUN_UNITS
-        units = F.transform(F.regexp_extract_all(part, F.lit(UNIT), F.lit(0)), lambda u, j: F.struct((begin + j).alias("ordinal"), F.length(u).alias("chars")))
-        return F.when((i == at_first) | (i == at_second), units).otherwise(F.array(F.struct(begin.alias("ordinal"), F.length(part).alias("chars"))))
+        units = F.transform(F.regexp_extract_all(part, F.lit(UNIT), F.lit(0)), F.length)
+        return F.when((i == at_first) | (i == at_second), units).otherwise(F.array(-F.length(part)))
 
     runs = F.when(F.col("form") != "plain", F.flatten(F.transform(F.slice("parts", F.lit(1), at_second + 1), of_run)))
     rows = rows.select(*KEY, "n", "form", "first", "second", runs.alias("runs"))
@@ -71,9 +70,10 @@ def offsets(asked: DataFrame) -> DataFrame:
     plain document and for a cut at the end of the text."""
     # Dealt by the key before rows multiply, and not again after that.
     asked = asked.repartition(*KEY)
-    before = Window.partitionBy(*KEY).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    units = asked.select(*KEY, F.posexplode("runs").alias("place", "unit")).select(*KEY, "unit.ordinal", "unit.chars")
-    units = units.withColumn("at", F.coalesce(F.sum("chars").over(before), F.lit(0).cast("long")))
+    before = Window.partitionBy(*KEY).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0).cast("long"))
+    units = asked.select(*KEY, F.posexplode("runs").alias("place", "chars"))
+    units = units.select(*KEY, upto(F.when(F.col("chars") < 0, RUN_UNITS).otherwise(1)).alias("ordinal"), upto(F.abs("chars")).alias("at"))
     cuts = asked.where("form != 'plain'").select(*KEY, F.posexplode(F.array("first", "second")).alias("cut", "wanted"))
     # The difference keeps the ordinal out of the keys of the join, for which both sides would be dealt anew.
     met = cuts.join(units.hint("merge"), list(KEY)).where(F.col("wanted") - F.col("ordinal") == 0)
