@@ -15,6 +15,7 @@ Rows of a series with equal order are in one order, whichever it is, for all ope
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,6 +47,17 @@ def reach_of(tree: Node, norm_window: int) -> int:
     return own + (norm_window if op.normalised else 0) + max((reach_of(x, norm_window) for x in tree.args), default=0)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder of ``spark.checkpoint.dir``; where that is unset, in one of its own, for a local master only."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factorloom-"))
+    return df.checkpoint()
+
+
 def _changes(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     """The places at which a run of equal values of ``columns`` begins, the first left out."""
     n = batch.num_rows
@@ -81,7 +93,7 @@ def numbered(df: DataFrame, series: Series) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows)], names=[*batch.schema.names, ROW])
 
     ranged = df.repartitionByRange(*keys, *series.order).sortWithinPartitions(*keys, *series.order).withColumn(PART, F.spark_partition_id())
-    rows = ranged.mapInArrow(of_partition, T.StructType([*ranged.schema.fields, T.StructField(ROW, T.LongType())])).checkpoint()
+    rows = _cut(ranged.mapInArrow(of_partition, T.StructType([*ranged.schema.fields, T.StructField(ROW, T.LongType())])))
     counts = rows.groupBy(*keys, PART).agg(F.max(ROW).alias("__n"))
     onward = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     # At most one series goes on from each partition to the next, so there are fewer rows than partitions here.
@@ -139,7 +151,7 @@ def with_scans(rows: DataFrame, series: Series, jobs: dict[str, tuple[Scan, list
     keys = [*series.keys, CUT]
     sizes = [scan.size for scan, _ in jobs.values()]
     used = list(dict.fromkeys([*keys, ROW, HALO, *[x for _, args in jobs.values() for x in args if isinstance(x, str)]]))
-    rows = rows.checkpoint()
+    rows = _cut(rows)
     key_fields = [rows.schema[k] for k in keys]
     numbers = lambda name: T.StructField(name, T.ArrayType(T.DoubleType()))
 

@@ -6,9 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.compile import NORM_WINDOW, compile_factors
-from .common import BASE, SIX_HOURS, bars, base_cte, frame, lagged, most_bars, over, presented, running, sql_round, tidy
+from ..plans.longseries import compile_long_factors
+from ..sources.tables import load
+from .common import BASE, SIX_HOURS, bars, base_cte, frame, lagged, most_bars, over, presented, rounded, running, sql_round, tidy
 
 
 @dataclass
@@ -357,7 +360,24 @@ def all_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presented(compile_factors(bars(spark, sf_dir), calls, longest=most_bars(spark, sf_dir)), list(calls))
 
 
+LONG = {"sma": "ts_sma_8(c)", "std": "ts_std_10(c)", "balance": "TA_OBV(c, c)", "nested": "ts_lag_3(TA_OBV(c, c))"}
+
+
+def long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series, cut into blocks of about 5000 rows with their halos."""
+    ticks = load(spark, sf_dir, "events").select(F.lit("all").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("c"))
+    found = compile_long_factors(ticks, LONG, block_rows=5_000)
+    return found.select(F.unix_micros("ts").alias("at"), *[rounded(c, 5).alias(c) for c in LONG])
+
+
+LONG_SQL = f"""WITH t AS (SELECT 'all' AS symbol, epoch_us(ts) AS "at", epoch_us(ts) AS bar, value AS c, row_number() OVER (ORDER BY ts) AS rn FROM events),
+a AS (SELECT *, {gate(over('avg(c)', 8), 4)} AS s, {gate(over('stddev_samp(c)', 10), 5)} AS d, CASE WHEN rn = 1 OR c > {lagged('c')} THEN c WHEN c < {lagged('c')} THEN -c ELSE 0 END AS step FROM t),
+b AS (SELECT *, sum(step) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) AS line FROM a),
+e AS (SELECT *, {_scaled('line')} AS balance FROM b),
+g AS (SELECT *, coalesce({lagged('balance', 3)}, 0) AS later FROM e)
+SELECT "at", {sql_round(_scaled('s'), 5)} AS sma, {sql_round(_scaled('d'), 5)} AS std, {sql_round('balance', 5)} AS balance, {sql_round(_scaled('later'), 5)} AS nested FROM g"""
+
 FAMILIES["norm_sliding_frames"] = Family({"ts_sma_8": "ts_sma_8(c)"}, {"ts_sma_8": gate(over("avg(c)", 8), 4)}, long_frames=False)
 
-QUERIES = {name: family.query() for name, family in FAMILIES.items()} | {"expression_dag": nested_expressions, "fn_all_active": all_active}
-SQL = {name: family.text() for name, family in FAMILIES.items() if family.sql} | {"expression_dag": NESTED_SQL}
+QUERIES = {name: family.query() for name, family in FAMILIES.items()} | {"expression_dag": nested_expressions, "fn_all_active": all_active, "long_series": long_series}
+SQL = {name: family.text() for name, family in FAMILIES.items() if family.sql} | {"expression_dag": NESTED_SQL, "long_series": LONG_SQL}

@@ -136,3 +136,18 @@ def test_empty_and_odd_tables(spark):
     got = compile_long_factors(no_keys, {"x": "ta_ema_8(c)"}, Series((), ("ts",)), 10, 40).orderBy("ts").toPandas()
     want = compile_factors(no_keys, {"x": "ta_ema_8(c)"}, Series((), ("ts",)), 10).orderBy("ts").toPandas()
     np.testing.assert_allclose(got.x, want.x, rtol=1e-9)
+
+
+def test_query_over_several_blocks(spark):
+    """The registered query equals its SQL where the events fill more than one block."""
+    import duckdb
+
+    from factorloom.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM read_parquet('/root/testdata/sf0.01/events.parquet')")
+    want = con.execute(SQL["long_series"]).df().sort_values("at", ignore_index=True)
+    got = QUERIES["long_series"](spark, "/root/testdata/sf0.01").toPandas().sort_values("at", ignore_index=True)
+    assert len(got) == len(want) > 5000 and list(got["at"]) == list(want["at"])
+    for c in ("sma", "std", "balance", "nested"):
+        np.testing.assert_allclose(got[c], want[c], atol=2e-5, err_msg=c)
