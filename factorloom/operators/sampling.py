@@ -120,42 +120,96 @@ def average_uniqueness(pairs: DataFrame) -> DataFrame:
     return pairs.join(shared, ["symbol", "ts"]).groupBy("symbol", "event_id").agg(F.avg(1.0 / F.col("n")).alias("uniqueness"))
 
 
-def _uniqueness(lo: np.ndarray, hi: np.ndarray, chosen: np.ndarray, n_bars: int) -> np.ndarray:
+def _cells(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Events as ranges of cells, and the bars of each cell: no event begins or ends inside one, so there are at most two
+    cells for each event, however many bars there are."""
+    cuts = np.unique(np.r_[lo, hi])
+    return np.searchsorted(cuts, lo), np.searchsorted(cuts, hi), np.diff(cuts).astype(float)
+
+
+def _shares(a: np.ndarray, b: np.ndarray, width: np.ndarray, load: np.ndarray) -> np.ndarray:
+    """The mean of one over ``load`` over the bars of each event."""
+    share, bars = np.r_[0.0, np.cumsum(width / load)], np.r_[0.0, np.cumsum(width)]
+    return (share[b] - share[a]) / np.maximum(bars[b] - bars[a], 1)
+
+
+def _uniqueness(lo: np.ndarray, hi: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Average uniqueness of every chosen event among them; events are ranges of bars."""
-    step = np.zeros(n_bars + 1)
-    np.add.at(step, lo[chosen], 1)
-    np.add.at(step, hi[chosen], -1)
-    share = np.r_[0.0, np.cumsum(1 / np.maximum(np.cumsum(step)[:-1], 1))]
-    return (share[hi[chosen]] - share[lo[chosen]]) / np.maximum(hi[chosen] - lo[chosen], 1)
+    a, b, width = _cells(lo[chosen], hi[chosen])
+    step = np.zeros(len(width) + 1)
+    np.add.at(step, a, 1)
+    np.add.at(step, b, -1)
+    return _shares(a, b, width, np.maximum(np.cumsum(step)[:-1], 1))
+
+
+LEAST_TRIES = 64
 
 
 def draw_sequentially(lo: np.ndarray, hi: np.ndarray, size: int, random: np.random.RandomState) -> list[int]:
-    """Draws events in turn, each in proportion to how unique it would be among those drawn."""
-    n_bars = int(hi.max()) if len(hi) else 0
-    load, drawn = np.zeros(n_bars), []
-    width = np.maximum(hi - lo, 1)
-    for _ in range(size):
-        share = np.r_[0.0, np.cumsum(1 / (load + 1))]
-        p = (share[hi] - share[lo]) / width
-        pick = int(random.choice(len(lo), p=p / p.sum()))
-        drawn.append(pick)
-        load[lo[pick] : hi[pick]] += 1
+    """Draws events in turn, each in proportion to how unique it would be among those drawn.
+
+    A draw only adds to the events under way, so what an event's uniqueness was at any time bounds what it is later. Events
+    are proposed in proportion to such bounds and taken with the chance uniqueness / bound, which is the law of the plain
+    loop without a pass over all events for each draw; only a proposed event's own cells are read. When less than half of
+    some proposals were taken, all bounds are computed anew. That is seldom: each time the sum of bounds has about halved, as
+    often as the events under way double.
+    """
+    a, b, width = _cells(lo, hi)
+    length, load, drawn = np.maximum(hi - lo, 1), np.ones(len(width)), []
+    while len(lo) and len(drawn) < size:
+        # Differences of running sums are rounded; a bound must not fall below the value.
+        bound = _shares(a, b, width, load) * (1 + 1e-9) + 1e-12 * (hi > lo)
+        upto = np.cumsum(bound)
+        if not upto[-1] > 0:
+            raise ValueError("no event covers a bar")
+        tries, taken = 0, 0
+        while len(drawn) < size and 2 * taken >= tries:
+            tries, taken = max(LEAST_TRIES, len(lo) // 16), 0
+            proposed = np.minimum(np.searchsorted(upto, random.random_sample(tries) * upto[-1], side="right"), len(lo) - 1)
+            for pick, chance in zip(proposed.tolist(), random.random_sample(tries).tolist()):
+                own = slice(a[pick], b[pick])
+                if chance * bound[pick] * length[pick] < float(width[own] @ (1 / load[own])):
+                    drawn.append(pick)
+                    load[own] += 1
+                    taken += 1
+                    if len(drawn) == size:
+                        break
     return drawn
 
 
-def _ranges(pairs: DataFrame) -> DataFrame:
-    """(symbol, event_id, lo, hi): events as ranges of covered bars, numbered from 0 in each symbol."""
-    bars = pairs.select("symbol", "ts").distinct().withColumn("bar", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1)
-    return pairs.join(bars, ["symbol", "ts"]).groupBy("symbol", "event_id").agg(F.min("bar").alias("lo"), (F.max("bar") + 1).alias("hi"))
+def event_ranges(bars: DataFrame, events: DataFrame) -> DataFrame:
+    """(symbol, event_id, lo, hi): events as ranges of bars, numbered from 0 in each symbol, ``hi`` not included.
+
+    One order of bars and ends, a row for each bar and two for each event; no event meets its bars. Bars of equal time are
+    one bar. Events that cover no bar, or lack an end, are left out: their uniqueness is 0 and they can't be drawn.
+    """
+    none = F.lit(None)
+    marks = (
+        bars.select("symbol", "ts").distinct().select("symbol", "ts", F.lit(1).alias("late"), F.lit(1).alias("bar"), none.cast("long").alias("event_id"))
+        .unionByName(events.select("symbol", F.col("t0").alias("ts"), F.lit(0).alias("late"), F.lit(0).alias("bar"), F.col("event_id").cast("long").alias("event_id")))
+        .unionByName(events.select("symbol", F.col("t1").alias("ts"), F.lit(2).alias("late"), F.lit(0).alias("bar"), F.col("event_id").cast("long").alias("event_id")))
+    )
+    order = Window.partitionBy("symbol").orderBy("ts", "late").rowsBetween(Window.unboundedPreceding, 0)
+    read = marks.where("ts is not null").withColumn("n", F.sum("bar").over(order)).where("late <> 1")
+    ends = read.groupBy("symbol", "event_id").agg(F.max(F.when(F.col("late") == 0, F.col("n"))).alias("lo"), F.max(F.when(F.col("late") == 2, F.col("n"))).alias("hi"))
+    return ends.where("hi > lo")
+
+
+def _ranges(found: DataFrame) -> DataFrame:
+    """``event_ranges`` as they are; indicator pairs as ranges of the bars that any event covers."""
+    if {"lo", "hi"} <= set(found.columns):
+        return found.select("symbol", "event_id", "lo", "hi")
+    bars = found.select("symbol", "ts").distinct().withColumn("bar", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1)
+    return found.join(bars, ["symbol", "ts"]).groupBy("symbol", "event_id").agg(F.min("bar").alias("lo"), (F.max("bar") + 1).alias("hi"))
 
 
 TRIALS = "symbol string, trial int, std_u double, seq_u double, drawn array<long>"
 
 
-def bootstrap_trials(pairs: DataFrame, trials: int, seed: int = 42, size: int | None = None) -> DataFrame:
+def bootstrap_trials(found: DataFrame, trials: int, seed: int = 42, size: int | None = None) -> DataFrame:
     """(symbol, trial, std_u, seq_u, drawn): average uniqueness of a plain and of a sequential draw, and the latter's events.
 
-    One task for each symbol and trial, with the seed plus the trial's number; a draw depends on those before it, so it
+    ``found`` are ``event_ranges``, or indicator pairs. One task for each symbol and trial, with the seed plus the trial's number; a draw depends on those before it, so it
     can't be split. Tasks hold two numbers for each event.
     """
 
@@ -166,16 +220,16 @@ def bootstrap_trials(pairs: DataFrame, trials: int, seed: int = 42, size: int |
         random, k = np.random.RandomState(seed + trial), size or len(rows)
         plain = random.choice(len(rows), size=k, replace=True)
         drawn = np.array(draw_sequentially(lo, hi, k, random))
-        mean = lambda c: float(_uniqueness(lo, hi, c, int(hi.max())).mean())
+        mean = lambda c: float(_uniqueness(lo, hi, c).mean())
         return pd.DataFrame([(rows["symbol"].iloc[0], trial, mean(plain), mean(drawn), ids[drawn].tolist())], columns=["symbol", "trial", "std_u", "seq_u", "drawn"])
 
-    each = _ranges(pairs).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    each = _ranges(found).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     return each.groupBy("symbol", "trial").applyInPandas(run, TRIALS)
 
 
-def sequential_bootstrap(pairs: DataFrame, size: int | None = None, seed: int = 42) -> DataFrame:
-    """(symbol, place, event_id) of one sequential draw."""
-    one = bootstrap_trials(pairs, 1, seed, size)
+def sequential_bootstrap(found: DataFrame, size: int | None = None, seed: int = 42) -> DataFrame:
+    """(symbol, place, event_id) of one sequential draw from ``event_ranges`` or indicator pairs."""
+    one = bootstrap_trials(found, 1, seed, size)
     return one.select("symbol", F.posexplode("drawn").alias("place", "event_id"))
 
 
@@ -202,5 +256,5 @@ def sampling_pipeline(bars: DataFrame, entries: DataFrame, pt: float, sl: float,
     events = events_from_barriers(barriers)
     weights = composite_weights(bars, events, td)
     pairs = indicator_pairs(bars, events)
-    drawn = sequential_bootstrap(pairs, seed=seed)
+    drawn = sequential_bootstrap(event_ranges(bars, events), seed=seed)
     return {"barriers": barriers, "events": events, "weights": weights, "pairs": pairs, "drawn": drawn, "rows": drawn.join(weights, ["symbol", "event_id"])}

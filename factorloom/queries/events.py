@@ -163,21 +163,15 @@ def event_top_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", *[rounded(c).alias(c) for c in ("weight_top_1pct_mass", "weight_top_5pct_mass")])
 
 
-def _short_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Events of the six-hour bars, for draws, whose cost grows with the square of their number."""
-    b = bars(spark, sf_dir).select("symbol", "ts", "c")
-    entries = barriers.cusum_events(barriers.prepared_close(b), 1.0)
-    return b, sampling.events_from_barriers(barriers.triple_barrier(entries, b, 1.0, 1.0, 2 * 86_400))
-
-
 def bootstrap_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, e = _short_events(spark, sf_dir)
-    return sampling.sequential_bootstrap(sampling.indicator_pairs(b, e))
+    """One sequential draw over all daily events."""
+    return sampling.sequential_bootstrap(sampling.event_ranges(_prices(spark, sf_dir), _events(spark, sf_dir)))
 
 
 def bootstrap_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, e = _short_events(spark, sf_dir)
-    found = sampling.sampling_quality(sampling.bootstrap_trials(sampling.indicator_pairs(b, e), 8), sampling.composite_weights(b, e))
+    """100 plain and sequential draws over all daily events, compared."""
+    b, e = _prices(spark, sf_dir), _events(spark, sf_dir)
+    found = sampling.sampling_quality(sampling.bootstrap_trials(sampling.event_ranges(b, e), 100), sampling.composite_weights(b, e))
     return found.select("symbol", *[rounded(c).alias(c) for c in found.columns if c != "symbol"])
 
 

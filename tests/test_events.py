@@ -1,5 +1,6 @@
 """CUSUM events, barriers, concurrency, weights and draws against plain Python."""
 
+import itertools
 import math
 
 import numpy as np
@@ -120,6 +121,59 @@ def test_integer_events_are_drawn_by_their_uniqueness():
     assert sampling.draw_sequentially(lo, hi, 5, np.random.RandomState(1)) == sampling.draw_sequentially(lo, hi, 5, np.random.RandomState(1))
 
 
+def _plain_chance(lo, hi, sequence):
+    """The chance of a sequence of draws when each looks at all events and all bars."""
+    load, chance = np.ones(int(hi.max())), 1.0
+    for pick in sequence:
+        u = np.array([(1 / load[a:b]).mean() for a, b in zip(lo, hi)])
+        chance *= u[pick] / u.sum()
+        load[lo[pick] : hi[pick]] += 1
+    return chance
+
+
+def test_draws_by_bounds_have_the_law_of_the_plain_loop(monkeypatch):
+    lo, hi = np.array([0, 2, 3, 9]), np.array([4, 8, 5, 12])
+    for least in (1, 64):  # Bounds computed anew within a sequence, and never.
+        monkeypatch.setattr(sampling, "LEAST_TRIES", least)
+        runs, random, seen = 20_000, np.random.RandomState(7), {}
+        for _ in range(runs):
+            drawn = tuple(sampling.draw_sequentially(lo, hi, 3, random))
+            seen[drawn] = seen.get(drawn, 0) + 1
+        expected = {s: runs * _plain_chance(lo, hi, s) for s in itertools.product(range(4), repeat=3)}
+        assert abs(sum(expected.values()) - runs) < 1e-6
+        # 63 degrees of freedom: 103 is passed by chance once in a thousand.
+        assert sum((seen.get(s, 0) - e) ** 2 / e for s, e in expected.items()) < 103
+
+
+def test_many_draws_follow_the_plain_loop():
+    random = np.random.RandomState(3)
+    lo = np.sort(random.randint(0, 3000, 800))
+    hi = lo + random.randint(1, 60, 800)
+    load = np.ones(int(hi.max()))
+    drawn = sampling.draw_sequentially(lo, hi, 4000, np.random.RandomState(5))
+    # Expected and found draws of the events' thirds by length, given what was drawn before.
+    part, found, expected, spread = np.digitize(hi - lo, [20, 40]), np.zeros(3), np.zeros(3), np.zeros(3)
+    for pick in drawn:
+        share = np.r_[0.0, np.cumsum(1 / load)]
+        u = (share[hi] - share[lo]) / (hi - lo)
+        p = np.bincount(part, u / u.sum(), 3)
+        expected, spread = expected + p, spread + p * (1 - p)
+        found[part[pick]] += 1
+        load[lo[pick] : hi[pick]] += 1
+    assert (np.abs(found - expected) < 4 * np.sqrt(spread)).all()
+
+
+def test_event_ranges_count_bars(spark):
+    at = lambda m: (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m)).to_pydatetime()
+    bars = spark.createDataFrame([("a", at(m)) for m in (0, 10, 10, 20, 30)] + [("b", at(5))], "symbol string, ts timestamp")
+    events = [("a", 0, at(0), at(0)), ("a", 1, at(5), at(20)), ("a", 2, at(11), at(19)), ("a", 3, at(10), at(90)), ("a", 4, None, at(9)), ("b", 0, at(0), at(5)), ("c", 0, at(0), at(5))]
+    found = sampling.event_ranges(bars, spark.createDataFrame(events, "symbol string, event_id long, t0 timestamp, t1 timestamp"))
+    assert {tuple(r) for r in found.collect()} == {("a", 0, 0, 1), ("a", 1, 1, 3), ("a", 3, 1, 4), ("b", 0, 0, 1)}
+    none = found.where("false")
+    assert sampling.sequential_bootstrap(none).count() == 0
+    assert sampling.draw_sequentially(np.array([]), np.array([]), 3, np.random.RandomState(1)) == []
+
+
 def test_draws_repeat_and_beat_plain_ones(sampled):
     out, events, _, _ = sampled
     a = [r["event_id"] for r in out["drawn"].orderBy("place").collect()]
