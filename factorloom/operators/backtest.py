@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import Series, ratio
 from .correlation import correlated, stacked
 from .metrics import Scoring, evaluate, given_range_ic, long_form, range_metrics
-from .resample import percent_rank
+from .ordered import TOTAL, exact_quantiles, top_shared, with_ranks
 
 DECAY_LAGS = tuple(range(1, 50, 2))
 
@@ -44,7 +44,8 @@ def upsert(old: DataFrame | None, new: DataFrame, key: str = "expression") -> Da
 
 
 def with_percent_ranks(table: DataFrame, columns: list[str]) -> DataFrame:
-    return table.withColumns({f"{c}_pct_rank": percent_rank(c) for c in columns})
+    """The table with ``..._pct_rank`` of each column, ranked over all tasks."""
+    return with_ranks(table, {c: f"{c}_pct_rank" for c in columns})
 
 
 def elite_pool(table: DataFrame, columns: list[str], quantile: float = 0.9) -> DataFrame:
@@ -54,26 +55,22 @@ def elite_pool(table: DataFrame, columns: list[str], quantile: float = 0.9) -> D
         raise ValueError(f"the table has none of {columns}")
     whole = table.dropna(subset=used)
     # One row.
-    limits = whole.agg(*[F.percentile(c, quantile).alias(f"__q_{c}") for c in used])
+    limits = exact_quantiles(whole, {c: f"__q_{c}" for c in used}, [quantile])
     good = whole.join(F.broadcast(limits))
     for c in used:
-        good = good.where(F.col(c) >= F.col(f"__q_{c}"))
+        good = good.where(F.col(c) >= F.get(f"__q_{c}", F.lit(0)))
     return good.drop(*[f"__q_{c}" for c in used])
 
 
 def diagnostics(table: DataFrame, a: str, b: str, share: float = 0.1) -> DataFrame:
-    """(n, spearman, overlap): rank correlation of two columns and how many of their top rows they have in common."""
+    """(n, spearman, overlap): rank correlation of two columns and how many of their top rows they have in common; rows with a null are left out."""
     rows = table.dropna(subset=[a, b]).select(F.col(a).alias("a"), F.col(b).alias("b"))
-    ranked = rows.select(percent_rank("a").alias("ra"), percent_rank("b").alias("rb"), "a", "b")
-    one = Window.partitionBy(F.lit(1))
-    top = ranked.withColumn("n", F.count("*").over(one)).select(
-        "*", F.row_number().over(one.orderBy(F.desc("a"), "b")).alias("pa"), F.row_number().over(one.orderBy(F.desc("b"), "a")).alias("pb")
-    )
-    k = F.greatest(F.lit(1), F.floor(F.col("n") * share))
-    return top.agg(
-        F.count("*").alias("n"),
-        F.when(F.count("*") >= 5, ratio(F.covar_samp("ra", "rb"), F.stddev_samp("ra") * F.stddev_samp("rb"))).alias("spearman"),
-        F.when(F.count("*") >= 10, ratio(F.count_if((F.col("pa") <= k) & (F.col("pb") <= k)).cast("double"), F.count_if(F.col("pa") <= k).cast("double"))).alias("overlap"),
+    ranked = with_ranks(rows, {"a": "ra", "b": "rb"})
+    figures = ranked.agg(F.count("*").alias("n"), ratio(F.covar_samp("ra", "rb"), F.stddev_samp("ra") * F.stddev_samp("rb")).alias("r"))
+    top = top_shared(rows, "a", "b", F.greatest(F.lit(1), F.floor(F.col(TOTAL) * share)))
+    # One row each.
+    return figures.join(F.broadcast(top)).select(
+        "n", F.when(F.col("n") >= 5, F.col("r")).alias("spearman"), F.when(F.col("n") >= 10, ratio(F.col("shared").cast("double"), F.col("top").cast("double"))).alias("overlap")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import Series, ratio
 from .features import base_features
 from .normalise import gauss_rank, label_zscore, return_norm, rolling_scale
+from .ordered import exact_quantiles
 from .resample import offset_buckets
 
 
@@ -102,10 +103,10 @@ def feature_columns(rows: DataFrame, excludes: tuple[str, ...] = FEATURE_EXCLUDE
     return [c for c in rows.columns if c not in excludes]
 
 
-def label_shapes(rows: DataFrame, column: str, windows: tuple[int, ...], series: Series = Series()) -> DataFrame:
+def label_shapes(rows: DataFrame, column: str, windows: tuple[int, ...], series: Series = Series(), longest: int | None = None) -> DataFrame:
     """(keys, form, n, mean, std, skew, kurtosis) of a label as it is, as log1p, winsorised at 5 % and z-scored."""
     keys = list(series.keys)
-    bounds = rows.groupBy(*keys).agg(F.percentile(column, F.array(F.lit(0.05), F.lit(0.95))).alias("__b"))
+    bounds = exact_quantiles(rows, {column: "__b"}, [0.05, 0.95], series.keys, longest)
     now = rows.join(bounds, keys)
     x = F.col(column)
     forms = {"raw": x, "log1p": F.signum(x) * F.log1p(F.abs(x)), "winsorised": F.greatest(F.get("__b", F.lit(0)), F.least(F.get("__b", F.lit(1)), x))}

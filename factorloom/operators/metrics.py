@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import ROW, Series, clean, ratio
 from ..functions.ordered import FrameQuantile
 from ..plans.compile import _run_recursive, with_long_deviation
+from .ordered import exact_quantiles
 from .resample import average_rank
 
 Y_CLIP, X_CLIP = 0.2, 20.0
@@ -26,7 +27,8 @@ EXTREME = 0.02
 
 @dataclass(frozen=True)
 class Scoring:
-    """What metrics depend on beside the data. ``periods``: bars in a year."""
+    """What metrics depend on beside the data. ``periods``: bars in a year. ``longest``: a known bound on the rows of a series that
+    one executor can hold, see ``exact_quantiles``."""
 
     keys: tuple[str, ...] = ("symbol",)
     order: str = "ts"
@@ -34,6 +36,7 @@ class Scoring:
     window: int = 2000
     chunks: int = CHUNKS
     bins: int = BINS
+    longest: int | None = None
 
     @property
     def group(self) -> tuple[str, ...]:
@@ -193,11 +196,11 @@ def margin_metrics(long: DataFrame, s: Scoring, lam: float = 1.0, extreme: float
     """Reward for the right direction less penalties on margins; extreme returns weigh more."""
     group = list(s.group)
     weight = F.greatest(F.col("w"), F.lit(0.0))
-    total = long.groupBy(*group).agg(F.sum(weight).alias("tw"), F.percentile("y", F.array(F.lit(0.01), F.lit(0.99))).alias("b"))
+    total = long.groupBy(*group).agg(F.sum(weight).alias("tw")).join(exact_quantiles(long, {"y": "b"}, [0.01, 0.99], s.group, s.longest), group)
     rows = long.join(total, group).withColumn("w", F.when(F.col("tw") > 0, weight).otherwise(F.lit(1.0)))
     rows = rows.withColumn("yc", F.greatest(F.get("b", F.lit(0)), F.least(F.get("b", F.lit(1)), F.col("y"))))
-    limit = rows.groupBy(*group).agg(F.percentile(F.abs("yc"), extreme).alias("limit"))
-    rows = rows.join(limit, group)
+    limit = exact_quantiles(rows.withColumn("size", F.abs("yc")), {"size": "limit"}, [extreme], s.group, s.longest)
+    rows = rows.join(limit.withColumn("limit", F.get("limit", F.lit(0))), group)
     margin, size = F.col("y_pred") * F.col("yc"), F.abs("yc")
     is_extreme = size >= F.col("limit")
     heavy = F.when(is_extreme, 1.0 + size / (F.col("limit") + 1e-12)).otherwise(F.lit(1.0))
@@ -221,8 +224,8 @@ def quantile_bin(x: Column, edges: Column) -> Column:
 def information_metrics(long: DataFrame, s: Scoring) -> DataFrame:
     """Mutual information of quantile bins, over the root of both entropies and over the return's entropy."""
     group, eps = list(s.group), 1e-12
-    grid = F.array(*[F.lit(k / s.bins) for k in range(s.bins + 1)])
-    edges = long.groupBy(*group).agg(F.percentile("y_pred", grid).alias("ep"), F.percentile("y", grid).alias("ey"), F.count("*").alias("n"))
+    grid = [k / s.bins for k in range(s.bins + 1)]
+    edges = exact_quantiles(long, {"y_pred": "ep", "y": "ey"}, grid, s.group, s.longest).join(long.groupBy(*group).agg(F.count("*").alias("n")), group)
     binned = long.join(edges, group).select(*group, "n", quantile_bin(F.col("y_pred"), F.col("ep")).alias("bp"), quantile_bin(F.col("y"), F.col("ey")).alias("by"))
     # At most bins x bins rows for each factor and series from here on.
     cells = binned.groupBy(*group, "bp", "by").agg((F.count("*") / F.first("n")).alias("p"), F.first("n").alias("n"))

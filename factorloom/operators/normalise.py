@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import ROW, Series, clean, ratio
 from ..functions.ordered import RankBefore, Uniform, ValueAt
 from ..plans.compile import _run_recursive, with_long_deviation
+from .ordered import exact_quantiles
 
 
 def _numbered(df: DataFrame, series: Series) -> DataFrame:
@@ -128,14 +129,14 @@ def inverse_gauss_rank(df: DataFrame, scored: str, column: str, out: str, window
 QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
-def quantile_consistency(df: DataFrame, column: str, scored: str, series: Series = Series()) -> DataFrame:
+def quantile_consistency(df: DataFrame, column: str, scored: str, series: Series = Series(), longest: int | None = None) -> DataFrame:
     """(keys, part, quantile, original, normalised, rank_correlation): the quantiles of both series, over all rows and
     over the rows above and below zero, and how well their sorted values correlate."""
     keys = list(series.keys)
     parts = F.array(F.lit("all"), F.when(F.col(column) > 0, "positive").when(F.col(column) < 0, "negative"))
     long = df.select(*keys, F.col(column).alias("x"), F.col(scored).alias("y"), F.explode(parts).alias("part")).where("part is not null")
     grid = F.array(*[F.lit(q) for q in QUANTILES])
-    quantiles = long.groupBy(*keys, "part").agg(F.percentile("x", grid).alias("a"), F.percentile("y", grid).alias("b"))
+    quantiles = exact_quantiles(long, {"x": "a", "y": "b"}, list(QUANTILES), (*keys, "part"), longest)
     flat = quantiles.select(*keys, "part", F.explode(F.arrays_zip(grid.alias("q"), "a", "b")).alias("z")).select(
         *keys, "part", F.col("z.q").alias("quantile"), F.col("z.a").alias("original"), F.col("z.b").alias("normalised")
     )

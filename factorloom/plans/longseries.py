@@ -72,8 +72,9 @@ def _key(batch: pa.RecordBatch, columns: list[str], place: int) -> tuple:
     return tuple(batch.column(c)[place].as_py() for c in columns)
 
 
-def numbered(df: DataFrame, series: Series) -> DataFrame:
-    """``df`` with ``ROW``, the number of each row in its series from 1."""
+def numbered(df: DataFrame, series: Series, weight: str | None = None) -> DataFrame:
+    """``df`` with ``ROW``, the number of each row in its series from 1; or, of rows that stand for ``weight`` equal ones each, a whole
+    number, that of the last of these."""
     keys = list(series.keys)
 
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,12 +84,13 @@ def numbered(df: DataFrame, series: Series) -> DataFrame:
             if not n:
                 continue
             rows = np.empty(n, np.int64)
+            stands = batch.column(weight).to_numpy(zero_copy_only=False) if weight else np.ones(n, np.int64)
             starts = [0, *_changes(batch, keys)]
             for a, z in zip(starts, [*starts[1:], n]):
                 if last is None or (a, _key(batch, keys, a)) != (0, last):
                     count = 0
-                rows[a:z] = np.arange(count + 1, count + 1 + z - a)
-                count += z - a
+                rows[a:z] = count + np.cumsum(stands[a:z])
+                count = int(rows[z - 1])
             last = _key(batch, keys, n - 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows)], names=[*batch.schema.names, ROW])
 
