@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import Series
-from ..operators import features, labels, normalise, resample
+from ..operators import features, labels, normalise, power, resample
 from ..sources.tables import daily_orders, load
 from .common import BASE, DAYS, bars, bars_cte, days, frame, lagged, over, presented, rounded, running, sql_round
 from .feature_sql import SQL as FEATURE_SQL
@@ -256,11 +256,46 @@ long AS (SELECT symbol, 'raw' AS form, ret AS v FROM k UNION ALL SELECT symbol,
   UNION ALL SELECT symbol, 'zscore_20', CASE WHEN k >= 20 THEN (ret - {over('avg(ret)', 20)}) / nullif({over('stddev_pop(ret)', 20)}, 0) END FROM k)
 SELECT symbol, form, count(*) AS n, {sql_round('avg(v)', 5)} AS mean, {sql_round('stddev_samp(v)', 5)} AS std, {sql_round('skewness(v) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0))', 5)} AS skew, {sql_round('kurtosis_pop(v)', 5)} AS kurtosis FROM long WHERE v IS NOT NULL GROUP BY 1, 2"""
 
+
+def power_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forward returns by both power transforms: the fitted exponent of each symbol, and the moments of what it gives."""
+    now = bars(spark, sf_dir).withColumn("ret", labels.forward_return("c", 1)).select("symbol", "ret")
+    parts = []
+    for kind in power.KINDS:
+        fitted = power.fit_power(now, "ret", kind)
+        moments = power.power_transformed(now, "ret", "v", kind, fitted=fitted).where("v is not null").groupBy("symbol").agg(
+            F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurtosis")
+        )
+        parts.append(fitted.join(moments, "symbol").withColumn("form", F.lit(kind)))
+    found = parts[0].unionByName(parts[1])
+    return found.select("symbol", "form", "n", *[rounded(c, d).alias(a) for c, a, d in (("lambda", "exponent", 3), ("log_likelihood", "likelihood", 4), ("mean", "mean", 3), ("std", "std", 3), ("skew", "skew", 3), ("kurtosis", "kurtosis", 3))])
+
+
+def _power_sql(x: str = "x", m: str = "m", form: str = "form") -> str:
+    up = lambda b, e: f"CASE WHEN abs({e}) < 1e-12 THEN {b} ELSE (exp({e} * {b}) - 1) / {e} END"
+    return f"CASE WHEN {form} = 'box_cox' THEN {up(f'ln({x})', m)} WHEN {x} >= 0 THEN {up(f'ln(1 + {x})', m)} ELSE -({up(f'ln(1 - {x})', f'(2 - {m})')}) END"
+
+
+def _search(level: int, step: float) -> str:
+    """The best of 41 exponents around the level before's."""
+    return f"""g{level} AS (SELECT symbol, form, m + k * CAST({step} AS DOUBLE) AS m FROM m{level - 1}, range(-20, 21) AS t(k)),
+m{level} AS (SELECT symbol, form, m, ll FROM (SELECT symbol, form, m, (m - 1) * sum(j) - count(*) / 2.0 * ln(var_pop({_power_sql()})) AS ll FROM u JOIN g{level} USING (symbol, form) GROUP BY symbol, form, m)
+  QUALIFY row_number() OVER (PARTITION BY symbol, form ORDER BY ll DESC) = 1)"""
+
+
+_POWER = f"""WITH {BASE}, r AS (SELECT symbol, ln(lead(c) OVER (PARTITION BY symbol ORDER BY bar)) - ln(c) AS ret FROM base),
+s AS (SELECT symbol, ret, 1 + ret - min(ret) OVER (PARTITION BY symbol) AS x FROM r WHERE ret IS NOT NULL),
+u AS (SELECT symbol, 'box_cox' AS form, x, ln(x) AS j FROM s UNION ALL SELECT symbol, 'yeo_johnson', ret, sign(ret) * ln(1 + abs(ret)) FROM s),
+m0 AS (SELECT DISTINCT symbol, form, CAST(1 AS DOUBLE) AS m FROM u), {", ".join(_search(i + 1, step) for i, step in enumerate((0.25, 0.02, 0.0015, 0.0001, 0.00001, 0.000001)))}
+SELECT symbol, form, count(*) AS n, {sql_round('any_value(m)', 3)} AS exponent, {sql_round('any_value(ll)', 4)} AS likelihood, {sql_round('avg(v)', 3)} AS mean, {sql_round('stddev_samp(v)', 3)} AS std,
+  {sql_round('skewness(v) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0))', 3)} AS skew, {sql_round('kurtosis_pop(v)', 3)} AS kurtosis
+FROM (SELECT symbol, form, m, ll, {_power_sql()} AS v FROM u JOIN m6 USING (symbol, form)) GROUP BY symbol, form"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         bars_of_events, bars_daily, orders_daily, resampled, gaps_filled, traded_only, offset_fan_out, base_feature, framed_features, recursive_features, latest_feature,
-        normalisers, gauss_ranks, held_positions, quantiles_of_scores, score_inverse_check, gauss_rank_sweep, forward_labels, training_samples, label_moments,
+        normalisers, gauss_ranks, held_positions, quantiles_of_scores, score_inverse_check, gauss_rank_sweep, forward_labels, training_samples, label_moments, power_labels,
     )
 }
 
@@ -285,6 +320,7 @@ SQL = {
     "forward_labels": _FORWARD,
     "training_samples": _SAMPLES,
     "label_moments": _MOMENTS,
+    "power_labels": _POWER,
     "score_inverse_check": _INVERSE,
     "gauss_rank_sweep": _SWEEP,
     **FEATURE_SQL,
