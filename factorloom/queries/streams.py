@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import load
 from ..streaming import stream_bars, stream_cusum, stream_recursive
+from ..streaming.buffer import rocksdb_state
 from ..streaming.factors import stream_last_values
 from .common import SIX_HOURS, bars_cte, over, presented, sql_round
 from .events import cusum_tables
@@ -63,8 +64,9 @@ def streamed_last_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark)
     schema = "symbol string, ts timestamp, sma double, std double"
     sink = lambda rows, k: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={k}")
-    writer = stream_last_values(ticks(spark, sf_dir), {"sma": "ts_sma_8(value)", "std": "ts_std_10(value)"}, 2100, f"{folder}/buffer", sink)
-    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    writer = stream_last_values(ticks(spark, sf_dir), {"sma": "ts_sma_8(value)", "std": "ts_std_10(value)"}, 2100, sink)
+    with rocksdb_state(spark):
+        writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     found = spark.read.schema(schema).parquet(f"{folder}/out")
     return found.select("symbol", F.unix_micros("ts").alias("at"), F.round("sma", 5).alias("sma"), F.round("std", 5).alias("std"))
 

@@ -2,7 +2,7 @@
 
 Rows of a symbol are taken in the order of their timestamps within a micro-batch; a row not newer than the last one is
 late and left out. The state of recursive operators is the operators themselves; that of windowed factors is a bounded
-buffer of the last rows. Windowed factors are computed by the batch compiler on buffer and new rows together, so batch
+buffer of the last rows (``buffer.py``). Windowed factors are computed by the batch compiler on buffer and new rows together, so batch
 and stream share every definition.
 """
 
@@ -13,14 +13,14 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.frames import Series
 from ..functions.registry import RECURSIVE, lookup
 from ..operators.barriers import Cusum
 from ..plans.compile import compile_factors
-from ..plans.expr import Call, Const, Feature, parse
+from ..plans.expr import Call, Const, Feature, features_of, parse
+from .buffer import NEW, with_context
 
 STATE = "newest timestamp, steps binary"
 
@@ -73,41 +73,23 @@ def stream_cusum(bars: DataFrame, threshold: float | str, column: str = "base")
     return _stateful(bars, lambda: {"side": Cusum()}, {"side": args}, keep=lambda out: out["side"] != 0)
 
 
-def stream_last_values(bars: DataFrame, factors: dict[str, str], buffer_rows: int, path: str, sink: Callable[[DataFrame, int], None], norm_window: int | None = None, series: Series = Series()):
-    """A writer that, for each micro-batch, evaluates ``factors`` for its new bars on the last ``buffer_rows`` bars of
-    each symbol, hands (symbol, ts, factors) to ``sink``, and stores the buffer as a table under ``path``.
+def stream_last_values(bars: DataFrame, factors: dict[str, str], buffer_rows: int, sink: Callable[[DataFrame, int], None], norm_window: int | None = None, series: Series = Series(), idle_seconds: float | None = None):
+    """A writer that, for each micro-batch, evaluates ``factors`` for its new bars on them and the last ``buffer_rows`` bars that
+    their series had before, and hands (keys, time, factors) to ``sink``. The buffer is keyed state (``buffer.with_context``).
 
     Values depend on the buffer's length as much as on the factors (deviations and running sums see no further back),
-    just as a batch run over the same rows would. Start the returned writer with ``.start()``.
+    just as a batch run over the same rows would. Start the returned writer with ``.start()`` inside ``rocksdb_state``. A
+    micro-batch that is run again after a failure hands the same rows to ``sink`` under the same number.
     """
-    from pyspark.sql import Window
-
-    columns = [c for c in bars.columns]
-
-    def of_batch(new: DataFrame, batch_id: int) -> None:
-        spark = new.sparkSession
-        before = f"{path.rstrip('/')}/{batch_id - 1}"
-        fresh = new.dropDuplicates([*series.keys, *series.order]).withColumn("__new", F.lit(True))
-        rows = fresh
-        if batch_id and _exists(spark, before):
-            old = spark.read.parquet(before)
-            newest = old.groupBy(*series.keys).agg(F.max(series.order[0]).alias("__max"))
-            on_time = fresh.join(newest, list(series.keys), "left").where(F.col("__max").isNull() | (F.col(series.order[0]) > F.col("__max"))).drop("__max")
-            rows = on_time.unionByName(old.withColumn("__new", F.lit(False)))
-        rows = rows.persist()
+    trees = {name: parse(text) for name, text in factors.items()}
+    features = sorted({f for tree in trees.values() for f in features_of(tree)})
+    options = {} if norm_window is None else {"norm_window": norm_window}
+
+    def of_batch(rows: DataFrame, batch_id: int) -> None:
+        values = compile_factors(rows, trees, series, keep=[NEW], **options).where(NEW).drop(NEW).persist()
         try:
-            options = {} if norm_window is None else {"norm_window": norm_window}
-            values = compile_factors(rows, factors, series, keep=["__new"], **options)
-            sink(values.where("__new").drop("__new"), batch_id)
-            back = Window.partitionBy(*series.keys).orderBy(*[F.desc(x) for x in series.order])
-            kept = rows.withColumn("__k", F.row_number().over(back)).where(F.col("__k") <= buffer_rows)
-            kept.select(*columns).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{batch_id}")
+            sink(values, batch_id)
         finally:
-            rows.unpersist()
-
-    return bars.writeStream.foreachBatch(of_batch)
-
+            values.unpersist()
 
-def _exists(spark, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return with_context(bars, features, buffer_rows, series, idle_seconds).writeStream.foreachBatch(of_batch)

@@ -15,6 +15,7 @@ from factorloom.queries import streams
 from factorloom.sources import bars as source
 from factorloom.sources.tables import event_bars, load
 from factorloom.streaming import stream_bars
+from factorloom.streaming.buffer import rocksdb_state
 from factorloom.streaming.factors import stream_last_values
 
 SF = "/root/testdata/sf0.001"
@@ -314,8 +315,9 @@ def test_streamed_factors_use_a_bounded_buffer(spark, tmp_path):
         pdf.iloc[10 * k : 10 * k + 10].to_parquet(tmp_path / "in" / f"{k}.parquet", coerce_timestamps="us")
     stream = spark.readStream.schema("symbol string, ts timestamp, c double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     seen = []
-    writer = stream_last_values(stream, {"d": "sub(ts_lag_3(c), 0)"}, 15, str(tmp_path / "buffer"), lambda df, k: seen.append(df.toPandas()), norm_window=5)
-    writer.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    writer = stream_last_values(stream, {"d": "sub(ts_lag_3(c), 0)"}, 15, lambda df, k: seen.append(df.toPandas()), norm_window=5)
+    with rocksdb_state(spark):
+        writer.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
     got = pd.concat(seen).sort_values("ts")
     assert len(got) == 40 and [len(x) for x in seen] == [10] * 4
     shifted = pdf.c.shift(3).fillna(0)
