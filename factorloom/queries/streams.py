@@ -8,16 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.archive import DAYS, read_archive, stream_polled, write_archive
 from ..sources.tables import load
 from ..streaming import stream_bars, stream_cusum, stream_recursive
 from ..streaming.buffer import rocksdb_state
 from ..streaming.factors import stream_last_values
-from .common import SIX_HOURS, bars_cte, over, presented, sql_round
+from .common import SIX_HOURS, bars, bars_cte, over, presented, sql_round
 from .events import cusum_tables
 from .factors import ema_tables, gate
 from .feature_sql import moves_tables
 
 LATE = 60
+POLL, REPEATED = 864_000, 432_000
+#: The symbols and the first time (2024-01-15) of ``archived_range``.
+TWO, SINCE = ("click", "purchase"), 1_705_276_800
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -71,10 +75,45 @@ def streamed_last_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", F.unix_micros("ts").alias("at"), F.round("sma", 5).alias("sma"), F.round("std", 5).alias("std"))
 
 
+def polled_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six-hour bars from polled snapshots of ten days that repeat the last five of the one before, drained in two runs: the
+    second goes on from the checkpoint of the first when more snapshots are there."""
+    folder = work_dir(spark)
+    mine = F.floor(F.unix_seconds("ts") / POLL)
+    again = F.when(F.unix_seconds("ts") >= (mine + 1) * POLL - REPEATED, F.array(mine, mine + 1)).otherwise(F.array(mine))
+    polled = bars(spark, sf_dir).select("symbol", "ts", "c", "vol", F.explode(again).alias("poll"))
+    ends = polled.agg(F.min("poll").alias("a"), F.max("poll").alias("z")).first()
+    half = ((ends["a"] or 0) + (ends["z"] or 0)) // 2
+    for part in (polled.where(F.col("poll") <= half), polled.where(F.col("poll") > half)):
+        part.repartition("poll").write.mode("append").partitionBy("poll").parquet(f"{folder}/in")
+        found = stream_polled(spark, f"{folder}/in", "symbol string, ts timestamp, c double, vol double", POLL + REPEATED)
+        writer = found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append")
+        writer.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return presented(spark.read.schema(found.schema).parquet(f"{folder}/out"), ["c", "vol"], digits=4)
+
+
+def archived_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six-hour bars written as an archive of months and read back whole, with the columns that an archive fills up."""
+    folder = work_dir(spark)
+    write_archive(bars(spark, sf_dir), folder, "6h").write.format("noop").mode("overwrite").save()
+    return presented(read_archive(spark, folder, "6h"), ["o", "h", "l", "c", "vol", "taker_buy_volume"], digits=4)
+
+
+def archived_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of two symbols from a day on, out of an archive of days: the source opens the files of these symbols and days alone."""
+    folder = work_dir(spark)
+    write_archive(bars(spark, sf_dir), folder, "6h", DAYS).write.format("noop").mode("overwrite").save()
+    found = read_archive(spark, folder, "6h").where(F.col("symbol").isin(*TWO) & (F.col("ts") >= F.timestamp_seconds(F.lit(SINCE))))
+    return presented(found, ["o", "c"], digits=4)
+
+
 _EVENTS = 'base AS (SELECT event_type AS symbol, epoch_us(ts) AS "at", value, value AS c, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM events)'
 _TABLES = [_EVENTS, *ema_tables("ema8", "base", "c", 8, "(2.0 / 9)", 1), *(x.replace("ORDER BY bar", "ORDER BY rn") for x in moves_tables("move6", "c", 6))]
-QUERIES = {f.__name__: f for f in (streamed_bars, streamed_factors, streamed_cusum, streamed_last_values)}
+QUERIES = {f.__name__: f for f in (streamed_bars, streamed_factors, streamed_cusum, streamed_last_values, polled_bars, archived_bars, archived_range)}
 SQL = {
+    "polled_bars": f"WITH {bars_cte()} SELECT symbol, bar, {sql_round('c', 4)} AS c, {sql_round('vol', 4)} AS vol FROM bars",
+    "archived_bars": f"WITH {bars_cte()} SELECT symbol, bar, {', '.join(f'{sql_round(c, 4)} AS {c}' for c in ('o', 'h', 'l', 'c', 'vol'))}, 0.0::DOUBLE AS taker_buy_volume FROM bars",
+    "archived_range": f"WITH {bars_cte()} SELECT symbol, bar, {sql_round('o', 4)} AS o, {sql_round('c', 4)} AS c FROM bars WHERE symbol IN {TWO} AND bar >= {SINCE}",
     "streamed_bars": f"WITH {bars_cte()} SELECT symbol, bar, {', '.join(f'{sql_round(c, 4)} AS {c}' for c in ('o', 'h', 'l', 'c', 'vol'))} FROM bars "
     f"WHERE (bar + {SIX_HOURS}) * 1000000 <= (SELECT max(epoch_us(ts)) FROM events) - {LATE}000000",
     "streamed_factors": f"""WITH RECURSIVE {', '.join(_TABLES)} SELECT symbol, "at", round(coalesce(e, 0), 5) AS ema, round(CASE WHEN up + down > 0 THEN 100 * up / (up + down) ELSE 0 END, 5) AS rsi
