@@ -9,6 +9,7 @@ computes block by block, over the whole generation at once, so results depend on
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -206,16 +207,16 @@ def parsimony_rate(config: EvolveConfig, programs: list[Program]) -> float:
     return float(np.cov(sizes, worth)[1, 0] / variance) if variance else 0.0
 
 
-def independent(pairs: dict[int, np.ndarray], fitness: np.ndarray) -> np.ndarray:
-    """Which programs stay, given for each the later ones that it resembles too much.
+def independent(pairs: Mapping[int, np.ndarray] | Iterable[tuple[int, np.ndarray]], fitness: np.ndarray) -> np.ndarray:
+    """Which programs stay, given for each the later ones that it resembles too much: a mapping, or pairs in the order of programs,
+    of which one is looked at at a time.
 
     Programs take their turn in order, unless an earlier one has thrown them out: all that are no fitter go, and the program
     itself goes if any is fitter.
     """
     stays = np.ones(len(fitness), bool)
-    for turn in sorted(pairs):
+    for turn, rivals in sorted(pairs.items()) if isinstance(pairs, Mapping) else pairs:
         if stays[turn]:
-            rivals = pairs[turn]
             fitter = fitness[rivals] > fitness[turn]
             stays[rivals[~fitter]] = False
             stays[turn] = not fitter.any()
@@ -283,8 +284,8 @@ class Evolution:
         if len(unique) < 2:
             return []
         close = self.correlated(unique, self.config.max_correlation).groupBy("a").agg(F.collect_list("b").alias("b"))
-        # The numbers of correlated programs: as many as there are pairs beyond the limit.
-        pairs = {r["a"]: np.array(r["b"]) for r in close.collect()}
+        # In a population that has converged most pairs are beyond the limit, so the driver reads them in order and keeps none.
+        pairs = ((r["a"], np.array(r["b"])) for r in close.orderBy("a").toLocalIterator())
         stays = independent(pairs, np.array([self.better * p.raw for p in unique]))
         return [p for p, k in zip(unique, stays) if k]
 

@@ -205,6 +205,24 @@ def test_blocked_correlations_equal_numpy(spark, monkeypatch, factors, tile, chu
     assert beyond == {k for k, r in got.items() if r is not None and abs(r) > 0.3}
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_parts_of_correlations_merge_in_a_tree(spark, monkeypatch, fan):
+    for name, size in (("TILE", 4), ("CHUNK", 3), ("ROWS_PER_TASK", 25), ("FAN", fan)):
+        monkeypatch.setattr(correlation, name, size)
+    rng = np.random.RandomState(5)
+    # A drift, so that the means of parts are apart; one factor is constant.
+    x = rng.randn(400, 6) @ rng.randn(6, 6) + np.linspace(0, 50, 400)[:, None] * rng.randn(6) + 1e5
+    x[:, 4] = 0.1
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "s", "ts": np.arange(400), "x": x.tolist()}))
+    rows = df.select(F.struct("symbol", "ts").alias("row"), F.lit(0).alias("first"), "x")
+    got = {(r["a"], r["b"]): r["r"] for r in correlation.correlated(rows, 6).collect()}
+    with np.errstate(all="ignore"):
+        want = np.corrcoef(x.T)
+    assert len(got) == 15
+    for (a, b), r in got.items():
+        assert r is None if 4 in (a, b) else abs(r - want[a, b]) < 1e-9
+
+
 def test_correlations_of_two_thousand_factors(spark):
     """As many factors as a large population has; as columns of one frame their pairs could not be planned."""
     n, rows = 2000, 400
