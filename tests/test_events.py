@@ -262,3 +262,19 @@ def test_streamed_cusum_equals_batch_over_missing_prices(spark, tmp_path):
     writer.trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, barriers.cusum_events(close, 0.3).collect())) and got.count()
+
+
+def test_top_mass_without_events_is_one_row_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from factorloom.queries.events import QUERIES, SQL
+
+    # Unit prices that never move by a tenth give no entries.
+    days = pd.date_range("2024-01-01", periods=40)
+    lines = pd.DataFrame({"l_shipdate": days, "l_extendedprice": [100.0 + k % 3 for k in range(40)], "l_quantity": 1.0})
+    lines.to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us", index=False)
+    lineitem = lines  # noqa: F841
+    want = duckdb.sql(SQL["event_top_mass"]).fetchall()
+    got = [tuple(r) for r in QUERIES["event_top_mass"](spark, str(tmp_path)).collect()]
+    assert got == want == [("all", None, None)]
+    assert QUERIES["event_weights"](spark, str(tmp_path)).isEmpty()
