@@ -21,18 +21,24 @@ class Cusum:
     """Symmetric CUSUM filter: 1 or -1 where a sum of changes passes the threshold, which resets that sum alone.
 
     Rows whose threshold isn't a positive number add nothing, though the next change is taken from them all the same. A null
-    or non-finite value is passed over: it adds nothing, and the last known value stays.
+    or non-finite value is passed over: it adds nothing, and the last known value stays. If ``unbounded``, infinite values
+    (such as the logarithm of zero) are values like any other: a change to or from them passes every threshold, and one
+    between two of them is NaN, above all numbers as in SQL.
     """
 
-    def __init__(self) -> None:
-        self.last, self.up, self.down = math.nan, 0.0, 0.0
+    def __init__(self, unbounded: bool = False) -> None:
+        self.last, self.up, self.down, self.unbounded = math.nan, 0.0, 0.0, unbounded
 
     def step(self, x: float | None, threshold: float | None) -> float:
-        if x is None or not math.isfinite(x):
+        if x is None or x != x or not (self.unbounded or math.isfinite(x)):
             return 0.0
-        change, self.last = x - self.last, x
-        if change != change or threshold is None or not math.isfinite(threshold) or threshold <= 0:
+        before, self.last = self.last, x
+        change = x - before
+        if before != before or threshold is None or not math.isfinite(threshold) or threshold <= 0:
             return 0.0
+        if change != change:
+            self.up = self.down = 0.0
+            return 1.0
         self.up, self.down = max(0.0, self.up + change), min(0.0, self.down + change)
         if self.up > threshold:
             self.up = 0.0

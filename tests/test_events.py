@@ -278,3 +278,18 @@ def test_top_mass_without_events_is_one_row_as_in_sql(spark, tmp_path):
     got = [tuple(r) for r in QUERIES["event_top_mass"](spark, str(tmp_path)).collect()]
     assert got == want == [("all", None, None)]
     assert QUERIES["event_weights"](spark, str(tmp_path)).isEmpty()
+
+
+def test_streamed_cusum_of_zeros_and_equal_times_equals_sql(spark, tmp_path):
+    import duckdb
+
+    from factorloom.queries.streams import QUERIES, SQL
+
+    # Zeros, also next to each other, and several rows of one time, whose order is that of their ids.
+    values = [5.0, 0.0, 30.0, 30.0, 0.2, 0.0, 0.0, 7.0, 90.0, 1.0]
+    at = pd.Timestamp("2024-01-01") + pd.to_timedelta([0, 1, 2, 2, 2, 3, 4, 5, 6, 6], unit="min")
+    events = pd.DataFrame({"event_id": range(10), "ts": at, "user_id": 1, "event_type": "a", "value": values, "props": ""})
+    events.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us", index=False)
+    want = duckdb.sql(SQL["streamed_cusum"]).fetchall()
+    got = [tuple(r) for r in QUERIES["streamed_cusum"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 4
