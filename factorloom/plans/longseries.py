@@ -9,6 +9,9 @@ order, the values from those states; only then are halos dealt again. So the wor
 has blocks, and no task holds more than a block and its halo. Operators without such a form run over whole series, one task for
 each, as ``compile_factors`` runs them, and between the blocks of the others.
 
+Tasks grow in number with the rows, so that none sorts many more than ``TASK_ROWS`` or a block. Exchanges say how many; those
+that leave it to Spark are made few and large by compressed size, which says little about a task's memory.
+
 Numbered rows and the rows before a scan are checkpointed (``spark.checkpoint.dir``), since both passes have to see the same blocks.
 Rows of a series with equal order are in one order, whichever it is, for all operators.
 """
@@ -33,6 +36,8 @@ from .compile import NORM_WINDOW, _cleaned, _named, _replaced, _run_recursive, w
 from .expr import Call, Const, ExpressionError, Feature, Node, depth, features_of, parse, walk
 
 BLOCK_ROWS = 200_000
+#: Rows that a task should get: whole blocks, several at a time if they are short.
+TASK_ROWS = 50_000
 CUT, HALO, PART, ALL, STATE = "__cut", "__halo", "__part", "__all", "__state"
 
 
@@ -72,7 +77,13 @@ def _key(batch: pa.RecordBatch, columns: list[str], place: int) -> tuple:
     return tuple(batch.column(c)[place].as_py() for c in columns)
 
 
-def numbered(df: DataFrame, series: Series, weight: str | None = None) -> DataFrame:
+def _tasks(rows: int, block_rows: int, df: DataFrame) -> int:
+    """How many tasks ``rows`` rows in blocks make: as many as they ask for, or as run at once if there are blocks for these."""
+    blocks = -(-rows // block_rows)
+    return max(1, -(-rows // max(TASK_ROWS, block_rows)), min(blocks, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def numbered(df: DataFrame, series: Series, weight: str | None = None, tasks: int | None = None) -> DataFrame:
     """``df`` with ``ROW``, the number of each row in its series from 1; or, of rows that stand for ``weight`` equal ones each, a whole
     number, that of the last of these."""
     keys = list(series.keys)
@@ -94,7 +105,7 @@ def numbered(df: DataFrame, series: Series, weight: str | None = None) -> DataFr
             last = _key(batch, keys, n - 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows)], names=[*batch.schema.names, ROW])
 
-    ranged = df.repartitionByRange(*keys, *series.order).sortWithinPartitions(*keys, *series.order).withColumn(PART, F.spark_partition_id())
+    ranged = df.repartitionByRange(*([tasks] if tasks else []), *keys, *series.order).sortWithinPartitions(*keys, *series.order).withColumn(PART, F.spark_partition_id())
     rows = _cut(ranged.mapInArrow(of_partition, T.StructType([*ranged.schema.fields, T.StructField(ROW, T.LongType())])))
     counts = rows.groupBy(*keys, PART).agg(F.max(ROW).alias("__n"))
     onward = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
@@ -104,7 +115,7 @@ def numbered(df: DataFrame, series: Series, weight: str | None = None) -> DataFr
     return met.withColumn(ROW, F.col(ROW) + F.coalesce("__before", F.lit(0))).drop(PART, "__k", "__p", "__before")
 
 
-def dealt(rows: DataFrame, series: Series, block_rows: int, halo: int) -> DataFrame:
+def dealt(rows: DataFrame, series: Series, block_rows: int, halo: int, tasks: int | None = None) -> DataFrame:
     """Numbered rows in their blocks, and once more, as ``HALO``, in the block after if they are among its ``halo`` rows before."""
     if halo > block_rows:
         raise ValueError(f"a halo of {halo} rows needs blocks of as many")
@@ -113,7 +124,7 @@ def dealt(rows: DataFrame, series: Series, block_rows: int, halo: int) -> DataFr
     after = F.struct((cut + 1).alias("cut"), F.lit(True).alias("halo"))
     places = F.when(F.col(ROW) > (cut + 1) * block_rows - halo, F.array(own, after)).otherwise(F.array(own))
     spread = rows.withColumn("__place", F.explode(places)).withColumn(CUT, F.col("__place.cut")).withColumn(HALO, F.col("__place.halo")).drop("__place")
-    return spread.repartition(*series.keys, CUT)
+    return spread.repartition(*([tasks] if tasks else []), *series.keys, CUT)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -148,7 +159,7 @@ def _own(block: pa.Table, jobs: dict[str, tuple[Scan, list[str | float]]]) -> tu
     return first, own, given
 
 
-def with_scans(rows: DataFrame, series: Series, jobs: dict[str, tuple[Scan, list[str | float]]]) -> DataFrame:
+def with_scans(rows: DataFrame, series: Series, jobs: dict[str, tuple[Scan, list[str | float]]], tasks: int | None = None) -> DataFrame:
     """Own rows of ``dealt`` rows with a column for each job (name -> (scan, argument columns or constants))."""
     keys = [*series.keys, CUT]
     sizes = [scan.size for scan, _ in jobs.values()]
@@ -194,9 +205,10 @@ def with_scans(rows: DataFrame, series: Series, jobs: dict[str, tuple[Scan, list
     # A row for each block of a series; its group is as long as the series has blocks.
     starts = effects.groupBy(*series.keys).applyInPandas(states, T.StructType([*key_fields, numbers(STATE)]))
     starts = starts.select(F.struct(*keys).alias("__k"), F.xxhash64(*keys).alias("__h"), STATE)
-    met = rows.withColumn("__g", F.xxhash64(*keys)).join(starts, (F.col("__g") == F.col("__h")) & F.struct(*keys).eqNullSafe(F.col("__k")), "left").drop("__g", "__h", "__k")
+    hashed = rows.withColumn("__g", F.xxhash64(*keys)).repartition(*([tasks] if tasks else []), "__g")
+    met = hashed.join(starts, (F.col("__g") == F.col("__h")) & F.struct(*keys).eqNullSafe(F.col("__k")), "left").drop("__g", "__h", "__k")
     fields = [f for f in met.schema.fields if f.name not in (STATE, HALO, CUT)] + [T.StructField(n, T.DoubleType()) for n in jobs]
-    return met.repartition(*keys).sortWithinPartitions(*order).mapInArrow(values, T.StructType(fields))
+    return met.repartition(*([tasks] if tasks else []), *keys).sortWithinPartitions(*order).mapInArrow(values, T.StructType(fields))
 
 
 def compile_long_factors(
@@ -225,8 +237,9 @@ def compile_long_factors(
     halo = max((reach_of(t, norm_window) for t in trees.values()), default=0)
     block_rows = max(block_rows, halo)
     inside = Series((*whole.keys, CUT), (ROW,))
-    deal = lambda rows: dealt(rows, whole, block_rows, halo)
-    now = deal(numbered(now, whole))
+    tasks = _tasks(df.count(), block_rows, df)
+    deal = lambda rows: dealt(rows, whole, block_rows, halo, tasks)
+    now = deal(numbered(now, whole, tasks=tasks))
 
     def value(x: Node):
         return F.lit(x.value) if isinstance(x, Const) else F.col(column[x])
@@ -237,7 +250,7 @@ def compile_long_factors(
         scans = {column[x]: (scan, arguments(x)) for x in here if (scan := scan_of(x.name))}
         others: dict[str, tuple[Callable, list]] = {column[x]: (lookup(x.name).build, arguments(x)) for x in here if lookup(x.name).kind == RECURSIVE and column[x] not in scans}
         if scans or others:
-            now = with_scans(now, whole, scans) if scans else now.where(~F.col(HALO)).drop(HALO, CUT)
+            now = with_scans(now, whole, scans, tasks) if scans else now.where(~F.col(HALO)).drop(HALO, CUT)
             if others:
                 now = _run_recursive(now, Series(whole.keys, (ROW,)), others)
             now = deal(now)

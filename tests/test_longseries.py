@@ -151,3 +151,15 @@ def test_query_over_several_blocks(spark):
     assert len(got) == len(want) > 5000 and list(got["at"]) == list(want["at"])
     for c in ("sma", "std", "balance", "nested"):
         np.testing.assert_allclose(got[c], want[c], atol=2e-5, err_msg=c)
+
+
+def test_tasks_grow_in_number_with_the_rows(spark, monkeypatch):
+    from factorloom.plans import longseries
+
+    monkeypatch.setattr(longseries, "TASK_ROWS", 100, raising=False)
+    df = spark.range(6_000).select(F.lit("a").alias("symbol"), F.timestamp_seconds("id").alias("ts"), F.rand(1).alias("c"))
+    for calls in ({"x": "ts_sma_8(c)"}, {"x": "ts_lag_3(ta_ema_8(c))"}):
+        found = longseries.compile_long_factors(df, calls, norm_window=10, block_rows=50)
+        sizes = found.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        # 60 tasks of two blocks each on average; before, Spark made as few as its setting of 8.
+        assert sizes.sum() == 6_000 and len(sizes) > 30 and sizes.max() < 750
