@@ -1,10 +1,12 @@
 """Near copies by exact Jaccard similarity of word shingles, found by prefixes that no similar pair can avoid.
 
 Two texts are near copies where their sets of five-word shingles (ASCII lower case, any white space between words) have a
-Jaccard similarity of at least 4/5; groups are what links reach. SimHash does not serve here: pairs at that similarity
-differ in 5 to 10 of 64 bits, and blocks for such a radius hold a large share of all fingerprints.
+Jaccard similarity of at least 4/5; groups are what links reach. Candidates come from SimHash first: fingerprints of the
+sets, searched with BK-trees over shards (``simhash.py``), and whole sets are compared with one of their component. That
+alone would lose links: pairs at this similarity differ in 5 to 10 of 64 bits, and blocks for such a radius hold a large
+share of all fingerprints. Prefix lists find all others, and one exact check judges the candidates of both.
 
-Instead every shingle gets a place in one order, common ones last. Of two sets of at least that similarity the first
+For the lists every shingle gets a place in one order, common ones last. Of two sets of at least that similarity the first
 ``n - ceil(4n/5) + 1`` shingles of each share one, whatever the order is, so no link is lost; the order only keeps
 the lists short. It comes from counts of shingles by the first 16 bits of their hash, a table of fixed size. Lists are
 read in two steps. First every member of a list is compared with the member whose list shingle stands foremost; what
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_or_empty
-from .simhash import SEED, components, shingle_hashes
+from .simhash import SEED, components, fingerprint_of, links, shards, shingle_hashes
 
 WIDTH = 5
 SLOT_BITS = 16
@@ -38,7 +40,9 @@ FEWEST_SLOTS, MOST_SLOTS = 20, 23
 LONGEST = 2_000
 #: Hot shingles that are put last in one round, at 8 bytes each, and rounds. What is left after them is joined as it is.
 MOST_HOT, ROUNDS = 1 << 20, 4
-NODE = "node long, n int, counts binary, outline binary"
+NODE = "node long, n int, print long, counts binary, outline binary"
+#: Texts whose sets a worker keeps at once.
+TEXTS = 500
 #: Buckets of an outline, by the first bits of a hash.
 OUTLINE_BITS = 8
 
@@ -67,8 +71,8 @@ def _content() -> Column:
 
 
 def tagged(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, node, n, counts, outline): what names a row, the hash of its shingle set, the set's size and outline, without
-    its text.
+    """(doc_id, content, node, n, print, counts, outline): what names a row, the hash of its shingle set, the set's size, fingerprint
+    and outline, without its text.
 
     The first row of each batch of texts also carries how many shingles of the batch fall into each slot.
     """
@@ -77,15 +81,22 @@ def tagged(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf(NODE)
     def of_texts(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t) for t in texts]
-        out = pd.DataFrame({"node": np.array([_node(s) for s in sets], np.int64), "n": np.array([len(s) for s in sets], np.int32), "counts": None, "outline": [outline(s) for s in sets]})
-        if sets:
-            slots, counts = np.unique((np.concatenate(sets) >> np.uint64(64 - bits)).astype("<u4"), return_counts=True)
-            out.at[0, "counts"] = slots.tobytes() + counts.astype("<u4").tobytes()
+        # One set at a time: those of a whole batch took some 60 MB of a worker.
+        counts, rows = np.zeros(1 << bits, np.int64), []
+        for text in texts:
+            s = shingle_set(text)
+            # A set has a shingle once, but several may fall into a slot.
+            slots, more = np.unique((s >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            counts[slots] += more
+            rows.append((_node(s), len(s), np.array(fingerprint_of(s), np.uint64).view(np.int64), None, outline(s)))
+        out = pd.DataFrame(rows, columns=["node", "n", "print", "counts", "outline"]).astype({"node": np.int64, "n": np.int32, "print": np.int64, "counts": object})
+        if rows:
+            used = np.flatnonzero(counts)
+            out.at[0, "counts"] = used.astype("<u4").tobytes() + counts[used].astype("<u4").tobytes()
         return out
 
     rows = docs.select("doc_id", _content(), of_texts(_text()).alias("x"))
-    return stored(rows.select("doc_id", "content", "x.node", "x.n", "x.counts", "x.outline"), "near-rows")
+    return stored(rows.select("doc_id", "content", "x.node", "x.n", "x.print", "x.counts", "x.outline"), "near-rows")
 
 
 def slot_ranks(rows: DataFrame) -> np.ndarray:
@@ -139,9 +150,9 @@ def postings(texts: DataFrame, ranks: np.ndarray, hot: np.ndarray = NO_TOKENS) -
         known: set[int] = set()
         for batch in batches:
             # A few hundred texts at a time, as long ones give thousands of rows each.
-            for lo in range(0, len(batch), 500):
+            for lo in range(0, len(batch), TEXTS):
                 sets = {}
-                for text in batch["text"].iloc[lo : lo + 500]:
+                for text in batch["text"].iloc[lo : lo + TEXTS]:
                     hashes = shingle_set(text)
                     if (node := _node(hashes)) not in known:
                         known.add(node)
@@ -218,9 +229,11 @@ def likely_pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets have a similarity of at least 4/5."""
 
-    @F.pandas_udf("binary")
-    def set_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t).astype("<u8").tobytes() for t in texts], dtype=object)
+    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), TEXTS):
+                part = batch.iloc[lo : lo + TEXTS]
+                yield pd.DataFrame({"node": part["node"], "hashes": [shingle_set(t).astype("<u8").tobytes() for t in part["text"]]})
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -233,7 +246,7 @@ def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
 
     pairs = likely_pairs(pairs, rows)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(texts_of(wanted, rows, docs).select("node", set_of("text").alias("hashes")), "near-sets")
+    sets = stored(texts_of(wanted, rows, docs).select("node", "text").mapInPandas(sets_of, "node long, hashes binary"), "near-sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")).hint("merge"), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")).hint("merge"), "b")
     return stored(both.where(near("x", "y")).select("a", "b"), "near-links")
@@ -243,11 +256,23 @@ def _sizes_fit(n: str, m: str) -> Column:
     return (F.col(n) * 5 >= F.col(m) * 4) & (F.col(m) * 5 >= F.col(n) * 4)
 
 
+def simhash_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): each node with the smallest one whose fingerprint is within reach of its own by steps of two bits or fewer, where their
+    sizes fit."""
+    nodes = stored(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("print").alias("fp")), "near-prints")
+    tied = components(links(shards(nodes.select(F.col("fp").alias("rep"), "fp").distinct()))).withColumnRenamed("node", "fp")
+    named = stored(nodes.join(tied.hint("merge"), "fp", "left").select("node", "n", F.coalesce("component", "fp").alias("component")), "near-named")
+    heads = named.groupBy("component").agg(F.min(F.struct("node", "n")).alias("head")).select("component", F.col("head.node").alias("head"), F.col("head.n").alias("m"))
+    met = named.join(heads.hint("merge"), "component").where((F.col("node") != F.col("head")) & _sizes_fit("n", "m"))
+    return met.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
+
+
 def first_links(lists: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): links between the members of each list and the one in which the list's shingle stands foremost."""
+    """(a, b): links between the nodes that fingerprints bring together, and between the members of each list and the one in which
+    the list's shingle stands foremost."""
     met = lists.where((F.col("node") != F.col("head")) & _sizes_fit("n", "m"))
     pairs = met.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
-    return similar(stored(pairs.distinct(), "near-pairs"), rows, docs)
+    return similar(stored(pairs.unionByName(simhash_pairs(rows)).distinct(), "near-pairs"), rows, docs)
 
 
 def other_links(lists: DataFrame, tied: DataFrame, rows: DataFrame, docs: DataFrame, ranks: np.ndarray, hot: np.ndarray = NO_TOKENS, rounds: int = ROUNDS) -> DataFrame:

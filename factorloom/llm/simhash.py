@@ -54,7 +54,11 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 def fingerprint(text: str | None) -> int:
     """The 64-bit SimHash of the word shingles of a text, repeats included."""
-    hashes = shingle_hashes(text)
+    return fingerprint_of(shingle_hashes(text))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
     n = len(hashes)
     if not n:
         return 0

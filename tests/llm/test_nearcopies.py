@@ -150,3 +150,22 @@ def test_outlines_only_rule_out_what_is_not_similar():
         assert may_be or not 9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b))
     assert pruned
     assert nearcopies.outline(np.zeros(1 << 16, np.uint64)) == b""
+
+
+def test_fingerprints_give_candidates_and_the_exact_check_judges_them(spark):
+    from factorloom.llm.nearcopies import shingle_set, simhash_pairs, similar, tagged
+    from factorloom.llm.simhash import fingerprint_of
+
+    words = [f"w{k}" for k in range(400)]
+    print_of = lambda w: fingerprint_of(shingle_set(" ".join(w)))
+    changed = (words[:k] + ["x"] + words[k + 1 :] for k in range(400))
+    near = next(w for w in changed if (print_of(w) ^ print_of(words)).bit_count() <= 2)
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words))), (4, "")], "doc_id long, text string")
+    rows = tagged(docs)
+    prints = {r["doc_id"]: (r["node"], r["print"] & (1 << 64) - 1) for r in rows.collect()}
+    pairs = {(r["a"], r["b"]) for r in simhash_pairs(rows).collect()}
+    one, two = prints[1][0], prints[2][0]
+    assert pairs == {(max(one, two), min(one, two))} and prints[4][1] == 0
+    # Whole sets judge every candidate.
+    forced = spark.createDataFrame([(one, two), (one, prints[3][0])], "a long, b long")
+    assert [(r["a"], r["b"]) for r in similar(forced, rows, docs).collect()] == [(one, two)]
